@@ -366,7 +366,7 @@ def explode_readings(df: DataFrame, array: str, ids: Sequence[str], field: str,
 
 
 # Whole-disk names kept, interfaces and prefixes skipped.
-DISK_PATTERN = r"^(sd[a-z]+|nvme\d+n\d+|vd[a-z]+)$"
+DISK_PATTERN = r"^(sd[a-z]+|nvme\d+n\d+|vd[a-z]+|hd[a-z]+)$"
 SKIPPED_INTERFACES = ("lo",)
 
 
