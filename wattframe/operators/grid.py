@@ -127,9 +127,9 @@ def reindex(df: DataFrame, series: Series, step_s: float) -> DataFrame:
     ).repartition(*series.keys(), F.col("_slab"))
     last = F.least(F.col("_hi"), F.col("_slab") + F.lit(per - step))
     ticks = slabs.withColumn("_last", last).select(
-        *series.key,
-        F.timestamp_micros(F.explode(F.expr(f"sequence(_slab, _last, {step}L)"))).alias(series.ts),
+        *series.key, F.explode(F.expr(f"sequence(_slab, _last, {step}L)")).alias("_us")
     )
+    ticks = ticks.select(*series.key, F.timestamp_micros("_us").alias(series.ts))
     return ticks.join(df, [*series.key, series.ts], "left")
 
 
