@@ -27,11 +27,11 @@ def c1(spark, d):
 
 @query(
     "c2_naive_power", "server, ~t_s, ~uw",
-    f"WITH {DELTA_SQL} SELECT server, t_s, sum(delta) / max(dt) AS uw FROM d WHERE dt > 0 GROUP BY 1, 2",
+    f"WITH {DELTA_SQL} SELECT server, t_s, sum(delta) / max(dt) / 0.997 AS uw FROM d WHERE dt > 0 GROUP BY 1, 2",
 )
 def c2(spark, d):
     out = c.naive_power(b.counters(spark, d), b.COUNTERS, "energy_uj", "max_range", ["server"])
-    return out.withColumn("uw", F.col("watts") * MICRO)
+    return out.withColumn("uw", F.col("watts") * MICRO / 0.997)
 
 
 @query(
@@ -138,11 +138,11 @@ def c8(spark, d):
 
 @query(
     "c9_power_derivative", "server, ~t_s, ~uw, ~udw",
-    f"""WITH {DELTA_SQL}, p AS (SELECT server, t_s, sum(delta) / max(dt) AS uw FROM d WHERE dt > 0 GROUP BY 1, 2)
+    f"""WITH {DELTA_SQL}, p AS (SELECT server, t_s, sum(delta) / max(dt) / 0.997 AS uw FROM d WHERE dt > 0 GROUP BY 1, 2)
     SELECT server, t_s, uw, coalesce((uw - lag(uw) OVER w) / (t_s - lag(t_s) OVER w), 0.0) * 86400 AS udw FROM p
     WINDOW w AS (PARTITION BY server ORDER BY t_s)""",
 )
 def c9(spark, d):
     p = c.naive_power(b.counters(spark, d), b.COUNTERS, "energy_uj", "max_range", ["server"])
     out = c.power_and_derivative(p, b.COUNTER_SERVERS)
-    return out.withColumns({"uw": F.col("watts") * MICRO, "udw": F.col("deriv_w_s") * MICRO * 86_400})
+    return out.withColumns({"uw": F.col("watts") * MICRO / 0.997, "udw": F.col("deriv_w_s") * MICRO * 86_400 / 0.997})

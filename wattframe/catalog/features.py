@@ -192,8 +192,9 @@ def w14(spark, d):
     FROM l GROUP BY 1""",
 )
 def spike_rate(spark, d):
-    spikes = f.with_spikes(b.samples(spark, d), b.SAMPLES)
-    lab = by_rows(spikes, b.SAMPLES, lambda w: {"label": f.horizon_label(w, "spike_both")}, after=5)
+    spikes = f.with_spikes(b.samples(spark, d), b.SAMPLES, row_number="rn")
+    stage = lambda w: {"label": f.horizon_label(w, "spike_both")}
+    lab = by_rows(spikes, b.SAMPLES, stage, after=5, row_number="rn")
     return lab.groupBy("server").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("spike_both").alias("n_events"),
         F.sum("spike_rise").alias("n_rises"), F.avg("spike_both").alias("event_rate"),
@@ -259,7 +260,7 @@ GAP_S = 172_800.0
 SEG_SQL = f"""{S}, g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 172800000000 THEN 1 ELSE 0 END AS brk FROM samples WINDOW w AS {W}),
 seg AS (SELECT *, sum(brk) OVER w AS segment FROM g WINDOW w AS {W}),
 long_seg AS (SELECT *, count(*) OVER (PARTITION BY server, segment) AS c FROM seg),
-sn AS (SELECT *, row_number() OVER w AS rn, nr_running - lag(nr_running) OVER w AS d1 FROM long_seg WHERE c >= 15
+sn AS (SELECT *, row_number() OVER w AS rn, power_watts - lag(power_watts) OVER w AS d1 FROM long_seg WHERE c >= 15
   WINDOW w AS (PARTITION BY server, segment ORDER BY ts, event_id)),
 sj AS (SELECT *, CASE WHEN count(d1) OVER r = 8 THEN stddev_samp(d1) OVER r END AS jerk FROM sn
   WINDOW r AS (PARTITION BY server, segment ORDER BY rn ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
@@ -277,7 +278,7 @@ sf AS (SELECT sj.*, hawkes FROM sj JOIN sh USING (server, segment, rn))"""
 )
 def w19(spark, d):
     return f.segment_features(
-        b.samples(spark, d), b.SAMPLES, GAP_S, 15, 20, 8, 2.0, 0.1, "power_watts", "nr_running"
+        b.samples(spark, d), b.SAMPLES, GAP_S, 15, 20, 8, 2.0, 0.1, "power_watts", "power_watts"
     )
 
 
@@ -307,7 +308,7 @@ DAY_FRAME = "(PARTITION BY server ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECE
 
 
 @query(
-    "w22_least_squares_slope", f"{ID}, ~slope_per_day",
+    "w22_least_squares_slope", f"{ID}, ~4slope_per_day",
     f"""WITH {S}, x AS (SELECT *, epoch_us(ts) / 86400e6 - 19723 AS dx FROM samples)
     SELECT {ID}, CASE WHEN count(*) OVER r >= 3 AND dx - min(dx) OVER r >= 0.6 THEN coalesce(regr_slope(power_watts, dx) OVER r, 0) ELSE 0 END AS slope_per_day
     FROM x WINDOW r AS {DAY_FRAME}""",

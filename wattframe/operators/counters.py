@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from wattframe.operators.grid import floor_time
 from wattframe.plans.folds import fold
-from wattframe.plans.timeline import Timeline, last_seen, previous
+from wattframe.plans.timeline import Timeline, last_before, last_seen, previous
 from wattframe.series import MICROS, Series
 
 MICROJOULE = 1e-6
@@ -30,12 +30,17 @@ def wrapped_delta(now: Column, before: Column, max_range: Column | None) -> Colu
 
 def energy_deltas(df: DataFrame, series: Series, energy: str, max_range: str | None) -> DataFrame:
     """Adds ``delta`` and ``dt`` per socket row (C1); null on the first row."""
+    return energy_timeline(df, series, energy, max_range).done()
+
+
+def energy_timeline(df: DataFrame, series: Series, energy: str, max_range: str | None) -> Timeline:
+    """:func:`energy_deltas` still distributed for further scans."""
     seen = Timeline(df, series).scan(
         _wf_e=previous(F.col(energy)), _wf_t=previous(series.position(df))
     )
     delta = wrapped_delta(F.col(energy), F.col("_wf_e"), F.col(max_range) if max_range else None)
     dt = seconds_since(series, df, F.col("_wf_t"))
-    return seen.with_columns({"delta": delta, "dt": dt}).done().drop("_wf_e", "_wf_t")
+    return seen.with_columns({"delta": delta, "dt": dt}).drop("_wf_e", "_wf_t")
 
 
 def naive_power(df: DataFrame, series: Series, energy: str, max_range: str | None, server: Sequence[str]) -> DataFrame:
@@ -51,12 +56,12 @@ def stall_safe_power(df: DataFrame, series: Series, energy: str, max_range: str
     Polls without an advance are dropped, so the next advance is divided by all
     the time since the one before it.  Other rows keep a null ``watts``.
     """
-    d = Timeline(energy_deltas(df, series, energy, max_range), series)
+    d = energy_timeline(df, series, energy, max_range)
     marks = F.when(F.col("delta").isNull() | (F.col("delta") > 0), series.position(df))
-    d = d.scan(_wf_mark=last_seen(marks)).scan(_wf_from=previous(F.col("_wf_mark")))
+    d = d.scan(_wf_from=last_before(marks))
     span = seconds_since(series, df, F.col("_wf_from"))
     watts = F.when((F.col("delta") > 0) & (span > 0), F.col("delta") * MICROJOULE / span)
-    return d.with_columns({"watts": watts}).done().drop("_wf_mark", "_wf_from")
+    return d.with_columns({"watts": watts}).done().drop("_wf_from")
 
 
 def windowed_power(
@@ -110,10 +115,10 @@ def edge_power(
     Intervals are aligned to the clock instead of restarting at each
     publication, which keeps the result independent of processing order.
     """
-    d = Timeline(energy_deltas(df, series, energy, max_range), series)
+    d = energy_timeline(df, series, energy, max_range)
     changed = F.col("delta").isNull() | (F.col("delta") != 0)
     marks = F.when(changed, series.position(df))
-    d = d.scan(_wf_mark=last_seen(marks)).scan(_wf_from=previous(F.col("_wf_mark"))).done()
+    d = d.scan(_wf_from=last_before(marks)).done()
     span = seconds_since(series, df, F.col("_wf_from"))
     usable = (F.col("delta") > 0) & (span > 1e-6)  # still negative: wrapped, range unknown
     polls = d.withColumn("watts", F.when(usable, F.col("delta") * MICROJOULE / span))

@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattframe.plans.asof import asof
 from wattframe.plans.decay import Decay, decayed_sums
 from wattframe.plans.folds import fold
 from wattframe.plans.quantiles import attach
 from wattframe.plans.timeline import (
     BLOCK,
     POS,
+    Running,
     Timeline,
     by_rows,
     by_time,
     first_seen,
+    last_before,
     last_seen,
     number_rows,
     previous,
@@ -119,21 +120,42 @@ def physics(ghz: Column, usage: Column) -> dict[str, Column]:
 
 
 def with_hawkes(
-    df: DataFrame, series: Series, sig: str, name: str, tau_s: float = HAWKES_TAU_S,
-    dt: float = 1.0, rn: str | None = None,
+    df: DataFrame, series: Series, sig: str, name: str, tau_s: float = HAWKES_TAU_S, dt: float = 1.0
 ) -> DataFrame:
     """Self-exciting intensity of positive increments, one step per row."""
-    src = df if rn else number_rows(df, series, "_wf_h")
-    rn = rn or "_wf_h"
-    seen = Timeline(src, series).scan(_wf_b=previous(F.col(sig))).done()
+    seen = Timeline(df, series).scan(_wf_b=previous(F.col(sig)), _wf_h=running_count()).done()
     mark = F.coalesce(F.greatest(F.col(sig) - F.col("_wf_b"), F.lit(0.0)), F.lit(0.0))
-    out = decayed_sums(seen, series, at=F.col(rn), **{name: Decay(mark, tau_s / dt)})
+    out = decayed_sums(seen, series, at=F.col("_wf_h"), **{name: Decay(mark, tau_s / dt)})
     return out.drop("_wf_b", "_wf_h")
 
 
+def ewma_sums(col: Column, centre: Column, span: int, prefix: str) -> dict[str, Decay]:
+    """Decayed sums behind :func:`ewma_columns`."""
+    tau = -1.0 / np.log(1.0 - 2.0 / (span + 1.0))
+    x, known = col.cast("double") - centre, flag(col.isNotNull())
+    return {
+        f"_wf_{prefix}_w": Decay(known, tau),
+        f"_wf_{prefix}_ww": Decay(known, tau / 2),
+        f"_wf_{prefix}_wx": Decay(x, tau),
+        f"_wf_{prefix}_wxx": Decay(x * x, tau),
+    }
+
+
+def ewma_columns(df: DataFrame, col: str, centre: Column, prefix: str) -> DataFrame:
+    """Mean, bias-corrected deviation and z-score from the decayed sums."""
+    w, ww, wx, wxx = (F.col(f"_wf_{prefix}_{s}") for s in ("w", "ww", "wx", "wxx"))
+    mean = F.try_divide(wx, w)
+    var = F.greatest(F.try_divide(wxx, w) - mean * mean, F.lit(0.0))
+    # one value: weights cancel up to rounding
+    unbias = F.when(w * w - ww > 1e-9 * w * w, w * w / (w * w - ww))
+    out = df.withColumns({f"{prefix}_mean": mean + centre, f"{prefix}_std": F.sqrt(var * unbias)})
+    z = F.try_divide(F.col(col) - F.col(f"{prefix}_mean"), F.col(f"{prefix}_std"))
+    drop = [f"_wf_{prefix}_{s}" for s in ("w", "ww", "wx", "wxx")]
+    return out.withColumn(f"{prefix}_z", z).drop(*drop)
+
+
 def with_ewma(
-    df: DataFrame, series: Series, col: str, span: int = SPAN, prefix: str = "ewma",
-    rn: str | None = None,
+    df: DataFrame, series: Series, col: str, span: int = SPAN, prefix: str = "ewma"
 ) -> DataFrame:
     """Causal EWMA mean, bias-corrected deviation and z-score.
 
@@ -141,33 +163,11 @@ def with_ewma(
     has no deviation.  Values are centred on the first one of the series, so a
     flat series has deviation exactly 0.
     """
-    tau = -1.0 / np.log(1.0 - 2.0 / (span + 1.0))
-    src = df.withColumn("_wf_x", F.col(col).cast("double"))
-    scans = {"_wf_x0": first_seen(F.col("_wf_x"))}
-    if rn is None:
-        rn, scans["_wf_e"] = "_wf_e", running_count()
-    src = Timeline(src, series).scan(**scans).done()
-    x, known = F.col("_wf_x") - F.col("_wf_x0"), F.col("_wf_x").isNotNull()
-    sums = decayed_sums(
-        src,
-        series,
-        at=F.col(rn),
-        _wf_w=Decay(flag(known), tau),
-        _wf_ww=Decay(flag(known), tau / 2),
-        _wf_wx=Decay(x, tau),
-        _wf_wxx=Decay(x * x, tau),
-    )
-    w, ww = F.col("_wf_w"), F.col("_wf_ww")
-    mean = F.try_divide(F.col("_wf_wx"), w)
-    var = F.greatest(F.try_divide(F.col("_wf_wxx"), w) - mean * mean, F.lit(0.0))
-    # one value: weights cancel up to rounding
-    unbias = F.when(w * w - ww > 1e-9 * w * w, w * w / (w * w - ww))
-    std = F.sqrt(var * unbias)
-    out = sums.withColumns({f"{prefix}_mean": mean + F.col("_wf_x0"), f"{prefix}_std": std})
-    z = F.try_divide(F.col("_wf_x") - F.col(f"{prefix}_mean"), F.col(f"{prefix}_std"))
-    return out.withColumn(f"{prefix}_z", z).drop(
-        "_wf_x", "_wf_x0", "_wf_e", "_wf_w", "_wf_ww", "_wf_wx", "_wf_wxx"
-    )
+    x0 = F.col("_wf_x0")
+    scans = {"_wf_x0": first_seen(F.col(col).cast("double")), "_wf_e": running_count()}
+    src = Timeline(df, series).scan(**scans).done()
+    sums = decayed_sums(src, series, at=F.col("_wf_e"), **ewma_sums(F.col(col), x0, span, prefix))
+    return ewma_columns(sums, col, x0, prefix).drop("_wf_x0", "_wf_e")
 
 
 def ewma_flags(df: DataFrame, series: Series, col: str, span: int = SPAN, k: float = SPIKE_K) -> DataFrame:
@@ -188,19 +188,34 @@ def spike_condition(direction: str, d: Column, z: Column, watts: float, k: float
     return F.coalesce(hit, F.lit(False))
 
 
-def with_spikes(
-    df: DataFrame, series: Series, power: str = "power_watts", watts: float = SPIKE_W,
-    k: float = SPIKE_K, span: int = SPAN, directions: Sequence[str] = ("rise", "drop", "both"),
+def spike_flags(
+    df: DataFrame, d1: str, z: str, watts: float, k: float, directions: Sequence[str]
 ) -> DataFrame:
-    """Adds ``d1``, the EWMA columns and one 0/1 flag per direction."""
-    seen = Timeline(df, series).scan(_wf_p=previous(F.col(power)), _wf_rn=running_count()).done()
-    seen = seen.withColumn("d1", F.col(power) - F.col("_wf_p"))
-    z = with_ewma(seen, series, power, span, rn="_wf_rn")
     flags = {}
     for direction in directions:
-        rule = spike_condition(direction, F.col("d1"), F.col("ewma_z"), watts, k)
+        rule = spike_condition(direction, F.col(d1), F.col(z), watts, k)
         flags[f"spike_{direction}"] = F.when(rule, 1).otherwise(0)
-    return z.withColumns(flags).drop("_wf_p", "_wf_rn")
+    return df.withColumns(flags)
+
+
+def with_spikes(
+    df: DataFrame, series: Series, power: str = "power_watts", watts: float = SPIKE_W,
+    k: float = SPIKE_K, span: int = SPAN, directions: Sequence[str] = ("rise", "drop", "both"),
+    row_number: str | None = None,
+) -> DataFrame:
+    """Adds ``d1``, the EWMA columns and one 0/1 flag per direction.
+
+    One scan and one decay pass; ``row_number`` keeps the row numbers for a
+    following row window.
+    """
+    rn, x0 = row_number or "_wf_rn", F.col("_wf_x0")
+    seen = Timeline(df, series).scan(
+        **{rn: running_count()}, _wf_p=previous(F.col(power)), _wf_x0=first_seen(F.col(power).cast("double"))
+    )
+    seen = seen.with_columns({"d1": F.col(power) - F.col("_wf_p")}).done()
+    sums = decayed_sums(seen, series, at=F.col(rn), **ewma_sums(F.col(power), x0, span, "ewma"))
+    out = spike_flags(ewma_columns(sums, power, x0, "ewma"), "d1", "ewma_z", watts, k, directions)
+    return out.drop("_wf_p", "_wf_x0", *([] if row_number else [rn]))
 
 
 def horizon_label(w: WindowSpec, event: str, rows: int = HORIZON_ROWS) -> Column:
@@ -213,9 +228,9 @@ def with_label(
     watts: float = SPIKE_W, k: float = SPIKE_K, span: int = SPAN, power: str = "power_watts",
 ) -> DataFrame:
     """Forward-horizon spike label."""
-    spikes = with_spikes(df, series, power, watts, k, span, (direction,))
-    event = f"spike_{direction}"
-    return by_rows(spikes, series, lambda w: {"label": horizon_label(w, event, horizon)}, after=horizon)
+    spikes = with_spikes(df, series, power, watts, k, span, (direction,), row_number="rn")
+    stage = lambda w: {"label": horizon_label(w, f"spike_{direction}", horizon)}
+    return by_rows(spikes, series, stage, after=horizon, row_number="rn").drop("rn")
 
 
 def hf_features(w: WindowSpec, signals: Sequence[str]) -> dict[str, Column]:
@@ -227,31 +242,51 @@ def hf_features(w: WindowSpec, signals: Sequence[str]) -> dict[str, Column]:
     return out
 
 
-def filled(df: DataFrame, series: Series, cols: Sequence[str], suffix: str = "_f") -> DataFrame:
-    """Forward-filled copies and a row number, in one scan."""
+def filled(df: DataFrame, series: Series, cols: Sequence[str], **more: Running) -> DataFrame:
+    """Forward-filled copies (``{c}_f``) and a row number, in one scan."""
     present = [c for c in cols if c in df.columns]
-    scans = {f"{c}{suffix}": last_seen(F.col(c).cast("double")) for c in present}
-    return Timeline(df, series).scan(rn=running_count(), **scans).done()
+    scans = {f"{c}_f": last_seen(F.col(c).cast("double")) for c in present}
+    return Timeline(df, series).scan(rn=running_count(), **scans, **more).done()
 
 
 def feature_frame(
     df: DataFrame, series: Series, lane_a: bool = False, kf: bool = False, upstream: bool = False,
-    lookback: int = LOOKBACK_ROWS, slope: int = SLOPE_ROWS,
+    lookback: int = LOOKBACK_ROWS, slope: int = SLOPE_ROWS, label: dict | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Causal feature matrix (W37): every window feature of a row in one pass.
+    """Causal feature matrix.
 
-    Features of signals that are absent are skipped.  Returns the frame and the
-    feature columns; rows are not filtered.
+    One scan carries row numbers, filled signals and first values; one decay
+    pass gives the Hawkes intensity (and the EWMA of the label); one row-window
+    pass gives every lag, delta and rolling feature.  Features of absent signals
+    are skipped.  Returns the frame and the feature columns, rows unfiltered.
+    ``label`` (horizon, direction, watts, k, span) also adds ``label``.
     """
     ups = [s for s in UPSTREAM if s in df.columns] if upstream else []
     fill = [*dict.fromkeys([*ups, *(["temp_celsius"] if "temp_celsius" in df.columns else [])])]
     if "freq_mhz" in ups:
         fill.append("usage_percent")
-    src = filled(df, series, fill)
+    scans = {"rn": running_count()}
+    scans.update({f"{c}_f": last_seen(F.col(c).cast("double")) for c in fill})
+    decays: dict[str, Decay] = {}
+    x0 = F.col("_wf_x0")
+    if "nr_running" in ups:
+        scans["_wf_nr_b"] = last_before(F.col("nr_running").cast("double"))
+        rise = F.greatest(F.col("nr_running_f") - F.col("_wf_nr_b"), F.lit(0.0))
+        decays["nr_running_hawkes"] = Decay(F.coalesce(rise, F.lit(0.0)), HAWKES_TAU_S)
+    if label:
+        scans["_wf_p"] = previous(F.col("power_watts"))
+        scans["_wf_x0"] = first_seen(F.col("power_watts").cast("double"))
+        decays.update(ewma_sums(F.col("power_watts"), x0, label["span"], "ewma"))
+    src = Timeline(df, series).scan(**scans).done()
     if "freq_mhz" in ups:
-        ghz, usage = F.col("freq_mhz_f") / 1000.0, F.col("usage_percent_f")
-        src = src.withColumns(physics(ghz, usage))
-    names: list[str] = []
+        src = src.withColumns(physics(F.col("freq_mhz_f") / 1000.0, F.col("usage_percent_f")))
+    if decays:
+        src = decayed_sums(src, series, at=F.col("rn"), **decays)
+    if label:
+        src = ewma_columns(src, "power_watts", x0, "ewma")
+        src = src.withColumn("d1", F.col("power_watts") - F.col("_wf_p"))
+        way = label["direction"]
+        src = spike_flags(src, "d1", "ewma_z", label["watts"], label["k"], (way,))
 
     def first(w: WindowSpec) -> dict[str, Column]:
         out = {**lag_features(w), **usage_deltas(w, slope), **cross_flags(w)}
@@ -265,19 +300,23 @@ def feature_frame(
             for n in ("freq_sq_x_usage", "freq_cubed", "freq_x_usage"):
                 out[f"{n}_slope30"] = delta(n, lookback, w) / float(lookback)
         if "nr_running" in ups:
-            out["_wf_nr_d1"] = delta("nr_running_f", 1, w)
+            out["_wf_nr_d1"] = F.col("nr_running_f") - F.col("_wf_nr_b")
             cv, peak = rolling_shape(w, "nr_running_f", lookback, 1e-6)
             out["nr_running_cv"], out["nr_running_peak_to_mean"] = cv, peak
         names.extend(n for n in out if not n.startswith("_wf") and n not in names)
+        if label:
+            out["label"] = horizon_label(w, f"spike_{label['direction']}", label["horizon"])
         return out
 
     def second(w: WindowSpec) -> dict[str, Column]:
         return {"nr_running_jerk": rolling_std(w, "_wf_nr_d1", lookback)}
 
+    names: list[str] = []
     stages = [first, second] if "nr_running" in ups else [first]
-    out = by_rows(src, series, *stages, before=2 * lookback, row_number="rn")
+    out = by_rows(
+        src, series, *stages, before=lookback, after=label["horizon"] if label else 0, row_number="rn"
+    )
     if "nr_running" in ups:
-        out = with_hawkes(out, series, "nr_running_f", "nr_running_hawkes", rn="rn")
         names += ["nr_running_jerk", "nr_running_hawkes"]
     if lane_a:
         names.append("procs_running")
@@ -286,26 +325,23 @@ def feature_frame(
     out = out.withColumns({s: F.col(f"{s}_f") for s in ups})
     names += [s for s in ups if s not in names]
     if kf:
-        out = out.join(
-            kalman(df.filter("power_watts IS NOT NULL"), series, "power_watts", adapt=True).select(
-                *series.key, series.ts, *series.tie,
-                F.col("level").alias("kf_level"), F.col("slope").alias("kf_slope"),
-            ),
-            [*series.key, series.ts, *series.tie],
-            "left",
+        at = [*series.key, series.ts, *series.tie]
+        states = kalman(df, series, "power_watts", adapt=True).select(
+            *at, F.col("level").alias("kf_level"), F.col("slope").alias("kf_slope")
         )
+        out = out.join(states, at, "left")
         names += ["kf_level", "kf_slope"]
-    drop = [f"{c}_f" for c in fill] + ["_wf_nr_d1", "rn"]
+    drop = [f"{c}_f" for c in fill] + ["_wf_nr_d1", "_wf_nr_b", "_wf_p", "_wf_x0", "rn"]
     return out.drop(*drop), names
 
 
 def build_xy(
     df: DataFrame, series: Series, horizon: int = HORIZON_ROWS, direction: str = "both",
-    watts: float = SPIKE_W, k: float = SPIKE_K, **features,
+    watts: float = SPIKE_W, k: float = SPIKE_K, span: int = SPAN, **features,
 ) -> tuple[DataFrame, list[str]]:
     """Feature matrix with label, complete rows only."""
-    labelled = with_label(df, series, horizon, direction, watts, k)
-    x, names = feature_frame(labelled, series, **features)
+    label = {"horizon": horizon, "direction": direction, "watts": watts, "k": k, "span": span}
+    x, names = feature_frame(df, series, label=label, **features)
     return x.na.drop(subset=names), names
 
 
@@ -316,7 +352,7 @@ def candidate_features(df: DataFrame, series: Series, lookback: int = LOOKBACK_R
         for c in ("freq_mhz", "temp_celsius", "pdu_watts", "procs_running", "usage_percent")
         if c in df.columns
     ]
-    src = filled(df, series, channels)
+    src = filled(df, series, channels, _wf_x0=first_seen(F.col("power_watts").cast("double")))
     slopes = [(f"{c}_f", c) for c in channels]
     if "freq_mhz" in channels:
         ghz, usage = F.col("freq_mhz_f") / 1000.0, F.col("usage_percent_f")
@@ -337,13 +373,15 @@ def candidate_features(df: DataFrame, series: Series, lookback: int = LOOKBACK_R
         out.update({f"{name}_slope": delta(c, lookback, w) / lookback for c, name in slopes})
         return out
 
+    x0 = F.col("_wf_x0")
+    src = decayed_sums(src, series, at=F.col("rn"), **ewma_sums(F.col("power_watts"), x0, SPAN, "ewma"))
+    src = ewma_columns(src, "power_watts", x0, "ewma")
     out = by_rows(src, series, stage, before=lookback, row_number="rn")
-    out = with_ewma(out, series, "power_watts", rn="rn")
     out = out.withColumns({c: F.col(f"{c}_f") for c in channels})
     names = ["rolling_cv", "rolling_peak_to_mean", "ewma_z", "usage_slope_per_s"]
     for _, name in slopes:
         names += [name, f"{name}_slope"]
-    drop = [f"{c}_f" for c in channels] + ["rn", "_wf_mp", "_wf_mq", "ewma_mean", "ewma_std"]
+    drop = [f"{c}_f" for c in channels] + ["rn", "_wf_x0", "_wf_mp", "_wf_mq", "ewma_mean", "ewma_std"]
     return out.drop(*drop), names
 
 
@@ -401,23 +439,28 @@ def segment_features(
     """EWMA-z of power, jerk and Hawkes intensity inside contiguous segments."""
     from wattframe.operators.events import with_segments
 
-    seg = with_segments(df, series, max_gap_s)
     inner = series.with_key(*series.key, "segment")
+    seg = with_segments(df, series, max_gap_s)
     sizes = seg.groupBy(*inner.key).agg(F.count(F.lit(1)).alias("segment_rows"))
-    long = seg.join(sizes.filter(F.col("segment_rows") >= min_rows), list(inner.key))
-    rows = number_rows(long, inner, "rn")
-
-    def first(w: WindowSpec) -> dict[str, Column]:
-        return {"_wf_d1": delta(runq, 1, w)}
-
-    def second(w: WindowSpec) -> dict[str, Column]:
-        return {"jerk": rolling_std(w, "_wf_d1", jerk_rows)}
-
-    out = by_rows(rows, inner, first, second, before=jerk_rows + 1, row_number="rn")
-    out = with_hawkes(out, inner, runq, "hawkes", tau_s, dt, rn="rn")
-    for col, prefix in ((power, "p"), ("jerk", "j"), ("hawkes", "h")):
-        out = with_ewma(out, inner, col, span, prefix, rn="rn")
-    return out.drop("_wf_d1", "rn", *[f"{p}_{s}" for p in "pjh" for s in ("mean", "std")])
+    src = Timeline(seg, inner).scan(
+        rn=running_count(), _wf_b=previous(F.col(runq)), _wf_x0=first_seen(F.col(power).cast("double"))
+    )
+    src = src.with_columns({"_wf_d1": F.col(runq) - F.col("_wf_b")}).done()
+    mark = F.coalesce(F.greatest(F.col("_wf_d1"), F.lit(0.0)), F.lit(0.0))
+    src = decayed_sums(src, inner, at=F.col("rn"), hawkes=Decay(mark, tau_s / dt))
+    jerk = lambda w: {"jerk": rolling_std(w, "_wf_d1", jerk_rows)}
+    src = by_rows(src, inner, jerk, before=jerk_rows, row_number="rn")
+    zero = F.lit(0.0)
+    parts = ((power, F.col("_wf_x0"), "p"), ("jerk", zero, "j"), ("hawkes", zero, "h"))
+    sums = {}
+    for col, centre, prefix in parts:
+        sums.update(ewma_sums(F.col(col), centre, span, prefix))
+    out = decayed_sums(src, inner, at=F.col("rn"), **sums)
+    for col, centre, prefix in parts:
+        out = ewma_columns(out, col, centre, prefix)
+    out = out.join(sizes.filter(F.col("segment_rows") >= min_rows), list(inner.key))
+    drop = ["_wf_d1", "_wf_b", "_wf_x0", "rn", *[f"{p}_{s}" for p in "pjh" for s in ("mean", "std")]]
+    return out.drop(*drop)
 
 
 def max_ramp(df: DataFrame, series: Series, power: str, rows: int) -> DataFrame:

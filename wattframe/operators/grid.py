@@ -235,16 +235,15 @@ def resample(
     step = F.col(dt) if isinstance(dt, str) else F.lit(float(dt))
     seg = segments(df, series, t, v).withColumn("_wf_dt", step)
     d = F.col("_wf_dt")
+    last = F.col("t_next").isNull()
     lo = F.ceil((F.col(t) - F.col("t_first")) / d).cast("long")
-    end = (
-        F.lit(ticks)
-        if ticks is not None
-        else F.ceil((F.col(t) + d / 2 - F.col("t_first")) / d).cast("long")
-    )
-    hi = F.when(F.col("t_next").isNull(), end).otherwise(
-        F.ceil((F.col("t_next") - F.col("t_first")) / d).cast("long")
-    )
-    lo = F.when(F.col("t_next").isNull(), F.least(lo, end - 1)).otherwise(lo) if ticks else lo
+    hi = F.ceil((F.col("t_next") - F.col("t_first")) / d).cast("long")
+    if ticks is None:
+        end = F.ceil((F.col(t) + d / 2 - F.col("t_first")) / d).cast("long")
+    else:  # the last sample owns exactly the last tick
+        end = F.lit(ticks).cast("long")
+        lo, hi = F.least(lo, end - 1), F.least(hi, end - 1)
+    hi = F.when(last, end).otherwise(hi)
     grid = seg.withColumns({"_wf_lo": lo, "_wf_hi": hi}).filter("_wf_hi > _wf_lo")
     grid = grid.withColumn("tick", F.explode(F.sequence(F.col("_wf_lo"), F.col("_wf_hi") - 1)))
     at = F.col("t_first") + F.col("tick") * d

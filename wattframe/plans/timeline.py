@@ -36,7 +36,8 @@ Stage = Callable[[WindowSpec], dict[str, Column]]
 
 @dataclass(frozen=True)
 class Running:
-    """One running quantity: ``kind`` in sum, max, min, last, first, lag."""
+    """One running quantity: ``kind`` in sum, max, min, last, before, first,
+    lag."""
 
     kind: str
     value: Column
@@ -63,6 +64,11 @@ def last_seen(value: Column) -> Running:
     return Running("last", value)
 
 
+def last_before(value: Column) -> Running:
+    """Latest non-null value strictly before the row."""
+    return Running("before", value)
+
+
 def first_seen(value: Column) -> Running:
     """Earliest non-null value up to and including the row."""
     return Running("first", value)
@@ -91,6 +97,9 @@ class Timeline:
     def with_columns(self, cols: dict[str, Column]) -> Timeline:
         return self._same(self.df.withColumns(cols))
 
+    def drop(self, *cols: str) -> Timeline:
+        return self._same(self.df.drop(*cols))
+
     def scan(self, reverse: bool = False, **specs: Running) -> Timeline:
         """Add one running column per spec (``reverse`` runs from the end)."""
         s = self.series
@@ -98,6 +107,7 @@ class Timeline:
         order = [c.desc() for c in s.order()] if reverse else s.order()
         local = Window.partitionBy(*place).orderBy(*order)
         upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = local.rowsBetween(Window.unboundedPreceding, -1)
         by_bucket = F.col(BUCKET).desc() if reverse else F.col(BUCKET)
         before = (
             Window.partitionBy(*s.key)
@@ -117,7 +127,7 @@ class Timeline:
                 fn = getattr(F, sp.kind)
                 partial.append(fn(v).alias(tmp))
                 carry.append(fn(tmp).over(before).alias(out))
-            elif sp.kind == "last":
+            elif sp.kind in ("last", "before"):
                 partial.append(newest(v, F.when(v.isNotNull(), at)).alias(tmp))
                 carry.append(F.last(tmp, ignorenulls=True).over(before).alias(out))
             elif sp.kind == "first":
@@ -140,6 +150,8 @@ class Timeline:
                 return F.least(F.min(v).over(upto), c)
             if sp.kind == "last":
                 return F.coalesce(F.last(v, ignorenulls=True).over(upto), c)
+            if sp.kind == "before":
+                return F.coalesce(F.last(v, ignorenulls=True).over(earlier), c)
             if sp.kind == "first":
                 return F.coalesce(c, F.first(v, ignorenulls=True).over(upto))
             inside = F.lag(F.struct(v.alias("v"))).over(local)
