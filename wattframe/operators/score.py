@@ -247,3 +247,42 @@ def regime_contrast(
         F.avg("score").alias("mean_score"),
         F.avg((F.col("score") > threshold).cast("double")).alias("flagged_frac"),
     )
+
+
+def rule_grid(
+    scored: DataFrame, onsets: DataFrame, series: Series, rules: dict[str, Column], max_rows: int,
+    gap_rows: int, match_rows: int,
+) -> DataFrame:
+    """Detection, latency and episode precision of many flag rules.
+
+    ``scored`` and ``onsets`` carry ``rn``.  Rules are a handful of fixed
+    expressions: each row emits the names of the rules it fires, and the rule
+    joins the key, so all rules are scored in one pass.
+    """
+    from wattframe.operators.events import flag_episodes, row_axis
+    from wattframe.operators.match import confirm, near_any
+
+    key = ["rule", *series.key]
+    inner = series.with_key(*key)
+    axis = row_axis(inner)
+    names = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
+    flags = scored.select(*series.key, "rn", F.explode(names).alias("rule"))
+    every = F.explode(F.array(*[F.lit(n) for n in rules]))
+    wanted = onsets.select(*series.key, "rn", every.alias("rule"))
+    hits = confirm(wanted, flags, axis, max_rows)
+    eps = near_any(flag_episodes(flags, inner, gap_rows), wanted, axis, match_rows)
+    detection = hits.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n_onsets"), F.count("latency_s").alias("detected")
+    )
+    lat = quantiles(hits, ["rule"], "latency_s", {"median_lat": 0.5, "p90_lat": 0.9})
+    per_ep = eps.groupBy("rule").agg(
+        F.count(F.lit(1)).alias("n_episodes"), F.count_if(~F.col("matched")).alias("false_ep")
+    )
+    out = detection.join(lat, "rule", "left").join(per_ep, "rule", "left")
+    good = F.col("n_episodes") - F.col("false_ep")
+    return out.withColumns(
+        {
+            "det_rate": F.try_divide(F.col("detected").cast("double"), F.col("n_onsets")),
+            "precision": F.try_divide(good.cast("double"), F.col("n_episodes")),
+        }
+    )
