@@ -198,8 +198,7 @@ def g38(spark, d):
 def j11(spark, d):
     from wattframe.operators.match import nearest_rule
 
-    rows = board(spark, d)
-    return nearest_rule(rows.filter("rule LIKE '%and%'"), rows.filter("rule NOT LIKE '%and%'"))
+    return nearest_rule(board(spark, d), ~F.col("rule").contains("and"))
 
 
 @query(

@@ -223,17 +223,21 @@ def segments(df: DataFrame, series: Series, t: str, v: str) -> DataFrame:
 
 
 def resample(
-    df: DataFrame, series: Series, v: str, dt: float | str, ticks: int | None = None
+    df: DataFrame, series: Series, v: str, dt: float | str, ticks: int | None = None,
+    offset: float = 0.0, half_open: bool = False,
 ) -> DataFrame:
     """Linear interpolation on ``t0 + k*dt`` up to ``tN + dt/2``.
 
     ``dt`` may name a per-row column.  Each segment between two samples emits
     its own grid points, so the work is local and skew-free.  With ``ticks``
-    exactly that many points are emitted (R17).
+    exactly that many points are emitted (R17).  ``offset`` starts the grid
+    later, ``half_open`` stops it before ``tN`` (F5).
     """
     t = series.ts
     step = F.col(dt) if isinstance(dt, str) else F.lit(float(dt))
     seg = segments(df, series, t, v).withColumn("_wf_dt", step)
+    if offset:
+        seg = seg.withColumn("t_first", F.col("t_first") + offset)
     d = F.col("_wf_dt")
     last = F.col("t_next").isNull()
     lo = F.ceil((F.col(t) - F.col("t_first")) / d).cast("long")
@@ -243,7 +247,9 @@ def resample(
     else:  # the last sample owns exactly the last tick
         end = F.lit(ticks).cast("long")
         lo, hi = F.least(lo, end - 1), F.least(hi, end - 1)
-    hi = F.when(last, end).otherwise(hi)
+    hi = F.when(last, F.lit(None) if half_open else end).otherwise(hi)
+    if offset:
+        lo = F.greatest(lo, F.lit(0))
     grid = seg.withColumns({"_wf_lo": lo, "_wf_hi": hi}).filter("_wf_hi > _wf_lo")
     grid = grid.withColumn("tick", F.explode(F.sequence(F.col("_wf_lo"), F.col("_wf_hi") - 1)))
     at = F.col("t_first") + F.col("tick") * d

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.plans.asof import asof
@@ -124,12 +124,12 @@ def nearest_value(
     df: DataFrame, table: DataFrame, value: str, at: str, take: str, name: str, width: float = 100.0
 ) -> DataFrame:
     """Entry of a lookup table nearest to a value, the lower one on ties."""
-    axis = Series(("_wf_one",), at, (), width)
+    axis = Series(("_wf_one",), "_wf_k", (), width)
     left = df.withColumn("_wf_one", F.lit(1))
-    right = table.withColumn("_wf_one", F.lit(1)).select("_wf_one", at, take)
-    cols = {at: "_wf_x0", take: "_wf_y0"}
+    right = table.select(F.lit(1).alias("_wf_one"), F.col(at).alias("_wf_k"), F.col(take).alias("_wf_v"))
+    cols = {"_wf_k": "_wf_x0", "_wf_v": "_wf_y0"}
     low = asof(left, right, axis, columns=cols, left_at=value)
-    both = asof(low, right, axis, columns={at: "_wf_x1", take: "_wf_y1"}, left_at=value, forward=True)
+    both = asof(low, right, axis, columns={"_wf_k": "_wf_x1", "_wf_v": "_wf_y1"}, left_at=value, forward=True)
     closer_low = F.col("_wf_x1").isNull() | (
         F.col(value) - F.col("_wf_x0") <= F.col("_wf_x1") - F.col(value)
     )
@@ -144,17 +144,29 @@ def exact_value(df: DataFrame, table: DataFrame, value: str, at: str, take: str,
     return out.withColumn(name, F.coalesce("_wf_y", F.lit(default))).drop("_wf_at", "_wf_y")
 
 
-def nearest_rule(rules: DataFrame, frontier: DataFrame, width: float = 0.1) -> DataFrame:
-    """Frontier rule with the closest detection rate, and who is more precise."""
-    one = frontier.groupBy("det_rate").agg(
-        F.min_by(F.struct("rule", "precision"), F.col("rule")).alias("_wf_f")
+def nearest_rule(board: DataFrame, is_frontier: Column) -> DataFrame:
+    """Frontier rule with the closest detection rate to each other rule, and
+    which of the two is more precise (J11).
+
+    ``board`` has one row per rule of a fixed rule list, so the whole board is
+    one array and the comparison stays inside a row.
+    """
+    entry = F.struct("rule", "det_rate", "precision", is_frontier.alias("frontier"))
+    one = board.groupBy().agg(F.collect_list(entry).alias("_wf_all"))
+    mine = one.withColumn("_wf_r", F.explode(F.filter("_wf_all", lambda r: ~r["frontier"])))
+    gaps = F.transform(
+        F.filter("_wf_all", lambda r: r["frontier"]),
+        lambda r: F.struct(
+            F.abs(r["det_rate"] - F.col("_wf_r.det_rate")).alias("gap"),
+            r["det_rate"].alias("det_rate"), r["rule"].alias("rule"), r["precision"].alias("precision"),
+        ),
     )
-    near = nearest_value(rules, one, "det_rate", "det_rate", "_wf_f", "_wf_near", width)
+    near = mine.withColumn("_wf_near", F.array_min(gaps))
     return near.select(
-        *rules.columns,
+        "_wf_r.rule", "_wf_r.det_rate", "_wf_r.precision",
         F.col("_wf_near.rule").alias("frontier_rule"),
         F.col("_wf_near.precision").alias("frontier_precision"),
-        (F.col("precision") > F.col("_wf_near.precision")).alias("wins"),
+        (F.col("_wf_r.precision") > F.col("_wf_near.precision")).alias("wins"),
     )
 
 

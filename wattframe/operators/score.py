@@ -91,6 +91,7 @@ def event_score(
     of the alerts, or of the events.  ``element_median`` takes the upper middle
     latency instead of interpolating (G33).
     """
+    series = Series(series.key, series.ts, (), series.width)
     key, t = list(series.key), series.ts
     ev, al = events.select(*key, t), alerts.select(*key, t)
     if bounds is not None:
