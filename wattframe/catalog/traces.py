@@ -39,7 +39,7 @@ GRID_SQL = f"""{T}, {resample_sql(21600.0)}, gs AS (SELECT *, power_W * 1e6 AS P
 
 @query(
     "g2_ramp_risk", f"{KEYS}, n_exceedances_in_trace, ~1rrei_exceedances_per_year, ~3nrs_MW_per_year, ~4lole_proxy_days_per_year, ~4lole_ratio, ~4cv, ~4peak_to_mean, ~1trace_duration_s",
-    f"""WITH {GRID_SQL} SELECT run, workload, arm, n AS n_exceedances_in_trace, n * {YEAR} / nullif(span, 0) AS rrei_exceedances_per_year, nrs * {YEAR} / nullif(span, 0) AS nrs_MW_per_year,
+    f"""WITH {GRID_SQL} SELECT run, workload, arm, n AS n_exceedances_in_trace, round_even(n * {YEAR} / nullif(span, 0), 1) AS rrei_exceedances_per_year, nrs * {YEAR} / nullif(span, 0) AS nrs_MW_per_year,
     n * {YEAR} / nullif(span, 0) * (mx / 1e6 / 10000 * 2) / 24 AS lole_proxy_days_per_year, n * {YEAR} / nullif(span, 0) * (mx / 1e6 / 10000 * 2) / 24 / 0.1 AS lole_ratio, sd / mean AS cv, mx / mean AS peak_to_mean, span AS trace_duration_s FROM rk""",
 )
 def g2(spark, d):

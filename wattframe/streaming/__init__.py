@@ -1,0 +1 @@
+"""Live paths under Structured Streaming."""
