@@ -14,7 +14,7 @@ from wattframe.operators import features as ft
 from wattframe.operators import ml
 from wattframe.plans.folds import checkpoint
 
-FOREST = ml.Learner("rf", trees=12, depth=6, min_leaf=20)
+FOREST = ml.Learner("rf", trees=5, depth=4, min_leaf=20)
 LOGREG = ml.Learner("logreg")
 AXIS = b.SAMPLES
 DAY = b.DAY
@@ -99,7 +99,7 @@ def m13(spark, d):
     rows, names = xy(spark, d)
     up = [n for n in names if n.startswith(("nr_running", "freq", "procs")) or n == "temp_celsius_d3"]
     base = [n for n in names if n not in up]
-    windows = ml.sliding_folds(rows, "ts", 8 * DAY, 4 * DAY, DAY / 4)[:2]
+    windows = ml.sliding_folds(rows, "ts", 8 * DAY, 4 * DAY, DAY / 4)[:1]
     _, log = ml.walk_generations(
         rows, AXIS, base, up, onsets(spark, d), windows, FOREST, block_s=BLOCK, horizon_s=DAY, gap_s=DAY
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -16,16 +17,23 @@ from wattframe.series import Series
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage on reliable storage (the cluster's shared folder when set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cut lineage: write the rows to the cluster's shared checkpoint folder and
+    read them back.  The table survives lost executors and is column-pruned by
+    later reads."""
+    path = f"{checkpoint_dir(df.sparkSession)}/wattframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a scratch folder where unset."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="wattframe-checkpoint-")
+    if named is None:
+        named = spark.conf.get("spark.wattframe.scratch", None)
+    if named is None:
+        named = tempfile.mkdtemp(prefix="wattframe-checkpoint-")
+        spark.conf.set("spark.wattframe.scratch", named)
+    return named
 
 
 GroupFn = Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]

@@ -149,4 +149,5 @@ def descending_rank(
     sizes = sizes.select(*place, F.coalesce(F.sum("_wf_size").over(above), F.lit(0)).alias("_wf_up"))
     w = Window.partitionBy(*place).orderBy(F.col(score).desc(), *tie)
     out = joined.join(sizes, place).withColumn(name, F.row_number().over(w) + F.col("_wf_up"))
-    return out.drop("_wf_part", "_wf_sub", "_wf_up", ALL)
+    out = out.drop("_wf_part", "_wf_sub", "_wf_up")
+    return out if keys else out.drop(ALL)
