@@ -70,7 +70,7 @@ def test_trim_ends(spark):
 
 
 def test_repeated_time_is_dropped(spark):
-    df = spark.createDataFrame([("x", i, t) for i, t in enumerate((0, 0.1, 0.1, 0.2, 0.3))], "k STRING, seq INT, time_s DOUBLE")
+    df = spark.createDataFrame([("x", i, t) for i, t in enumerate((0.0, 0.1, 0.1, 0.2, 0.3))], "k STRING, seq INT, time_s DOUBLE")
     out = grid.drop_nonincreasing(df, Series(("k",), "seq", (), 100), "time_s")
     assert sorted(r["seq"] for r in out.collect()) == [0, 1, 3, 4]
 

@@ -201,9 +201,8 @@ def fold(
     keys = list(series.key)
     order = [series.ts, *series.tie]
     out_cols = out_schema.fieldNames()
-    whole = T.StructType(
-        [*out_schema.fields, T.StructField("_wf_state", T.ArrayType(T.DoubleType()))]
-    )
+    nullable = [T.StructField(f.name, f.dataType) for f in out_schema.fields]
+    whole = T.StructType([*nullable, T.StructField("_wf_state", T.ArrayType(T.DoubleType()))])
 
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         """One carried-state row (when present) sorts first in each group."""

@@ -64,31 +64,33 @@ def order_statistics(
     bracket = sketch.select(*by, F.array(*plan).alias("_wf_plan"))
     if not keys:
         bracket = F.broadcast(bracket)  # one row
-    joined = keyed.join(bracket, by).select(*by, "_wf_x", F.explode("_wf_plan").alias("p"))
-    inside = (F.col("_wf_x") >= F.col("p.lo")) & (F.col("_wf_x") <= F.col("p.hi"))
+    joined = keyed.join(bracket, by).select(*by, "_wf_x", F.explode("_wf_plan").alias("_wf_p"))
+    p = F.col("_wf_p")
+    inside = (F.col("_wf_x") >= p["lo"]) & (F.col("_wf_x") <= p["hi"])
     tally = (
-        joined.filter(F.col("_wf_x") <= F.col("p.hi"))
+        joined.filter(F.col("_wf_x") <= p["hi"])
         .groupBy(
             *by,
-            F.col("p.t").alias("t"),
-            F.when(inside, F.col("_wf_x")).alias("x"),
-            F.col("p.k").alias("k"),
-            F.col("p.f").alias("f"),
+            p["t"].alias("_wf_t"),
+            F.when(inside, F.col("_wf_x")).alias("_wf_v"),
+            p["k"].alias("_wf_k"),
+            p["f"].alias("_wf_f"),
         )
-        .agg(F.count(F.lit(1)).alias("c"))
+        .agg(F.count(F.lit(1)).alias("_wf_c"))
     )
-    w = Window.partitionBy(*by, "t").orderBy(F.col("x").asc_nulls_first())
-    cum = tally.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    k = F.col("k")
-    here = (F.col("lo") <= k) & (k < F.col("hi"))
-    nxt = (F.col("lo") <= k + 1) & (k + 1 < F.col("hi"))
-    a, b = F.max(F.when(here, F.col("x"))), F.max(F.when(nxt, F.col("x")))
-    picked = cum.groupBy(*by, "t").agg(a.alias("a"), b.alias("b"), F.first("f").alias("f"))
-    val = F.when(F.col("f") == 0, F.col("a")).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    w = Window.partitionBy(*by, "_wf_t").orderBy(F.col("_wf_v").asc_nulls_first())
+    cum = tally.withColumn("_wf_hi", F.sum("_wf_c").over(w))
+    lo, hi, k = F.col("_wf_hi") - F.col("_wf_c"), F.col("_wf_hi"), F.col("_wf_k")
+    here, after = (lo <= k) & (k < hi), (lo <= k + 1) & (k + 1 < hi)
+    picked = cum.groupBy(*by, "_wf_t").agg(
+        F.max(F.when(here, F.col("_wf_v"))).alias("_wf_a"),
+        F.max(F.when(after, F.col("_wf_v"))).alias("_wf_b"),
+        F.first("_wf_f").alias("_wf_f"),
     )
-    out = picked.withColumn("v", val).groupBy(*by).agg(
-        *[F.max(F.when(F.col("t") == name, F.col("v"))).alias(name) for name in targets]
+    at, nxt, part = F.col("_wf_a"), F.col("_wf_b"), F.col("_wf_f")
+    value_at = F.when(part == 0, at).otherwise(at + (nxt - at) * part)
+    out = picked.withColumn("_wf_r", value_at).groupBy(*by).agg(
+        *[F.max(F.when(F.col("_wf_t") == name, F.col("_wf_r"))).alias(name) for name in targets]
     )
     return out if keys else out.drop(ALL)
 
