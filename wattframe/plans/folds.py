@@ -218,7 +218,10 @@ def fold(
             tails.append([*key, list(map(float, state))])
         ends = pd.DataFrame(tails, columns=[*keys, "_wf_state"])
         out = pd.concat([*pieces, ends], ignore_index=True) if pieces else ends
-        out = out.reindex(columns=[*out_cols, "_wf_state"])
+        for c in out_cols:
+            if c not in out.columns:  # only carried states in this batch
+                out[c] = pd.Series([None] * len(out), dtype=object)
+        out = out[[*out_cols, "_wf_state"]]
         out["_wf_state"] = [v if isinstance(v, list) else None for v in out["_wf_state"]]
         return out
 
