@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import rules
+from wattframe.llm import rans, rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rans_tokens": rans.query,
     "op7_quality_rules": rules.query,
+    "op10_token_counts": tokens.query,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": rules.SQL,
