@@ -100,3 +100,25 @@ def rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
     for b in batches:
         for i in range(0, b.num_rows, size):
             yield b.slice(i, size)
+
+
+def word_hashes(text: str, remove: bytes = b"") -> np.ndarray:
+    """64-bit hashes of a text's words, A-Z lower-cased and the bytes of ``remove`` taken out."""
+    import xxhash
+
+    words = text.encode().translate(LOWER, remove).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+_ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words; a shorter text has none."""
+    m = len(words) - n + 1
+    if m <= 0:
+        return np.empty(0, np.uint64)
+    out = words[:m] * _ODD[0]
+    for k in range(1, n):
+        out += words[k : k + m] * _ODD[k]
+    return mix64(out)
