@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, mixing, rans, rules, tokens
+from wattframe.llm import decontaminate, jaccard, mixing, rans, rules, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rans_tokens": rans.query,
     "op5_string_tiling": decontaminate.query,
     "op6_raked_mixing": mixing.query,
     "op7_quality_rules": rules.query,
+    "op8_jaccard_join": jaccard.query,
     "op10_token_counts": tokens.query,
 }
 ORACLES: dict[str, str] = {
