@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, jaccard, mixing, rans, rules, tokens
+from wattframe.llm import decontaminate, jaccard, mixing, rans, rules, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.query,
     "op2_rans_tokens": rans.query,
     "op5_string_tiling": decontaminate.query,
     "op6_raked_mixing": mixing.query,

@@ -110,7 +110,7 @@ def word_hashes(text: str, remove: bytes = b"") -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-_ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+ODD = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -118,7 +118,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    out = words[:m] * _ODD[0]
+    out = words[:m] * ODD[0]
     for k in range(1, n):
-        out += words[k : k + m] * _ODD[k]
+        out += words[k : k + m] * ODD[k]
     return mix64(out)
