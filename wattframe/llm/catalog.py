@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, jaccard, mixing, rans, rules, tokens, toxicity
+from wattframe.llm import decontaminate, jaccard, mixing, pii, rans, rules, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_raked_mixing": mixing.query,
     "op7_quality_rules": rules.query,
     "op8_jaccard_join": jaccard.query,
+    "op9_skip_chain_pii": pii.query,
     "op10_token_counts": tokens.query,
 }
 ORACLES: dict[str, str] = {
