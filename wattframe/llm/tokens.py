@@ -45,7 +45,7 @@ class Memo(dict):
         self.encode, self.most = encode, most
 
     def learn(self, pieces: set) -> None:
-        missing = list(pieces.difference(self))
+        missing = [p for p in pieces if p not in self]
         if len(self) + len(missing) > self.most:
             self.clear()
             missing = list(pieces)
