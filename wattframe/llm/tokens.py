@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces held by a worker; about 150 bytes each.
-MEMO = 400_000
+from wattframe.llm.common import LOWER
+
+#: Pieces held by a worker; about 200 bytes each.
+MEMO = 1_400_000
 #: Bytes of text per batch handed to the library.
 BATCH_BYTES = 4 << 20
 
@@ -153,19 +156,49 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Word tokenizers: white space is dropped, so words are the pieces.
 
+#: Words that the outer steps (normal form, lower case, cut at letters) leave whole and as they are,
+#: and the same with one mark after them, which is always a piece of its own.
+LETTERS = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]?)")
+_visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The byte-level alphabet: visible bytes stand for themselves, the others for code points from 256 on.
+ALPHABET = {b: chr(b) for b in _visible} | {
+    b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _visible)
+}
+
+
+def word_encoder(name: str) -> Callable[[str], bytes]:
+    """Text to its ids as packed little-endian 32-bit integers, by the word tokenizer ``name``.
 
-def word_encoder(name: str, width: str = "<u4") -> Callable[[str], bytes]:
-    """Text to its ids as packed little-endian integers, by the word tokenizer ``name``."""
+    The library's model is asked directly for plain lower-case words; all other
+    words go through the whole tokenizer.
+    """
     tok = tokenizer(name)
+    merge = tok.model.tokenize
+    table = {i: ALPHABET[i] for i in range(256)}
+    marks = {m: array("I", [t.id for t in merge(m)]).tobytes() for m in ".,;:!?"}
+    marks[""] = b""
 
     def encode(words: list[bytes]) -> list[bytes]:
-        found = tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, dtype=width).tobytes() for e in found]
+        out: list[bytes] = [b""] * len(words)
+        others = []
+        for i, w in enumerate(words):
+            text = w.decode()
+            if m := LETTERS.fullmatch(text):
+                letters = m[1] if text.isascii() else m[1].encode().decode("latin-1").translate(table)
+                out[i] = array("I", [t.id for t in merge(letters)]).tobytes() + marks[m[2]]
+            else:
+                others.append(i)
+        found = tok.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)
+        for i, e in zip(others, found, strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        return out
 
-    memo = _memos.setdefault((width, name), Memo(encode))
+    memo = _memos.setdefault(("ids", name), Memo(encode))
 
     def ids(text: str) -> bytes:
-        words = text.encode().split()
+        data = text.encode()
+        # The tokenizer lower-cases, too, but only outside its special tokens.
+        words = data.split() if b"<|" in data else data.translate(LOWER).split()
         out = []
         for i in range(0, len(words), MEMO // 4):
             part = words[i : i + MEMO // 4]
