@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, jaccard, mixing, pii, rans, repeats, rules, tokens, toxicity
+from wattframe.llm import decontaminate, jaccard, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
     "op2_rans_tokens": rans.query,
     "op3_maximal_repeats": repeats.query,
+    "op4_quotation_links": quotes.query,
     "op5_string_tiling": decontaminate.query,
     "op6_raked_mixing": mixing.query,
     "op7_quality_rules": rules.query,
