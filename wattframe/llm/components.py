@@ -32,7 +32,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     before = None
     for _ in range(rounds):
-        now = keep(_stars(keep(_stars(now, large=True)), large=False))
+        now = keep(_stars(_stars(now, large=True), large=False))
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first())
         if mark == before:
             break

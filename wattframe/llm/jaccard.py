@@ -42,7 +42,7 @@ COMMON = 40
 BITS = 24
 #: A common column is dealt to this many blocks.
 SALT = 8
-STARS = 6
+STARS = 4
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -199,12 +199,39 @@ def _incidence(docs: DataFrame) -> DataFrame:
     return keep(dealt.mapInArrow(shared, "gram long, node long, size int, doc_id long"))
 
 
+def _bounded(columns: DataFrame) -> DataFrame:
+    """Rows of leading columns with ``live``, the most that a row can share, and ``band``, its size class.
+
+    A leading column that no other row has is lost for every overlap. A pair
+    needs 0.8 / 1.8 of both sizes together, so at least one of its rows has
+    ``live`` of 8/9 of its own size: these rows are ``good``. Sizes of a pair
+    differ by a quarter at most, so its bands are equal or next to each other.
+    """
+    kept = columns.groupBy("node").agg(F.count("*").alias("kept"))
+    first = f"(size - (size * {PERCENT} + 99) div 100 + 1)"
+    return keep(
+        columns.join(kept, "node")
+        .withColumn("live", F.expr(f"cast(size - ({first} - kept) as int)"))
+        .select(
+            "gram", "node", "size", "live", F.expr(f"live * {100 + PERCENT} >= size * {2 * PERCENT}").alias("good"),
+            F.floor(F.log(100 / PERCENT, F.col("size")) + 1e-9).cast("int").alias("band"),
+        )
+    )
+
+
 def _may_link(slack: float) -> str:
     """Size bounds in SQL over a pair's sizes ``x``, ``y`` and the columns ``c`` they share."""
-    rest = "(z - (z - (z * {p} + 99) div 100 + 1))".format(p=PERCENT)
+    rest = "((z * {p} + 99) div 100 - 1)".format(p=PERCENT)
     most = f"greatest({rest.replace('z', 'x')}, {rest.replace('z', 'y')})"
     need = f"ceil((x + y) * {PERCENT} / {100 + PERCENT})"
-    return f"least(x, y) * 100 >= greatest(x, y) * {PERCENT} and c >= {slack} * ({need} - {most})"
+    return f"c >= {slack} * ({need} - {most})"
+
+
+#: What a pair of rows ``a``, ``b`` in one column must fulfil; ``a`` is good and of b's band or the one below or above.
+PAIR = (
+    f"a.label <> b.label and least(a.size, b.size) * 100 >= greatest(a.size, b.size) * {PERCENT} "
+    f"and least(a.live, b.live) * {100 + PERCENT} >= (a.size + b.size) * {PERCENT} and (not b.good or a.node < b.node)"
+)
 
 
 def _linked(docs: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -275,53 +302,68 @@ def joined(docs: DataFrame) -> DataFrame:
 
 
 def _merge(docs: DataFrame, own: DataFrame, columns: DataFrame) -> DataFrame:
-    labels = edges = None
-    for step in range(STARS + 1):
-        rows = columns
-        if labels is None:
-            rows = rows.withColumn("label", F.col("node"))
-        else:
-            rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Only columns in which different components still meet.
-        mixed = rows.groupBy("gram").agg(F.min("label").alias("p"), F.max("label").alias("q")).where("p <> q")
-        rows = keep(rows.join(mixed.select("gram"), "gram", "left_semi"))
-        groups = rows.groupBy("gram", "label").count().groupBy("gram").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("s"))
-        meets, n = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("s")) / 2), F.sum("m")).first()
+    """Component label of every node that has a link."""
+    rows = _bounded(columns)
+    alone = rows.withColumn("label", F.col("node"))
+    edges = keep(_linked(docs, own, _star(_near(alone), 0).where(_may_link(0.5))))
+    labels = keep(components(edges))
+    before = float("inf")
+    for step in range(1, STARS + 1):
+        now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        near = _near(now)
+        # Only columns in which a good row still meets another component.
+        mixed = near.groupBy("gram", "at").agg(
+            F.min("label").alias("p"), F.max("label").alias("q"), F.max(F.col("good") & F.col("mine")).alias("g")
+        )
+        near = keep(near.join(mixed.where("p <> q and g").select("gram", "at"), ["gram", "at"], "left_semi"))
+        by_label = near.groupBy("gram", "at", "label").agg(F.count_if(F.col("good")).alias("g"), F.count_if("mine").alias("m"))
+        groups = by_label.groupBy("gram", "at").agg((F.sum("g") * F.sum("m") - F.sum(F.col("g") * F.col("m"))).alias("meets"), F.sum("m").alias("m"))
+        meets, n = groups.agg(F.sum("meets"), F.sum("m")).first()
         if not meets:
             break
-        full = step == STARS or meets <= 2 * n
-        pairs = (_product(rows) if full else _star(rows, step)).where(_may_link(1.0 if full else 0.5))
-        found = keep(_linked(docs, own, pairs))
-        edges = found if edges is None else edges.union(found)
+        # A star pays as long as the last one halved the rows that still meet.
+        full = step == STARS or meets <= 4 * n or 2 * meets > before
+        before = meets
+        pairs = (_product(near) if full else _star(near, step)).where(_may_link(1.0 if full else 0.5))
+        edges = edges.union(keep(_linked(docs, own, pairs)))
         labels = keep(components(edges))
         if full:
             break
-    if labels is None:
-        labels = columns.select("node", F.col("node").alias("label")).limit(0)
     return labels
 
 
-def _star(rows: DataFrame, step: int) -> DataFrame:
-    """The product with one row of each column: the one first in this step's random order."""
-    order = F.xxhash64("node", F.lit(step))
-    lead = rows.groupBy("gram").agg(F.min(F.struct(order, "node", "size", "label")).alias("l"))
-    return (
-        rows.join(lead, "gram").where("label <> l.label")
-        .select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.size").alias("x"), F.col("size").alias("y"))
-        .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
-    )
+def _near(rows: DataFrame) -> DataFrame:
+    """Rows at their own band (``mine``), good ones at the bands next to it, too."""
+    at = F.when(F.col("good"), F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array("band"))
+    return rows.withColumn("at", F.explode(at)).withColumn("mine", F.col("at") == F.col("band"))
 
 
-def _product(rows: DataFrame) -> DataFrame:
-    """The whole product between rows of different components."""
-    a = rows.select("gram", F.col("node").alias("a"), F.col("size").alias("x"), F.col("label").alias("la"))
-    b = rows.select("gram", F.col("node").alias("b"), F.col("size").alias("y"), F.col("label").alias("lb"))
+def _counted(pairs: DataFrame) -> DataFrame:
+    """Columns that the rows of each pair share."""
     return (
-        a.join(b, "gram").where(f"a < b and la <> lb and least(x, y) * 100 >= greatest(x, y) * {PERCENT}")
+        pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.col("a.size").alias("x"), F.col("b.size").alias("y"))
         .groupBy("a", "b").agg(F.count("*").alias("c"), F.first("x").alias("x"), F.first("y").alias("y"))
     )
 
 
+def _star(near: DataFrame, step: int) -> DataFrame:
+    """The product with one good row of each column and band.
+
+    It is the one that shares most of its leading columns, as the text does that
+    others were copied from; ties fall in this step's random order.
+    """
+    order = F.struct((F.col("size") - F.col("live")).alias("lost"), F.xxhash64("node", F.lit(step)), "node", "size", "live", "label")
+    lead = near.where("good").groupBy("gram", "at").agg(F.min(order).alias("a"))
+    pair = PAIR.replace(" and (not b.good or a.node < b.node)", "")
+    return _counted(lead.join(near.where("mine").alias("b"), ["gram", "at"]).where(pair).select("a", F.struct("b.*").alias("b")))
+
+
+def _product(near: DataFrame) -> DataFrame:
+    """The whole product between rows of different components, as far as sizes let a pair link."""
+    a, b = near.where("good").alias("a"), near.where("mine").alias("b")
+    return _counted(a.join(b, F.expr(f"a.gram = b.gram and a.at = b.at and {PAIR}")).select(F.struct("a.*").alias("a"), F.struct("b.*").alias("b")))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows that stay when each component keeps the document of its smallest id; all columns as they were.
 

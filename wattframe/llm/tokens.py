@@ -78,8 +78,8 @@ def by_bytes(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
 PIECE = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
 #: Other white space and control characters: such a text goes to the library as it is.
 ODD = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-#: Before a single space between letters no piece can reach across.
-SAFE = re.compile(r"(?<=[a-zA-Z])(?= [a-zA-Z])")
+#: Before a single space between letters or digits no piece can reach across.
+SAFE = re.compile(r"(?<=[a-zA-Z0-9])(?= [a-zA-Z0-9])")
 
 
 def split_safely(text: str, most: int = BATCH_BYTES // 4) -> list[str]:
