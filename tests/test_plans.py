@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import T0
 from wattframe import Series
+from wattframe.operators.features import with_ewma
 from wattframe.plans import decay, folds, quantiles
 from wattframe.plans import timeline as tl
 
@@ -128,3 +129,16 @@ def test_fold_in_slices_equals_one_pass(skewed):
     b = back(kalman(df, S, "v", adapt=True, slice_width=300.0))
     assert len(a) == len(b)
     assert np.allclose(a.level, b.level, rtol=1e-12)
+
+
+def test_ewma_keeps_its_mean_over_a_gap(series_of):
+    """A gap of many blocks: the mean stays, and new values outweigh old ones as in one array."""
+    values = [100.0 + (i * 7) % 11 for i in range(300)] + [None] * 12_000 + [200.0 + i % 5 for i in range(50)]
+    got = with_ewma(series_of(power=values), Series(("server",), "ts", (), 2_000.0), "power", 30).orderBy("ts").toPandas()
+    exp = pd.Series(values, dtype=float).ewm(span=30, adjust=True)
+    assert np.allclose(got["ewma_mean"], exp.mean(), rtol=1e-9, equal_nan=True)
+    # Far into the gap and just after it pandas loses the deviation, by underflow.
+    std, known = exp.std(), exp.std().notna().to_numpy()
+    assert known[:5_000].sum() == 4_999 and known[-49:].all()
+    known[5_000:12_300] = False
+    assert np.allclose(got["ewma_std"][known], std[known], rtol=1e-6, atol=1e-9)

@@ -78,11 +78,9 @@ def lags(spark, d):
     return e.step_lag(onsets25(spark, d), num, b.SAMPLES, "nr_running", 12, 3, 0.5, 1.0)
 
 
-@query("e5_step_lag", "server, rn, lag", f"WITH RECURSIVE {LAG_SQL} SELECT * FROM lagged")
+@query("e5_step_lag", "server, rn, lag", f"WITH RECURSIVE {LAG_SQL} SELECT o.server, o.rn, l.lag FROM onset o LEFT JOIN lagged l ON l.server = o.server AND l.rn = o.rn")
 def e5(spark, d):
-    out = lags(spark, d)
-    num = number_rows(b.samples(spark, d), b.SAMPLES, "rn").groupBy("server").agg(F.max("rn").alias("n"))
-    return out.join(num, "server").filter("rn > 12 AND rn + 10 <= n")
+    return lags(spark, d)
 
 
 @query(

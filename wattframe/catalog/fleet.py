@@ -8,29 +8,42 @@ from wattframe import bindings as b
 from wattframe.catalog import query
 from wattframe.catalog.features import RN_SQL, S
 from wattframe.operators import fleet as fl
+from wattframe.operators import grid as g
 from wattframe.plans.timeline import number_rows
+from wattframe.series import Series
 
 TICKS, FRAMES, BINS = 48, 6, 20
 LEVELS = fl.thresholds(10)
 ENDS = fl.frame_ends(TICKS, FRAMES)
 
-NODE_SQL = f"""{RN_SQL}, q AS (SELECT server, quantile_cont(power_watts, 0.02) AS lo, quantile_cont(power_watts, 0.98) AS hi FROM n GROUP BY 1),
-  nd AS (SELECT server, event_id, rn - 1 AS tick, greatest(0.0, least(1.0, (power_watts - lo) / (hi - lo))) AS p FROM n JOIN q USING (server) WHERE hi - lo >= 1e-9),
+# Each trace is resampled to TICKS points over its own span of rows, then scaled to its own range.
+NODE_SQL = f"""{RN_SQL}, span AS (SELECT server, count(*) AS m FROM n GROUP BY 1 HAVING count(*) > 1),
+  px AS (SELECT server, unnest(generate_series(0, {TICKS - 1})) AS tick, m FROM span), pt AS (SELECT server, tick, 1.0 + tick * ((m - 1) / {TICKS - 1}.0) AS x FROM px),
+  rs AS (SELECT pt.server, pt.tick, a.power_watts + (x - floor(x)) * (coalesce(z.power_watts, a.power_watts) - a.power_watts) AS w FROM pt
+    JOIN n a ON a.server = pt.server AND a.rn = floor(x) LEFT JOIN n z ON z.server = pt.server AND z.rn = floor(x) + 1),
+  q AS (SELECT server, quantile_cont(w, 0.02) AS lo, quantile_cont(w, 0.98) AS hi FROM rs GROUP BY 1),
+  nd AS (SELECT server, tick, greatest(0.0, least(1.0, (w - lo) / (hi - lo))) AS p FROM rs JOIN q USING (server) WHERE hi - lo >= 1e-9),
   fr AS (SELECT * FROM (VALUES {", ".join(f"({i}, {e})" for i, e in enumerate(ENDS))}) AS t(frame, fend)), lv AS (SELECT * FROM (VALUES {", ".join(f"({i}, {x!r})" for i, x in enumerate(LEVELS))}) AS t(thr_idx, lvl)),
-  cdf AS (SELECT server, frame, thr_idx, count(*) FILTER (tick <= fend AND p <= lvl) / CAST(any_value(fend) + 1 AS DOUBLE) AS y FROM nd CROSS JOIN fr CROSS JOIN lv GROUP BY 1, 2, 3),
+  cdf AS (SELECT server, frame, thr_idx, count(*) FILTER (tick <= fend AND round(p, 9) <= lvl) / CAST(any_value(fend) + 1 AS DOUBLE) AS y FROM nd CROSS JOIN fr CROSS JOIN lv GROUP BY 1, 2, 3),
   surf AS (SELECT frame, thr_idx, CAST(least(floor(y * {BINS}), {BINS - 1}) AS INT) AS bin, count(*) AS nodes FROM cdf GROUP BY 1, 2, 3)"""
 
 
 def nodes(spark, d):
-    src = fl.normalise(b.samples(spark, d), ["server"], "power_watts")
-    return number_rows(src, b.SAMPLES, "rn").withColumn("tick", F.col("rn") - 1)
+    """Every server's whole trace at TICKS points, scaled to its own range."""
+    traces = number_rows(b.samples(spark, d), b.SAMPLES, "rn").select("server", F.col("rn").cast("double").alias("t"), "power_watts")
+    even = g.resample_ticks(traces, Series(("server",), "t", (), 100_000.0), "power_watts", TICKS)
+    return fl.normalise(even, ["server"], "power_watts").withColumn("power_watts", F.round("power_watts", 9))
 
 
 def vectors(spark, d):
     return fl.cdf_vectors(nodes(spark, d), ["server"], "tick", "power_watts", TICKS, FRAMES, LEVELS)
 
 
-@query("g47_normalised_power", "server, event_id, ~p", f"WITH {NODE_SQL} SELECT * FROM nd")
+@query(
+    "g47_normalised_power", "server, event_id, ~p",
+    f"""WITH {RN_SQL}, q AS (SELECT server, quantile_cont(power_watts, 0.02) AS lo, quantile_cont(power_watts, 0.98) AS hi FROM n GROUP BY 1)
+    SELECT server, event_id, greatest(0.0, least(1.0, (power_watts - lo) / (hi - lo))) AS p FROM n JOIN q USING (server) WHERE hi - lo >= 1e-9""",
+)
 def g47(spark, d):
     return fl.normalise(b.samples(spark, d), ["server"], "power_watts").withColumn("p", F.col("power_watts"))
 
@@ -79,7 +92,7 @@ def g45(spark, d):
 
 @query("g45_elbow", "k, ~cost")
 def g45b(spark, d):
-    return fl.elbow(last_frame(spark, d), [2, 3, 4])
+    return fl.elbow(last_frame(spark, d))
 
 
 @query(

@@ -99,7 +99,7 @@ def m13(spark, d):
     rows, names = xy(spark, d)
     up = [n for n in names if n.startswith(("nr_running", "freq", "procs")) or n == "temp_celsius_d3"]
     base = [n for n in names if n not in up]
-    windows = ml.sliding_folds(rows, "ts", 8 * DAY, 4 * DAY, DAY / 4)[:1]
+    windows = ml.sliding_folds(rows, "ts", 8 * DAY, 4 * DAY, DAY / 4)
     _, log = ml.walk_generations(
         rows, AXIS, base, up, onsets(spark, d), windows, FOREST, block_s=BLOCK, horizon_s=DAY, gap_s=DAY
     )
@@ -146,7 +146,7 @@ def m19(spark, d):
 def m20(spark, d):
     trivial = ft.trivial_score(b.samples(spark, d), AXIS).select("server", "ts", "event_id", "trivial")
     out = ml.horizon_curve(
-        lambda h: xy(spark, d, h, upstream=False), [2, 5], AXIS, lambda r, h: folds(r), FOREST, trivial
+        lambda h: xy(spark, d, h, upstream=False), [1, 2, 3, 5, 8, 12, 20], AXIS, lambda r, h: folds(r), FOREST, trivial
     )
     ddl = "horizon INT, rate DOUBLE, pr_auc DOUBLE, lift DOUBLE, trivial_pr_auc DOUBLE, trivial_lift DOUBLE"
     return table(spark, out, ddl)
@@ -202,7 +202,7 @@ def m25(spark, d):
     None,
 )
 def m25b(spark, d):
-    return ml.filter_board(b.samples(spark, d), AXIS, "power_watts")
+    return ml.filter_board(b.samples(spark, d), AXIS, "power_watts", slice_width=15 * DAY)
 
 
 @query(

@@ -36,17 +36,22 @@ def cdf_vectors(
     """Per node and frame, the share of elapsed ticks at or under each level,
     as one array ``y`` (G42).
 
-    Ticks are counted once per frame interval (map-side) and the few frames are
-    summed up, so the row x level product is never materialised.
+    Every node must have each of the ticks ``0 .. ticks - 1`` once (see
+    ``resample_ticks``); another number of ticks fails the query.  Ticks are
+    counted once per frame interval (map-side) and the few frames are summed
+    up, so the row x level product is never materialised.
     """
     ends = frame_ends(ticks, frames)
     # first frame whose end is not before the tick
-    frame = F.lit(None).cast("int")
+    frame = F.raise_error(F.concat(F.lit("tick outside the trace: "), F.col(tick).cast("string"))).cast("int")
     for f in reversed(range(frames)):
         frame = F.when(F.col(tick) <= ends[f], F.lit(f)).otherwise(frame)
-    tagged = df.withColumn("frame", frame).filter("frame IS NOT NULL")
+    tagged = df.withColumn("frame", frame)
     counts = [F.count_if(F.col(value) <= lv).alias(f"_c{i}") for i, lv in enumerate(levels)]
-    per = tagged.groupBy(*node, "frame").agg(*counts)
+    per = tagged.groupBy(*node, "frame").agg(*counts, F.count(F.lit(1)).alias("_n"))
+    widths = F.element_at(F.array(*[F.lit(e - p) for p, e in zip([-1, *ends], ends, strict=False)]), F.col("frame") + 1)
+    whole = F.assert_true(F.col("_n") == widths, F.lit(f"a trace does not have {ticks} ticks"))
+    per = per.filter(whole.isNull()).drop("_n")
     nodes = per.select(*node).distinct().withColumn(
         "frame", F.explode(F.array(*[F.lit(f) for f in range(frames)]))
     )

@@ -29,7 +29,9 @@ def asof(
     ``columns`` maps right column -> output name.  ``left_at`` is the left
     column to look up from (default ``series.ts``).  ``forward`` looks at or
     after instead; ``strict`` excludes equal times; ``tolerance`` (seconds or
-    time units) nulls hits further away.  Both sides are stacked and scanned
+    time units) nulls hits further away.  Of several right rows at one time the
+    last by the series' tie-breakers counts (the first when looking ahead), as
+    far as the right side has them.  Both sides are stacked and scanned
     once, so no pair of rows is ever formed and no frame grows with the data.
     """
     at = left_at or series.ts
@@ -43,15 +45,17 @@ def asof(
     right_first = not strict
     r_rank, l_rank = (0, 1) if right_first != forward else (1, 0)
     lft = left.withColumns({AT: lpos, SIDE: F.lit(l_rank), "_wf_left": F.lit(True)})
+    ties = {f"_wf_tie{i}": c for i, c in enumerate(series.tie) if c in right.columns}
     rgt = right.select(
         *series.key,
         right_pos.alias(AT),
         F.lit(r_rank).alias(SIDE),
+        *[F.col(c).alias(n) for n, c in ties.items()],
         F.lit(False).alias("_wf_left"),
         payload.alias(HIT),
     )
     both = lft.unionByName(rgt, allowMissingColumns=True)
-    axis = Series(series.key, AT, (SIDE,), series.width * scale)
+    axis = Series(series.key, AT, (SIDE, *ties), series.width * scale)
     seen = Timeline(both, axis).scan(reverse=forward, **{HIT: last_seen(F.col(HIT))}).done()
     out = seen.filter("_wf_left")
     hit = F.col(HIT)
@@ -59,4 +63,4 @@ def asof(
         near = F.abs(F.col(AT) - hit["_pos"]) <= F.lit(tolerance * scale)
         out = out.withColumn(HIT, F.when(near, hit))
     out = out.withColumns({name: hit[f"c{i}"] for i, name in enumerate(columns.values())})
-    return out.drop(AT, SIDE, HIT, "_wf_left")
+    return out.drop(AT, SIDE, HIT, "_wf_left", *ties)

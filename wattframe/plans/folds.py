@@ -26,11 +26,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a scratch folder where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.conf.get("spark.wattframe.scratch", None)
+    """``spark.checkpoint.dir`` of the session, a folder that driver and executors share.
+
+    Where it is unset, a temporary folder serves in local mode; on a cluster
+    that would be another disk for each executor, so it is refused.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.wattframe.scratch", None)
     if named is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="wattframe-checkpoint-")
         spark.conf.set("spark.wattframe.scratch", named)
     return named

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRACE_SCHEMA = "time_s DOUBLE, power_W DOUBLE"
+from wattframe.plans.asof import asof
+from wattframe.series import Series
+
 RUN_PATTERN = r"/run(\d+)/"
 NAME_PATTERN = r"/([a-z0-9]+)_([a-z0-9]+)(?:_[^/]*)?\.[a-z.]+$"
 # workload, arm, optional run, optional fleet size
@@ -41,6 +42,23 @@ def _path() -> Column:
     return F.col("_metadata.file_path")
 
 
+def _place() -> Column:
+    """Order of lines within their file, also where the file is split: the
+    split's first byte plus the line's number within the task, which is less
+    than the split's bytes."""
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.col("_metadata.file_block_start") + in_task
+
+
+def _positional(spark: SparkSession, path, names: Sequence[str]) -> DataFrame:
+    """The first columns of a CSV as doubles, whatever follows them; text that
+    is no finite number becomes null."""
+    raw = spark.read.schema(", ".join(f"{n} STRING" for n in names)).csv(path, header=True, mode="PERMISSIVE")
+    number = {n: F.trim(n).try_cast("double") for n in names}
+    finite = {n: F.when(F.abs(c) < float("inf"), c).alias(n) for n, c in number.items()}
+    return raw.select(*finite.values(), _path().alias("_wf_path"), _place().alias("seq"))
+
+
 def _file_keys(df: DataFrame) -> DataFrame:
     run = F.regexp_extract("_wf_path", RUN_PATTERN, 1).try_cast("int")
     return df.withColumns(
@@ -53,10 +71,10 @@ def _file_keys(df: DataFrame) -> DataFrame:
 
 
 def read_traces(spark: SparkSession, path) -> DataFrame:
-    """Positional power traces; header text ignored, broken rows dropped, keys
-    from the file name (S1).  ``seq`` keeps the written order."""
-    raw = spark.read.schema(TRACE_SCHEMA).csv(path, header=True, mode="DROPMALFORMED")
-    rows = raw.select("*", _path().alias("_wf_path"), F.monotonically_increasing_id().alias("seq"))
+    """Positional power traces: the first two columns, header text ignored,
+    broken rows dropped, keys from the file name (S1).  ``seq`` keeps the
+    written order."""
+    rows = _positional(spark, path, ["time_s", "power_W"])
     return _file_keys(rows.na.drop(subset=["time_s", "power_W"]))
 
 
@@ -70,7 +88,7 @@ def read_capture(spark: SparkSession, path: str) -> DataFrame:
         t, p = "mono_s", "watts"
     else:
         raise ValueError(f"unrecognised columns: {raw.columns}")
-    return raw.select(F.col(t).cast("double").alias("time_s"), F.col(p).cast("double").alias("power_W"))
+    return raw.select(F.col(t).try_cast("double").alias("time_s"), F.col(p).try_cast("double").alias("power_W"))
 
 
 def between(df: DataFrame, ts: str, start: str | None, end: str | None) -> DataFrame:
@@ -99,8 +117,8 @@ def read_telemetry(
 def read_hf(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """High-rate capture with mixed ISO-8601 fractions."""
     raw = spark.read.csv(path, header=True)
-    cols = {c: F.col(c).cast("double") for c in raw.columns if c != "time"}
-    return between(raw.withColumns({"time": F.to_timestamp("time"), **cols}), "time", start, end)
+    cols = {c: F.col(c).try_cast("double") for c in raw.columns if c != "time"}
+    return between(raw.withColumns({"time": F.try_to_timestamp("time"), **cols}), "time", start, end)
 
 
 def scan_points(
@@ -114,44 +132,39 @@ def scan_points(
     return between(out, "ts", start, end)
 
 
-def read_annotated(spark: SparkSession, path: str) -> DataFrame:
+def read_annotated(spark: SparkSession, path: str, width: float = 1 << 26) -> DataFrame:
     """Annotated CSV exports (S7): columns by each table block's own header,
-    ``true``/``false`` as 1/0, first point kept per time."""
-    files = spark.read.text(path, wholetext=True).select(_path().alias("path"), "value")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, text in zip(pdf["path"], pdf["value"]):
-                yield pd.DataFrame(_annotated_rows(name, text), columns=["path", "seq", "time", "value"])
+    ``true``/``false`` as 1/0, first point kept per time.
 
-    rows = files.mapInPandas(parse, "path STRING, seq LONG, time STRING, value DOUBLE")
-    rows = rows.withColumn("ts", F.to_timestamp(F.regexp_replace("time", r"(\.\d{6})\d*", "$1")))
-    first = rows.groupBy("path", "ts").agg(F.min_by("value", "seq").alias("value"))
+    Every line looks back to the last header of its file, which a comment or a
+    blank line ends; a block without time and value columns gives no points,
+    nor does an empty or unreadable time or value.  Lines are spread by ``width``
+    bytes of their file, so a large file is not read by one task alone.
+    """
+    lines = spark.read.text(path).select(
+        _path().alias("path"), _place().cast("double").alias("pos"),
+        F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("cell"),
+    )
+    ends = (F.size("cell") == 1) & (F.col("cell")[0] == "") | F.col("cell")[0].startswith("#")
+    time_at, value_at = (F.array_position("cell", c).cast("int") for c in ("_time", "_value"))
+    heads = (time_at > 0) & (value_at > 0)
+    marks = lines.filter(ends | heads).select(
+        "path", "pos", F.when(~ends, time_at).alias("t"), F.when(~ends, value_at).alias("v")
+    )
+    rows = asof(
+        lines.filter(~(ends | heads)), marks, Series(("path",), "pos", (), width), columns={"t": "time_at", "v": "value_at"}
+    ).filter("time_at IS NOT NULL")
+    word = F.try_element_at("cell", F.col("value_at"))
+    value = F.when(word == "true", 1.0).when(word == "false", 0.0).otherwise(word.try_cast("double"))
+    time = F.regexp_replace(F.try_element_at("cell", F.col("time_at")), r"(\.\d{6})\d*", "$1")
+    points = rows.select("path", "pos", F.try_to_timestamp(time).alias("ts"), value.alias("value"))
+    first = points.na.drop(subset=["ts", "value"]).groupBy("path", "ts").agg(F.min_by("value", "pos").alias("value"))
     return first.orderBy("path", "ts")
 
 
-def _annotated_rows(name: str, text: str) -> list[tuple]:
-    rows, at = [], None
-    flags = {"true": 1.0, "false": 0.0}
-    for i, line in enumerate(text.splitlines()):
-        cells = [c.strip() for c in line.split(",")]
-        if not line.strip() or line.startswith("#"):
-            at = None if not line.strip() else at
-        elif "_time" in cells and "_value" in cells:
-            at = (cells.index("_time"), cells.index("_value"))
-        elif at is not None and len(cells) > max(at):
-            word = cells[at[1]]
-            try:
-                rows.append((name, i, cells[at[0]], flags[word] if word in flags else float(word)))
-            except ValueError:
-                continue
-    return rows
-
-
 def read_epoch(spark: SparkSession, path: str, name: str = "value") -> DataFrame:
     """Epoch seconds and value, positional."""
-    raw = spark.read.schema(f"epoch DOUBLE, {name} DOUBLE").csv(path, header=True, mode="DROPMALFORMED")
-    ok = raw.filter("epoch IS NOT NULL")
+    ok = _positional(spark, path, ["epoch", name]).filter("epoch IS NOT NULL")
     return ok.select(F.timestamp_micros(F.bround(F.col("epoch") * 1e6).cast("long")).alias("ts"), name)
 
 
@@ -179,6 +192,7 @@ def read_event_log(spark: SparkSession, path) -> DataFrame:
     return _file_keys(parsed.select("e.*", "_wf_path").filter("ts IS NOT NULL"))
 
 
+#: Fixed value: the stamped line that the logs contain.
 PHASE_PATTERN = r"^\[(\d{2}):(\d{2}):(\d{2})\]\s+(\w+)\s+(START|STOP).*?t=\s*([\d.]+)\s*s"
 
 
@@ -186,7 +200,7 @@ def read_phase_log(spark: SparkSession, path) -> DataFrame:
     """Stamped phase lines with clock parts and relative time."""
     lines = spark.read.text(path).select(
         F.trim("value").alias("line"), _path().alias("_wf_path"),
-        F.monotonically_increasing_id().alias("line_no"),
+        _place().alias("line_no"),
     )
     part = lambda i: F.regexp_extract("line", PHASE_PATTERN, i)
     hit = lines.filter(F.col("line").rlike(PHASE_PATTERN))
@@ -210,7 +224,7 @@ def clock_anchor(phases: DataFrame, keys: Sequence[str]) -> DataFrame:
 def read_benchmark_log(spark: SparkSession, path) -> DataFrame:
     """Last result line per file: solve seconds and Gflops."""
     lines = spark.read.text(path).select(
-        "value", _path().alias("_wf_path"), F.monotonically_increasing_id().alias("line_no")
+        "value", _path().alias("_wf_path"), _place().alias("line_no")
     )
     words = F.split(F.trim("value"), r"\s+")
     hit = lines.filter(F.col("value").rlike(r"^W[RC][0-9]")).select(
@@ -248,10 +262,11 @@ def load_incremental(
     fresh = source.filter(F.col("ts") >= F.lit(last)) if last is not None else source
     fresh = fresh.withColumn("date", F.to_date("ts"))
     dates = fresh.select("date").distinct()
-    touched = cached.join(F.broadcast(dates), "date", "left_semi")
+    touched = cached.join(dates, "date", "left_semi")
     merged = merge_latest(touched, fresh, keys, newest)
     staging = f"{target.rstrip('/')}_staging"
     merged.write.mode("overwrite").partitionBy("date").parquet(staging)
+    assert_unique(spark.read.parquet(staging), keys)
     (
         spark.read.parquet(staging)
         .write.mode("overwrite")

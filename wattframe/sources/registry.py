@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.ml import PipelineModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,9 @@ def load_latest(spark: SparkSession, root: str) -> tuple[Detector | None, str]:
     """Newest published model, or ``(None, "none")``."""
     try:
         row = spark.read.parquet(f"{root}/registry").orderBy(F.col("created").desc()).first()
-    except Exception:  # no registry yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # anything but: no registry yet
+            raise
         row = None
     if row is None:
         return None, "none"
