@@ -142,3 +142,10 @@ def test_ewma_keeps_its_mean_over_a_gap(series_of):
     assert known[:5_000].sum() == 4_999 and known[-49:].all()
     known[5_000:12_300] = False
     assert np.allclose(got["ewma_std"][known], std[known], rtol=1e-6, atol=1e-9)
+
+
+def test_package_ships_to_workers(spark):
+    from wattframe.plans.session import ship
+
+    ship(spark)
+    assert any("wattframe.zip" in str(p) for p in spark.sparkContext._python_includes)

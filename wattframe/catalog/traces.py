@@ -121,7 +121,7 @@ def g7b(spark, d):
 
 @query(
     "g8_pair_table", f"{KEYS}, metric, ~2value, ~2value_base, ~4pct",
-    f"""WITH {ENERGY_SQL}, g AS (SELECT *, max_w / 3 AS gf FROM en), l AS (SELECT run, workload, arm, 'energy_j' AS metric, energy_j AS value FROM g UNION ALL SELECT run, workload, arm, 'runtime_s', duration_s FROM g
+    f"""WITH {ENERGY_SQL}, g AS MATERIALIZED (SELECT *, max_w / 3 AS gf FROM en), l AS MATERIALIZED (SELECT run, workload, arm, 'energy_j' AS metric, energy_j AS value FROM g UNION ALL SELECT run, workload, arm, 'runtime_s', duration_s FROM g
       UNION ALL SELECT run, workload, arm, 'gflops', gf FROM g UNION ALL SELECT run, workload, arm, 'gflops_per_W', gf / nullif(energy_j / nullif(duration_s, 0), 0) FROM g
       UNION ALL SELECT run, workload, arm, 'CV', round_even(c, 4) FROM (SELECT run, workload, arm, stddev_pop(power_W) / avg(power_W) AS c FROM traces GROUP BY 1, 2, 3)
       UNION ALL SELECT run, workload, arm, 'Peak-to-mean', round_even(c, 4) FROM (SELECT run, workload, arm, max(power_W) / avg(power_W) AS c FROM traces GROUP BY 1, 2, 3))
@@ -146,7 +146,7 @@ def g9(spark, d):
     "g10_ranked_board", "rank, arm, ~1cv, ~1cv_sd, ~1energy, verdict",
     f"""WITH {CELL_SQL}, w AS (SELECT arm, round_even(max(mean) FILTER (metric = 'cv'), 1) AS cv, round_even(max(sd) FILTER (metric = 'cv'), 1) AS cv_sd, round_even(max(mean) FILTER (metric = 'energy'), 1) AS energy FROM brd GROUP BY 1),
     t AS (SELECT *, CASE WHEN cv_sd <> 0 THEN ' (+/-' || CAST(round_even(cv_sd, 0) AS BIGINT) || ')' ELSE '' END AS band FROM w)
-    SELECT row_number() OVER (ORDER BY cv NULLS LAST) AS rank, arm, cv, cv_sd, energy, CASE WHEN cv IS NULL THEN 'no data' WHEN cv <= -20 THEN 'strong smoothing: ' || CAST(round_even(-cv, 0) AS BIGINT) || '%' || band || ' less variability'
+    SELECT row_number() OVER (ORDER BY cv NULLS LAST, arm) AS rank, arm, cv, cv_sd, energy, CASE WHEN cv IS NULL THEN 'no data' WHEN cv <= -20 THEN 'strong smoothing: ' || CAST(round_even(-cv, 0) AS BIGINT) || '%' || band || ' less variability'
       WHEN cv <= -5 THEN 'modest smoothing: ' || CAST(round_even(-cv, 0) AS BIGINT) || '%' || band || ' less variability'
       WHEN cv < 5 THEN 'no measurable smoothing (' || CASE WHEN cv >= 0 THEN '+' ELSE '-' END || CAST(round_even(abs(cv), 0) AS BIGINT) || '%' || band || ')'
       ELSE 'WORSENS variability by ' || CAST(round_even(cv, 0) AS BIGINT) || '%' || band END AS verdict FROM t""",

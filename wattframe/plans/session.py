@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -20,3 +24,13 @@ def session(master: str | None = None, app: str = "wattframe", **conf: str) -> S
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by
+    name; needed where it is not installed on them.  Nothing to do in local
+    mode with the package on the path."""
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="wattframe-package-")  # read by the driver only, which serves it
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
