@@ -23,4 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_raked_mixing": mixing.SQL,
     "op7_quality_rules": rules.SQL,
+    "op8_jaccard_join": jaccard.SQL,
 }

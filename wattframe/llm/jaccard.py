@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import bitmap, gram_hashes, in_bitmap, keep, mix64, partitions, word_hashes
+from wattframe.llm.common import WS_PATTERN, bitmap, gram_hashes, in_bitmap, keep, mix64, partitions, word_hashes
 from wattframe.llm.components import components
 
 N = 5
@@ -383,3 +383,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same rows by joining all shingles and following links; fit for small tables only.
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, [x FOR x IN regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WS_PATTERN}') IF x <> ''] AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT k, array_to_string(ws[i:i + {N - 1}], ' ') AS g
+    FROM (SELECT k, ws, unnest(range(1, len(ws) - {N - 2})) AS i FROM d WHERE len(ws) >= {N})
+  UNION ALL SELECT k, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND {N - 1}),
+n AS MATERIALIZED (SELECT k, count(*) AS n FROM s GROUP BY k),
+o AS MATERIALIZED (SELECT a.k AS x, b.k AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT x, y FROM o JOIN n p ON p.k = x JOIN n q ON q.k = y WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+r(k, m) AS (SELECT k, k FROM d UNION SELECT r.k, e.y FROM r JOIN e ON e.x = r.m)
+SELECT d.doc_id, any_value(coalesce(n.n, 0)) AS n_shingles, min(f.doc_id) AS component_id
+FROM r JOIN d USING (k) JOIN d f ON f.k = r.m LEFT JOIN n ON n.k = d.k GROUP BY d.k, d.doc_id"""
