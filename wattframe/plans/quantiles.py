@@ -88,7 +88,12 @@ def order_statistics(
         F.first("_wf_f").alias("_wf_f"),
     )
     at, nxt, part = F.col("_wf_a"), F.col("_wf_b"), F.col("_wf_f")
-    value_at = F.when(part == 0, at).otherwise(at + (nxt - at) * part)
+    missed = at.isNull() | ((part > 0) & nxt.isNull())  # the sketch's error bound rules it out
+    value_at = (
+        F.when(missed, F.raise_error(F.lit("a rank lies outside its bracket")).cast("double"))
+        .when(part == 0, at)
+        .otherwise(at + (nxt - at) * part)
+    )
     out = picked.withColumn("_wf_r", value_at).groupBy(*by).agg(
         *[F.max(F.when(F.col("_wf_t") == name, F.col("_wf_r"))).alias(name) for name in targets]
     )
