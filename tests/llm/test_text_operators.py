@@ -330,7 +330,8 @@ def test_skip_chain_carries_labels(spark, table):
         d = [r.randrange(10) for _ in range(15)]
         return next("".join(map(str, [*d, c])) for c in range(10) if pii.luhn("".join(map(str, [*d, c]))))
 
-    rows = [(i, f"word {card()} and more 12 then {prose(i, 5)} call +1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)} now") for i in range(300)]
+    cards = [card() for _ in range(300)]
+    rows = [(i, f"word {cards[i]} and more 12 then {prose(i, 5)} {cards[i] if i % 2 else ''} call +1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)} now") for i in range(300)]
     number = card()
     dotted = ".".join(number[i : i + 4] for i in range(0, 16, 4))
     rows.append((1000, f"my card {number} again the card {dotted} please and item 77"))
