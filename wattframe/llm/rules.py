@@ -157,11 +157,18 @@ def judged(docs: DataFrame, text: str = "text", id: str = "doc_id", rules: Seque
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows that pass, with all their columns; judged in the scan, without a join."""
-    name = "__measures"
-    while name in docs.columns:
-        name += "_"
-    found = docs.withColumn(name, measures(F.col(text)))
-    return found.where(verdict(rules, lambda c: F.col(f"{name}.{PLACE[c]}"))).drop(name)
+
+    def good(m: Column) -> Column:
+        def at(count: str) -> Column:
+            out = m
+            for field in PLACE[count].split("."):
+                out = out[field]
+            return out
+
+        return verdict(rules, at)
+
+    # One expression binds the measures, so that the filter does not work them out for each rule.
+    return docs.where(let(measures(F.col(text)), good))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
