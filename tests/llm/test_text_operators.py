@@ -110,6 +110,26 @@ def test_jaccard_like_brute_force(table, monkeypatch, common):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def edge_family(f, ends):
+    """A passage, the passage and 16% new shingles (0.84, sizes on both sides of 1.25 ** 20), and texts that hold most of it but link to neither."""
+    passage = prose(5000 + f, 88).split()
+    texts = []
+    for j in range(25):
+        other = prose(6000 + 100 * f + j, 10).split()
+        for text in ([*passage[:74], *other], [*other, *passage[14:]])[:ends]:
+            texts += [" ".join(text), " ".join([*text, f"end{j}"])]
+    return [*texts, " ".join(passage), " ".join(passage + [f"new{f}x{i}" for i in range(16)])]
+
+
+def test_jaccard_across_a_band_edge(table):
+    """In the larger one's band, all good rows are copies from the band below."""
+    texts = edge_family(0, 2) + edge_family(1, 2)
+    want = brute_components(texts)
+    assert want[101] == (100, 100) and want[203] == (100, 202)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(table(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_odd_rows(table):
     got = jaccard.joined(table(ODD))
     assert got.count() == len(ODD)

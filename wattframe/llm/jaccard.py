@@ -311,11 +311,11 @@ def _merge(docs: DataFrame, own: DataFrame, columns: DataFrame) -> DataFrame:
     for step in range(1, STARS + 1):
         now = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         near = _near(now)
-        # Only columns in which a good row still meets another component.
+        # Only columns in which a good row, its own or a copy from the next band, still meets a row of another component.
         mixed = near.groupBy("gram", "at").agg(
-            F.min("label").alias("p"), F.max("label").alias("q"), F.max(F.col("good") & F.col("mine")).alias("g")
+            F.min("label").alias("p"), F.max("label").alias("q"), F.max("good").alias("g"), F.max("mine").alias("m")
         )
-        near = keep(near.join(mixed.where("p <> q and g").select("gram", "at"), ["gram", "at"], "left_semi"))
+        near = keep(near.join(mixed.where("p <> q and g and m").select("gram", "at"), ["gram", "at"], "left_semi"))
         by_label = near.groupBy("gram", "at", "label").agg(F.count_if(F.col("good")).alias("g"), F.count_if("mine").alias("m"))
         groups = by_label.groupBy("gram", "at").agg((F.sum("g") * F.sum("m") - F.sum(F.col("g") * F.col("m"))).alias("meets"), F.sum("m").alias("m"))
         meets, n = groups.agg(F.sum("meets"), F.sum("m")).first()
