@@ -130,6 +130,15 @@ def test_jaccard_across_a_band_edge(table):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_jaccard_leading_column_further_back_in_the_other(table):
+    """New shingles push columns out of the larger one's leading ones: they are not lost for the overlap."""
+    texts = edge_family(0, 1)
+    want = brute_components(texts)
+    assert want[51] == (100, 50)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(table(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_jaccard_odd_rows(table):
     got = jaccard.joined(table(ODD))
     assert got.count() == len(ODD)

@@ -65,6 +65,16 @@ def leading(n: int | np.ndarray):
     return n - (n * PERCENT + 99) // 100 + 1
 
 
+def witnessed(n: int) -> int:
+    """How many first columns of a row of ``n`` shingles may be among the leading columns of a row that it links with.
+
+    A leading column of a row of ``s`` has at most ``s - ceil(0.8 s)`` before it
+    there, and a linked row of ``n`` at most ``n - 0.8 / 1.8 (s + n)`` more; ``s``
+    is ``0.8 n`` at least.
+    """
+    return n * (10_000 - PERCENT * PERCENT) // 10_000 + 1
+
+
 def _columns(b: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [b.column(c).to_numpy(zero_copy_only=False) for c in names]
 
@@ -132,7 +142,7 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def _incidence(docs: DataFrame) -> DataFrame:
-    """Leading columns that two rows or more share (gram, node, size), and one row per document (gram null)."""
+    """Leading columns that another row may share (gram, node, size), and one row per document (gram null)."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common(docs))
 
@@ -149,12 +159,15 @@ def _incidence(docs: DataFrame) -> DataFrame:
                     continue
                 seen.add(node)
                 hot = in_bitmap(common.value, g, BITS)
-                p = leading(len(g))
-                g = np.concatenate([g[~hot], g[hot]])[:p]
+                p, cold = leading(len(g)), int((~hot).sum())
+                # Beyond the leading columns: that a column is here, too (salt -1); common ones are kept without.
+                w = max(p, min(witnessed(len(g)), cold))
+                g = np.concatenate([g[~hot], g[hot]])[:w]
+                at = np.arange(w)
                 grams.append(g)
-                nodes.append(np.full(p, node))
-                sizes.append(np.full(p, own[-1][1]))
-                salts.append(np.where(np.arange(p) < (~hot).sum(), 0, 1 + node % SALT))
+                nodes.append(np.full(w, node))
+                sizes.append(np.full(w, own[-1][1]))
+                salts.append(np.where(at >= p, -1, np.where(at < cold, 0, 1 + node % SALT)))
             n = len(own)
             yield pa.record_batch(
                 [pa.nulls(n, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int32()),
@@ -185,7 +198,7 @@ def _incidence(docs: DataFrame) -> DataFrame:
         gram, node, size, salt = gram[fresh], node[fresh], size[fresh], salt[fresh]
         same = np.diff(gram) == 0
         # A salted column may have its other rows elsewhere.
-        kept = (np.append(same, False) | np.insert(same, 0, False) | (salt > 0)) if len(gram) else fresh
+        kept = ((np.append(same, False) | np.insert(same, 0, False) | (salt > 0)) & (salt >= 0)) if len(gram) else fresh
         for i in range(0, int(kept.sum()), 50_000):
             at = np.flatnonzero(kept)[i : i + 50_000]
             yield pa.record_batch(
@@ -194,7 +207,7 @@ def _incidence(docs: DataFrame) -> DataFrame:
             )
 
     dealt = docs.mapInArrow(rows, "gram long, node long, size int, salt int, doc_id long").repartition(
-        partitions(spark), F.coalesce("gram", F.xxhash64("doc_id", "node")), "salt"
+        partitions(spark), F.coalesce("gram", F.xxhash64("doc_id", "node")), F.greatest("salt", F.lit(0))
     )
     return keep(dealt.mapInArrow(shared, "gram long, node long, size int, doc_id long"))
 
@@ -202,7 +215,8 @@ def _incidence(docs: DataFrame) -> DataFrame:
 def _bounded(columns: DataFrame) -> DataFrame:
     """Rows of leading columns with ``live``, the most that a row can share, and ``band``, its size class.
 
-    A leading column that no other row has is lost for every overlap. A pair
+    A leading column that no other row has among its ``witnessed`` ones is lost
+    for every overlap that counts. A pair
     needs 0.8 / 1.8 of both sizes together, so at least one of its rows has
     ``live`` of 8/9 of its own size: these rows are ``good``. Sizes of a pair
     differ by a quarter at most, so its bands are equal or next to each other.
