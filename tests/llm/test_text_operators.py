@@ -376,6 +376,20 @@ def test_skip_chain_carries_labels(spark, table):
     assert got[2000].spans == "" and pii.found(table([])).count() == 0
 
 
+def added(texts):
+    spans = [pii.base_spans(t) for t in texts]
+    model = pii.Model().fit(pii.Graph(texts, spans))
+    return [[(pii.KINDS[k], t[s:e]) for s, k, e in x] for t, x in zip(texts, pii.added_spans(texts, spans, model), strict=True)]
+
+
+def test_whole_numbers_are_found_again():
+    forms = ("(743) 555-3824", "743-555-3824", "743 555 3824", "1 743 555 3824")
+    texts = [f"call +1 (743) 555-3824 or {x} today, not 12 of 2024" for x in forms]
+    texts += ["call +1 743 555 3824 or (743) 555-3824 today", "host 10.0.0.1 is down, 10-0-0-1 and 1000 others"]
+    want = [[("phone", x)] for x in (*forms, forms[0])] + [[("ip", "10-0-0-1")]]
+    assert added(texts) == want
+
+
 # 3: suffix-array dedup
 
 
