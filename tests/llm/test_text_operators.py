@@ -390,6 +390,11 @@ def test_whole_numbers_are_found_again():
     assert added(texts) == want
 
 
+def test_far_repeats_have_one_label():
+    text = "call +1 (743) 555-3824 now" + " and later on (743) 555-3824 again" * 60
+    assert added([text]) == [[("phone", "(743) 555-3824")] * 60]
+
+
 # 3: suffix-array dedup
 
 
