@@ -6,9 +6,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from wattframe.llm import lines
+from wattframe.llm import lines, manifest
 
 WS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -55,3 +56,87 @@ def test_lines_of_no_rows_and_native_plan(table):
 def test_a_line_in_one_document_many_times_is_no_common_line(table):
     rows = [(1, "\n".join(["again"] * 50)), *[(2, "again")] * 20]
     assert {(r.doc_id, r.n_dropped) for r in lines.deduplicated(table(rows), 3).collect()} == {(1, 0), (2, 0)}
+
+
+# 11: Merkle manifest
+
+
+def H(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_leaf(row, lower=False):
+    out = []
+    for name in manifest.FIELDS:
+        v = row[name]
+        if name == "text" and lower and v is not None:
+            v = v.translate(ASCII_LOWER)
+        out.append("-" if v is None else f"{len(str(v).encode())}:{v}")
+    return H(*out)
+
+
+def brute_tree(nodes):
+    """The root of a list of digests and, for each, the (left, right) siblings up to it."""
+    paths, at = [[] for _ in nodes], list(range(len(nodes)))
+    while len(nodes) > 1:
+        for k, i in enumerate(at):
+            first = i - i % 16
+            paths[k].append((nodes[first:i], nodes[i + 1 : first + 16]))
+        nodes = [H(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)]
+        at = [i // 16 for i in at]
+    return nodes[0], paths
+
+
+def brute_manifest(rows):
+    by_source = collections.defaultdict(list)
+    for row in rows:
+        by_source[row["source"]].append(row)
+    order = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        own = sorted(by_source[s], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, brute_leaf(r)))
+        trees[s] = (own, *brute_tree([brute_leaf(r) for r in own]))
+    root, tops = brute_tree([trees[s][1] for s in order])
+    out = []
+    for s, top in zip(order, tops, strict=True):
+        own, subroot, paths = trees[s]
+        for row, path in zip(own, paths, strict=True):
+            id = row["doc_id"]
+            bad = id is not None and zlib.crc32(str(id).encode()) % 5 == 0
+            folded, all_siblings = brute_leaf(row, bad), []
+            for left, right in path + top:
+                folded = H(*left, folded, *right)
+                all_siblings += left + right
+            out.append((id, brute_leaf(row), subroot, root, H(*all_siblings), folded, folded == root))
+    return collections.Counter(out)
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_manifest_like_brute_force(spark, monkeypatch, levels):
+    monkeypatch.setattr(manifest, "LEVELS", levels)
+    manifest.places.cache_clear()
+    r = random.Random(2)
+    sizes = {None: 3, "": 1, "hot": 900, "é": 17, "z": 16, "a": 256, "b": 257}
+    sizes |= {f"s{i}": 1 for i in range(30)}
+    rows, id = [], 0
+    for source, n in sizes.items():
+        for _ in range(n):
+            id += r.randrange(1, 4)
+            rows.append((id, r.choice([None, "", "Some TEXT É", "lower only", "A" * 5000]), r.choice([None, "en"]), source, r.choice([None, 7, -1])))
+    rows += [(None, "Null ID", "en", "hot", 1), (None, "Null ID", "en", "hot", 1), (4, "Twice", None, "hot", 2), (4, "twice", None, "hot", 2)]
+    r.shuffle(rows)
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as tree", "2 as pos", "3 as leaf")
+    got = manifest.audited(df).collect()
+    assert collections.Counter(map(tuple, got)) == brute_manifest([dict(zip(names, x, strict=True)) for x in rows])
+    assert {x.verified for x in got} == {True, False}
+    assert manifest.audited(df.limit(0)).count() == 0
+
+
+def test_van_emde_boas_places():
+    for height in range(1, 5):
+        found = np.concatenate([manifest.address(d, np.arange(16**d), height) for d in range(height)])
+        assert sorted(found.tolist()) == list(range(manifest.nodes_in(height)))
+    # A run of siblings and the parent lie next to each other at the bottom of a block.
+    parent, run = manifest.address(2, np.array([5]), 4)[0], manifest.address(3, np.arange(80, 96), 4)
+    assert run.tolist() == list(range(parent + 1, parent + 17))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, jaccard, lines, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
+from wattframe.llm import decontaminate, jaccard, lines, manifest, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": jaccard.query,
     "op9_skip_chain_pii": pii.query,
     "op10_token_counts": tokens.query,
+    "op11_merkle_manifest": manifest.query,
     "op12_line_dedup": lines.query,
 }
 ORACLES: dict[str, str] = {
