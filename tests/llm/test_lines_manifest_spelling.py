@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wattframe.llm import lines, manifest
+from wattframe.llm import lines, manifest, spelling
 
 WS = " \t\n\x0b\x0c\r"
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,3 +140,89 @@ def test_van_emde_boas_places():
     # A run of siblings and the parent lie next to each other at the bottom of a block.
     parent, run = manifest.address(2, np.array([5]), 4)[0], manifest.address(3, np.arange(80, 96), 4)
     assert run.tolist() == list(range(parent + 1, parent + 17))
+
+
+# 13: spelling variants
+
+
+def brute_words(rows, least_chars=7):
+    n = collections.Counter()
+    for id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(ASCII_LOWER)
+            h = 1 if id is None else zlib.crc32(f"{id}:{run}".encode())
+            if h % 31 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= least_chars:
+                n[run] += 1
+    return n
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(n, ratio=10):
+    linked = {w: [v for v in n if near(w, v)] for w in n}
+    form = {}
+    for w, others in linked.items():
+        if others:
+            best = min(others, key=lambda v: (-n[v], v))
+            if n[best] >= ratio * n[w]:
+                form[w] = best
+    out = []
+    for w in n:
+        root = w
+        while root in form:
+            root = form[root]
+        out.append((w, form.get(w), root, n[w], len(linked[w]), n[form[w]] if w in form else None))
+    return sorted(out)
+
+
+def vocabulary(seed, size):
+    r = random.Random(seed)
+    words = ["abcabcabc", "aaaaaaaa", "aaaaaaa", "aaaaaaaaa", "anananan", "ananana", "éééééééé", "ééééééé", "×÷éèêëç", "straßenÿ"]
+    while len(words) < size:
+        w = "".join(r.choice(["ba", "ka", "né", "ti", "rou", "s", "in"]) for _ in range(r.randrange(3, 6)))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(w))
+            w = r.choice([w[:at] + w[at + 1 :], w[:at] + "x" + w[at:], w[:at] + "é" + w[at + 1 :]])
+        if len(w) >= 7:
+            words.append(w)
+    return {w: r.choice([2, 3, 20, 40, 400, 4000]) for w in words}
+
+
+@pytest.mark.parametrize("frequent, long", [(100, 1000), (3, 1000), (3, 4), (1, 0)])
+def test_variants_like_brute_force(spark, monkeypatch, frequent, long):
+    monkeypatch.setattr(spelling, "FREQUENT", frequent)
+    monkeypatch.setattr(spelling, "LONG_LIST", long)
+    n = vocabulary(4, 500)
+    got = spelling.variants(spark.createDataFrame(list(n.items()), "word string, n long")).collect()
+    assert sorted(map(tuple, got)) == brute_variants(n)
+
+
+def test_words_like_brute_force(table, monkeypatch):
+    r = random.Random(5)
+    pool = [*vocabulary(6, 60), "Short", "UPPERCASE", "ÉCLATANTE", "mixed9digits", "under_scored"]
+    rows = [(i, r.choice([" ", ", ", "\n"]).join(r.choices(pool, k=r.randrange(40)))) for i in range(120)]
+    rows += [(None, "wonderful wonderful"), (1, None), (2, ""), (3, "wonderful"), (3, "wonderful"), (4, "y" * 50_000), (5, "longword " * 30_000)]
+    got = {x.word: x.n for x in spelling.typed_words(table(rows)).collect()}
+    assert got == dict(brute_words(rows))
+    whole = spelling.grouped(table(rows)).collect()
+    assert sorted(map(tuple, whole)) == brute_variants({w: n for w, n in brute_words(rows).items() if n >= 2})
+    assert spelling.grouped(table([])).count() == 0
+
+
+def test_an_edit_affects_no_more_grams_than_the_bound():
+    r = random.Random(7)
+    words = list(vocabulary(8, 200))
+    frequent = {g for w in words[:60] for s in range(3, 6) for k in range(len(w)) if len(g := f"^{w}$"[k : k + s]) == s and r.random() < 0.6}
+    for w in words:
+        own = collections.Counter(spelling.grams(w, frequent))
+        for at in range(len(w)):
+            for v in (w[:at] + w[at + 1 :], w[:at] + "q" + w[at:], w[:at] + "q" + w[at + 1 :]):
+                common = sum((own & collections.Counter(spelling.grams(v, frequent))).values())
+                assert common >= len(spelling.grams(w, frequent)) - spelling.most_affected(spelling.grams(w, frequent))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattframe.llm import decontaminate, jaccard, lines, manifest, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
+from wattframe.llm import decontaminate, jaccard, lines, manifest, mixing, pii, quotes, rans, repeats, rules, spelling, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": tokens.query,
     "op11_merkle_manifest": manifest.query,
     "op12_line_dedup": lines.query,
+    "op13_spelling_variants": spelling.query,
 }
 ORACLES: dict[str, str] = {
     "op6_raked_mixing": mixing.SQL,
