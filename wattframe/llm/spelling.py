@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from wattframe.llm.common import LOWER, drop, keep
 
@@ -37,6 +38,9 @@ FEWEST_BITS, MOST_BITS = 16, 22
 HELD_WORDS = 300_000
 #: One in so many (document, word) pairs is written with a letter missing.
 SLIP = 31
+SIGN = 1 << 63
+#: Sides of an entry: the word is in the list, asks who else is in it, or both.
+LISTED, ASKING, BOTH = 0, 1, 2
 
 
 def typed_words(docs: DataFrame, least_chars: int = 7, text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -99,8 +103,9 @@ def most_affected(found: list[str]) -> int:
     return max(cover)
 
 
-def _crc(gram: str, *place: int) -> int:
-    return zlib.crc32(f"{gram}{place}".encode()) if place else zlib.crc32(gram.encode())
+def _place_key(gram: str, size: int, at: int, more: str = "") -> int:
+    """A 64-bit name of the list of words of ``size`` characters that hold ``gram`` at place ``at``."""
+    return xxh3_64_intdigest(f"{gram}{size},{at}{more}")
 
 
 def _per_word(words: DataFrame, schema: str, fn) -> DataFrame:
@@ -161,7 +166,7 @@ def list_lengths(words: DataFrame, frequent: set[str], bits: int) -> tuple[np.nd
             at = []
             for word in b.column("word").to_pylist():
                 for place, g in enumerate(grams(word, frequent)):
-                    at += [_crc(g) % size, size + _crc(g, len(word), place) % size]
+                    at += [zlib.crc32(g.encode()) % size, size + _place_key(g, len(word), place) % size]
             total += np.bincount(np.array(at, np.int64), minlength=2 * size)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["at", "n"])
@@ -174,7 +179,7 @@ def list_lengths(words: DataFrame, frequent: set[str], bits: int) -> tuple[np.nd
 
 
 def index(words: DataFrame) -> DataFrame:
-    """Entries (key, side, size, word, n) of the lists to merge; sides: 0 indexed, 1 asking.
+    """Entries (key, side, size, word, n) of the lists to merge.
 
     A word asks among words of its own length and of one character more. An
     entry at a place whose list is long is written once for each deletion of the
@@ -191,41 +196,39 @@ def index(words: DataFrame) -> DataFrame:
 
         def one(word: str, n: int) -> Iterator[tuple]:
             found = grams(word, frequent)
-            order = sorted(range(len(found)), key=lambda k: (by_gram[_crc(found[k]) & mask], found[k], k))
+            order = sorted((by_gram[zlib.crc32(g.encode()) & mask], g, k) for k, g in enumerate(found))
             size = len(word)
             bound = most_affected(found)
             if bound >= len(found):
                 raise ValueError(f"words are too short for grams of up to {LONGEST} characters")
-            without = [word[:k] + word[k + 1 :] for k in range(size)]
-            for at in order[: bound + 1]:
-                g = found[at]
+            for _, g, at in order[: bound + 1]:
                 for other, place in ((size, at), (size + 1, at), (size + 1, at + 1)):
-                    key = f"{g}{other},{place}"
-                    if by_place[_crc(g, other, place) & mask] <= long:
-                        if other == size:
-                            yield key, 0, size, word, n
-                        yield key, 1, size, word, n
+                    key = _place_key(g, other, place)
+                    if by_place[key & mask] <= long:
+                        yield key - SIGN, BOTH if other == size else ASKING, size, word, n
                     elif other == size:
+                        without = [word[:k] + word[k + 1 :] for k in range(size)]
                         for k, rest in enumerate(without):
-                            yield f"{key},{k}{rest}", 0, size, word, n
-                            yield f"{key},{k}{rest}", 1, size, word, n
+                            yield _place_key(g, other, place, f",{k}{rest}") - SIGN, BOTH, size, word, n
                         for rest in set(without):
-                            yield f"{key},{rest}", 0, size, word, n
+                            yield _place_key(g, other, place, f",{rest}") - SIGN, LISTED, size, word, n
                     else:
-                        yield f"{key},{word}", 1, size, word, n
+                        yield _place_key(g, other, place, f",{word}") - SIGN, ASKING, size, word, n
 
         return one
 
-    return _per_word(words, "key string, side long, size long, word string, n long", entries)
+    return _per_word(words, "key long, side long, size long, word string, n long", entries)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs (a, a_n, b, b_n) of words (word, n) that differ by one inserted, deleted or replaced character."""
-    entries = keep(index(words).withColumn("key", F.xxhash64("key")))
-    asked = entries.where("side = 1").select("key", F.col("size").alias("a_size"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    listed = entries.where("side = 0").select("key", F.col("size").alias("b_size"), F.col("word").alias("b"), F.col("n").alias("b_n"))
+    entries = keep(index(words))
+    asked = entries.where(F.col("side") != LISTED).select("key", F.col("size").alias("a_size"), F.col("word").alias("a"), F.col("n").alias("a_n"))
+    listed = entries.where(F.col("side") != ASKING).select("key", F.col("size").alias("b_size"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     once = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b")))
-    met = asked.join(listed, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
+    # One edit leaves the first or the last three characters as they are, which is cheaper to see.
+    alike = (F.left("a", F.lit(3)) == F.left("b", F.lit(3))) | (F.right("a", F.lit(3)) == F.right("b", F.lit(3)))
+    met = asked.join(listed, "key").where(once & alike & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
