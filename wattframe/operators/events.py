@@ -15,6 +15,7 @@ from wattframe.plans.quantiles import attach, order_statistics, quantiles
 from wattframe.plans.timeline import (
     Timeline,
     by_rows,
+    following,
     last_seen,
     number_rows,
     previous,
@@ -42,8 +43,9 @@ def find_onsets(
     The first two rows of a series never qualify, and onsets are more than
     ``gap_rows`` rows apart.
     """
-    seen = Timeline(df, series).scan(rn=running_count())
-    seen = seen.scan(reverse=True, z_next=previous(F.col(z)), onset_ts=previous(F.col(series.ts)))
+    seen = Timeline(df, series).scan(
+        rn=running_count(), z_next=following(F.col(z)), onset_ts=following(F.col(series.ts))
+    )
     ok = (
         (F.col("rn") >= 3)
         & (F.col(z) < dip_max)

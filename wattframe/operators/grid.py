@@ -12,6 +12,7 @@ from wattframe.plans.timeline import (
     Timeline,
     by_time,
     first_seen,
+    following,
     last_seen,
     number_rows,
     previous,
@@ -216,10 +217,10 @@ def clean_trace(
 
 def segments(df: DataFrame, series: Series, t: str, v: str) -> DataFrame:
     """Each row with the next row's time and value and the series' start."""
-    ahead = Timeline(df, series).scan(
-        reverse=True, t_next=previous(F.col(t)), v_next=previous(F.col(v))
+    seen = Timeline(df, series).scan(
+        t_next=following(F.col(t)), v_next=following(F.col(v)), t_first=first_seen(F.col(t))
     )
-    return ahead.scan(t_first=first_seen(F.col(t))).done()
+    return seen.done()
 
 
 def resample(

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe.plans.tables import checkpoint_dir
 from wattframe.plans.timeline import BUCKET
 from wattframe.series import Series
 
@@ -25,21 +25,6 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, a folder that driver and executors share.
-
-    Where it is unset, a temporary folder serves in local mode; on a cluster
-    that would be another disk for each executor, so it is refused.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.wattframe.scratch", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="wattframe-checkpoint-")
-        spark.conf.set("spark.wattframe.scratch", named)
-    return named
-
-
 GroupFn = Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
 
 

@@ -19,6 +19,8 @@ def session(master: str | None = None, app: str = "wattframe", **conf: str) -> S
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.checkpoint.compress": "true",
         **conf,
     }
     for k, v in settings.items():

@@ -3,9 +3,10 @@
 Three shapes cover the operators:
 
 * :class:`Timeline` - running state (sum, max, last seen value ...).  Rows are
-  hash-distributed once on ``(key, time bucket)``.  Each bucket is reduced to
-  one summary row, the summaries are scanned per key (as many rows as there are
-  buckets, not samples) and the carry is joined back on the same distribution.
+  hash-distributed and sorted once on ``(key, time bucket)`` and cut from their
+  lineage there.  Each bucket is reduced to one summary row, the summaries are
+  scanned per key (as many rows as there are buckets, not samples) and the carry
+  is joined back on the same distribution, without another exchange or sort.
 * :func:`by_rows` - windows that reach a bounded number of rows back or ahead.
   Rows are numbered with a Timeline, cut into equal blocks, and the few rows
   next to a block edge are copied to the neighbour block.
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from wattframe.plans.tables import placed, recut
 from wattframe.series import Series
 
 BUCKET = "_wf_bucket"
@@ -37,7 +39,7 @@ Stage = Callable[[WindowSpec], dict[str, Column]]
 @dataclass(frozen=True)
 class Running:
     """One running quantity: ``kind`` in sum, max, min, last, before, first,
-    lag."""
+    lag, lead."""
 
     kind: str
     value: Column
@@ -79,91 +81,202 @@ def previous(value: Column) -> Running:
     return Running("lag", value)
 
 
-class Timeline:
-    """A DataFrame distributed on (series key, time bucket), ready for scans."""
+def following(value: Column) -> Running:
+    """Value of the next row, null on the last row of a series."""
+    return Running("lead", value)
+
 
-    def __init__(self, df: DataFrame, series: Series, _placed: bool = False):
-        self.series = series
-        if _placed:
-            self.df = df
-            return
+class Timeline:
+    """A DataFrame distributed on (series key, time bucket), ready for scans.
+
+    The rows are exchanged and sorted once and cut from their lineage
+    (:func:`~wattframe.plans.tables.placed`); every later step of a scan works on
+    that distribution, so the source is read once however many scans follow.
+    A scan of preceding rows (``previous``) and the scan after it are one pass:
+    only the first row of a bucket depends on another bucket in the first scan,
+    so the bucket's summary keeps that row aside and its values are worked out
+    once the row before it is known.
+    """
+
+    def __init__(self, df: DataFrame, series: Series):
         width = series.width * series.scale(df)
         bucket = F.floor(series.position(df) / F.lit(width)).cast("long")
-        self.df = df.withColumn(BUCKET, bucket).repartition(*series.keys(), F.col(BUCKET))
+        rows = placed(df.withColumn(BUCKET, bucket), [*series.key, BUCKET], [series.ts, *series.tie])
+        self._set(rows, series, True, None, [])
+
+    def _set(self, df, series, cut, waiting, after) -> Timeline:
+        self.df, self.series = df, series
+        self._cut, self._waiting, self._after = cut, waiting, after
+        return self
 
-    def _same(self, df: DataFrame) -> Timeline:
-        return Timeline(df, self.series, _placed=True)
+    def _with(self, df: DataFrame, cut: bool, waiting=None, after=()) -> Timeline:
+        return object.__new__(Timeline)._set(df, self.series, cut, waiting, list(after))
 
     def with_columns(self, cols: dict[str, Column]) -> Timeline:
-        return self._same(self.df.withColumns(cols))
+        return self._then(lambda df: df.withColumns(cols))
 
     def drop(self, *cols: str) -> Timeline:
-        return self._same(self.df.drop(*cols))
+        return self._then(lambda df: df.drop(*cols))
+
+    def _then(self, change: Callable[[DataFrame], DataFrame]) -> Timeline:
+        if self._waiting is not None:
+            return self._with(self.df, self._cut, self._waiting, [*self._after, change])
+        return self._with(change(self.df), self._cut)
 
     def scan(self, reverse: bool = False, **specs: Running) -> Timeline:
         """Add one running column per spec (``reverse`` runs from the end)."""
-        s = self.series
-        place = [*s.key, BUCKET]
-        order = [c.desc() for c in s.order()] if reverse else s.order()
-        local = Window.partitionBy(*place).orderBy(*order)
-        upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        earlier = local.rowsBetween(Window.unboundedPreceding, -1)
-        by_bucket = F.col(BUCKET).desc() if reverse else F.col(BUCKET)
-        before = (
-            Window.partitionBy(*s.key)
-            .orderBy(by_bucket)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        names = {name: f"_wf_v_{i}" for i, name in enumerate(specs)}
-        base = self.df.withColumns({names[n]: sp.value for n, sp in specs.items()})
-        at = F.struct(*s.order())
-        newest, oldest = (F.min_by, F.max_by) if reverse else (F.max_by, F.min_by)
-
-        partial, carry = [], []
-        for name, sp in specs.items():
-            v = F.col(names[name])
-            tmp, out = f"_wf_p_{name}", f"_wf_c_{name}"
+        if self._waiting is not None:
+            return self._with(_fused(self.df, self.series, self._waiting, self._after, specs, reverse), False)
+        df = self.df if self._cut else recut(self.df, [*self.series.key, BUCKET], [self.series.ts, *self.series.tie])
+        if not reverse and all(sp.kind == "lag" for sp in specs.values()):
+            return self._with(df, True, specs)
+        return self._with(_scanned(df, self.series, specs, reverse), False)
+
+    def done(self) -> DataFrame:
+        df = self.df
+        if self._waiting is not None:
+            df = _scanned(df, self.series, self._waiting, False)
+            for change in self._after:
+                df = change(df)
+        return df.drop(BUCKET)
+
+
+class _Scan:
+    """One scan's windows, summaries and carries for a bucket order and direction."""
+
+    def __init__(self, series: Series, specs: dict[str, Running], reverse: bool, tag: str):
+        self.specs, self.reverse, self.key = specs, reverse, list(series.key)
+        self.place = [*series.key, BUCKET]
+        order = [c.desc() for c in series.order()] if reverse else series.order()
+        self.local = Window.partitionBy(*self.place).orderBy(*order)
+        self.upto = self.local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        self.earlier = self.local.rowsBetween(Window.unboundedPreceding, -1)
+        by_bucket = Window.partitionBy(*series.key).orderBy(F.col(BUCKET).desc() if reverse else F.col(BUCKET))
+        self.before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+        self.behind = by_bucket.rowsBetween(1, Window.unboundedFollowing)
+        self.at = F.struct(*series.order())
+        self.newest, self.oldest = (F.min_by, F.max_by) if reverse else (F.max_by, F.min_by)
+        self.value = {n: F.col(f"_wf_v{tag}_{i}") for i, n in enumerate(specs)}
+        self.tmp = {n: f"_wf_p{tag}_{i}" for i, n in enumerate(specs)}
+        self.out = {n: f"_wf_c{tag}_{i}" for i, n in enumerate(specs)}
+
+    def values(self) -> dict[str, Column]:
+        return {f"_wf_v{t}": sp.value for t, sp in self._tagged()}
+
+    def _tagged(self):
+        return [(self.tmp[n].removeprefix("_wf_p"), sp) for n, sp in self.specs.items()]
+
+    def partial(self, counted: Column | None = None) -> list[Column]:
+        """Summary of a bucket's rows, or of those that are ``counted``."""
+        yes = F.lit(True) if counted is None else counted
+        out = []
+        for n, sp in self.specs.items():
+            v, tmp = self.value[n], self.tmp[n]
             if sp.kind in ("sum", "max", "min"):
-                fn = getattr(F, sp.kind)
-                partial.append(fn(v).alias(tmp))
-                carry.append(fn(tmp).over(before).alias(out))
+                made = getattr(F, sp.kind)(v if counted is None else F.when(yes, v))
             elif sp.kind in ("last", "before"):
-                partial.append(newest(v, F.when(v.isNotNull(), at)).alias(tmp))
-                carry.append(F.last(tmp, ignorenulls=True).over(before).alias(out))
+                made = self.newest(v, F.when(yes & v.isNotNull(), self.at))
             elif sp.kind == "first":
-                partial.append(oldest(v, F.when(v.isNotNull(), at)).alias(tmp))
-                carry.append(F.first(tmp, ignorenulls=True).over(before).alias(out))
-            else:  # lag: boxed, so that a null value is still a value
-                partial.append(newest(F.struct(v.alias("v")), at).alias(tmp))
-                carry.append(F.last(tmp).over(before).alias(out))
-        summary = base.groupBy(*place).agg(*partial)
-        carried = summary.select(*place, *carry)
-
-        def final(name: str, sp: Running) -> Column:
-            v, c = F.col(names[name]), F.col(f"_wf_c_{name}")
+                made = self.oldest(v, F.when(yes & v.isNotNull(), self.at))
+            else:  # neighbours: boxed, so that a null value is still a value
+                pick = self.newest if sp.kind == "lag" else self.oldest
+                made = pick(F.struct(v.alias("v")), F.when(yes, self.at))
+            out.append(made.alias(tmp))
+        return out
+
+    def totals(self) -> dict[str, Column]:
+        """Summaries of all rows of a bucket but its first one, joined with that row's values."""
+        out = {}
+        for n, sp in self.specs.items():
+            p, v = F.col(self.tmp[n]), self.value[n]
             if sp.kind == "sum":
-                mine = F.sum(v).over(upto)
-                return F.coalesce(mine + c, mine, c)
-            if sp.kind == "max":
-                return F.greatest(F.max(v).over(upto), c)
-            if sp.kind == "min":
-                return F.least(F.min(v).over(upto), c)
-            if sp.kind == "last":
-                return F.coalesce(F.last(v, ignorenulls=True).over(upto), c)
-            if sp.kind == "before":
-                return F.coalesce(F.last(v, ignorenulls=True).over(earlier), c)
-            if sp.kind == "first":
-                return F.coalesce(c, F.first(v, ignorenulls=True).over(upto))
-            inside = F.lag(F.struct(v.alias("v"))).over(local)
-            return F.coalesce(inside, c)["v"]
-
-        joined = base.join(carried, place, "left")
-        outputs = {name: final(name, sp) for name, sp in specs.items()}
-        drop = [*names.values(), *[f"_wf_c_{n}" for n in specs]]
-        return self._same(joined.withColumns(outputs).drop(*drop))
-
-    def done(self) -> DataFrame:
-        return self.df.drop(BUCKET)
+                made = F.coalesce(p + v, p, v)
+            elif sp.kind in ("max", "min"):
+                made = (F.greatest if sp.kind == "max" else F.least)(p, v)
+            elif sp.kind == "first":
+                made = F.coalesce(p, v) if self.reverse else F.coalesce(v, p)
+            elif sp.kind in ("last", "before"):
+                made = F.coalesce(v, p) if self.reverse else F.coalesce(p, v)
+            else:
+                own = F.struct(v.alias("v"))
+                made = own if self.reverse == (sp.kind == "lag") else F.coalesce(p, own)
+            out[self.tmp[n]] = made
+        return out
+
+    def carries(self) -> dict[str, Column]:
+        out = {}
+        for n, sp in self.specs.items():
+            tmp = F.col(self.tmp[n])
+            if sp.kind in ("sum", "max", "min"):
+                made = getattr(F, sp.kind)(tmp).over(self.before)
+            elif sp.kind == "first":
+                made = F.first(tmp, ignorenulls=True).over(self.before)
+            elif sp.kind == "lead":
+                made = F.first(tmp).over(self.behind)
+            else:
+                made = F.last(tmp, ignorenulls=True).over(self.before)
+            out[self.out[n]] = made
+        return out
+
+    def results(self) -> dict[str, Column]:
+        return {n: self._result(n, sp) for n, sp in self.specs.items()}
+
+    def _result(self, name: str, sp: Running) -> Column:
+        v, c = self.value[name], F.col(self.out[name])
+        if sp.kind == "sum":
+            mine = F.sum(v).over(self.upto)
+            return F.coalesce(mine + c, mine, c)
+        if sp.kind == "max":
+            return F.greatest(F.max(v).over(self.upto), c)
+        if sp.kind == "min":
+            return F.least(F.min(v).over(self.upto), c)
+        if sp.kind == "last":
+            return F.coalesce(F.last(v, ignorenulls=True).over(self.upto), c)
+        if sp.kind == "before":
+            return F.coalesce(F.last(v, ignorenulls=True).over(self.earlier), c)
+        if sp.kind == "first":
+            return F.coalesce(c, F.first(v, ignorenulls=True).over(self.upto))
+        step = F.lag if sp.kind == "lag" else F.lead
+        return F.coalesce(step(F.struct(v.alias("v"))).over(self.local), c)["v"]
+
+    def temporary(self) -> list[str]:
+        return [*self.values(), *self.out.values()]
+
+
+def _scanned(df: DataFrame, series: Series, specs: dict[str, Running], reverse: bool) -> DataFrame:
+    """One scan over placed rows: bucket summaries, their running carry, and the rows with it."""
+    s = _Scan(series, specs, reverse, "a")
+    base = df.withColumns(s.values())
+    summary = base.groupBy(*s.place).agg(*s.partial())
+    carried = summary.withColumns(s.carries()).select(*s.place, *s.out.values())
+    return base.join(carried, s.place, "left").withColumns(s.results()).drop(*s.temporary())
+
+
+def _fused(
+    df: DataFrame, series: Series, first: dict[str, Running], after: list, second: dict[str, Running], reverse: bool
+) -> DataFrame:
+    """A scan of preceding rows, columns made of it, and a scan over those, in one pass."""
+    a, b = _Scan(series, first, False, "a"), _Scan(series, second, reverse, "b")
+
+    def made(df: DataFrame) -> DataFrame:
+        for change in after:
+            df = change(df)
+        return df.withColumns(b.values())
+
+    base = df.withColumns(a.values())
+    inside = {n: F.lag(F.struct(a.value[n].alias("v"))).over(a.local) for n in first}
+    local = base.withColumns({"_wf_inner": F.lag(F.lit(True)).over(a.local).isNotNull(), **{n: x["v"] for n, x in inside.items()}})
+    rest = made(local.withColumn("_wf_row", F.struct(*df.columns)))
+    summary = rest.groupBy(*a.place).agg(
+        *a.partial(), *b.partial(F.col("_wf_inner")), a.oldest("_wf_row", a.at).alias("_wf_head")
+    )
+    known = summary.withColumns(a.carries())
+    kept = [*a.out.values(), *b.tmp.values()]
+    heads = known.select(*kept, "_wf_head.*").withColumns({n: F.col(a.out[n])["v"] for n in first})
+    totals = made(heads).select(*a.place, *a.out.values(), *[c.alias(n) for n, c in b.totals().items()])
+    carried = totals.withColumns(b.carries()).select(*a.place, *a.out.values(), *b.out.values())
+    seen = made(base.join(carried, a.place, "left").withColumns(a.results()))
+    return seen.withColumns(b.results()).drop(*a.temporary(), *b.temporary())
 
 
 def number_rows(df: DataFrame, series: Series, name: str = "rn") -> DataFrame:
