@@ -32,7 +32,7 @@ def nodes(spark, d):
     """Every server's whole trace at TICKS points, scaled to its own range."""
     traces = number_rows(b.samples(spark, d), b.SAMPLES, "rn").select("server", F.col("rn").cast("double").alias("t"), "power_watts")
     even = g.resample_ticks(traces, Series(("server",), "t", (), 100_000.0), "power_watts", TICKS)
-    return fl.normalise(even, ["server"], "power_watts").withColumn("power_watts", F.round("power_watts", 9))
+    return fl.normalise_ticks(even, ["server"], "tick", "power_watts", TICKS).withColumn("power_watts", F.round("power_watts", 9))
 
 
 def vectors(spark, d):

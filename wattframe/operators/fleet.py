@@ -21,6 +21,28 @@ def normalise(df: DataFrame, keys: Sequence[str], value: str, lo: float = 0.02,
     return rows.withColumn(value, F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))).drop("_lo", "_hi")
 
 
+def normalise_ticks(df: DataFrame, keys: Sequence[str], tick: str, value: str, ticks: int, lo: float = 0.02, hi: float = 0.98) -> DataFrame:
+    """:func:`normalise` for traces resampled to a fixed number of ticks.
+
+    A trace is then one row of bounded size, so its quantiles, scaling and ticks
+    need one aggregate; rows stay dealt by trace.
+    """
+    one = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(tick, F.col(value).cast("double").alias("v")))).alias("_wf_t"))
+    whole = F.assert_true(F.size("_wf_t") == ticks, F.lit(f"a trace does not have {ticks} ticks"))
+    values = F.array_sort(F.transform("_wf_t", lambda x: x["v"]))
+
+    def at(q: float):
+        k, part = divmod((ticks - 1) * q, 1.0)
+        low, high = F.get("_wf_v", F.lit(int(k))), F.get("_wf_v", F.lit(min(int(k) + 1, ticks - 1)))
+        return low + (high - low) * part
+
+    ranged = one.filter(whole.isNull()).withColumn("_wf_v", values).withColumns({"_wf_lo": at(lo), "_wf_hi": at(hi)})
+    ranged = ranged.filter(F.col("_wf_hi") - F.col("_wf_lo") >= 1e-9)
+    scaled = (F.col("_wf_x.v") - F.col("_wf_lo")) / (F.col("_wf_hi") - F.col("_wf_lo"))
+    rows = ranged.select(*keys, "_wf_lo", "_wf_hi", F.explode("_wf_t").alias("_wf_x"))
+    return rows.select(*keys, F.col(f"_wf_x.{tick}").alias(tick), F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled)).alias(value))
+
+
 def thresholds(n: int, lo: float = 0.02, hi: float = 1.0) -> list[float]:
     return [float(x) for x in np.linspace(lo, hi, n)]
 
@@ -52,10 +74,11 @@ def cdf_vectors(
     widths = F.element_at(F.array(*[F.lit(e - p) for p, e in zip([-1, *ends], ends, strict=False)]), F.col("frame") + 1)
     whole = F.assert_true(F.col("_n") == widths, F.lit(f"a trace does not have {ticks} ticks"))
     per = per.filter(whole.isNull()).drop("_n")
-    nodes = per.select(*node).distinct().withColumn(
-        "frame", F.explode(F.array(*[F.lit(f) for f in range(frames)]))
-    )
-    dense = nodes.join(per, [*node, "frame"], "left")
+    dense = per
+    if len(set(ends)) < frames:  # fewer ticks than frames: some frames end where another does
+        nodes = per.select(*node).distinct()
+        dense = nodes.withColumn("frame", F.explode(F.array(*[F.lit(f) for f in range(frames)])))
+        dense = dense.join(per, [*node, "frame"], "left")
     w = Window.partitionBy(*node).orderBy("frame")
     elapsed = F.element_at(F.array(*[F.lit(float(e + 1)) for e in ends]), F.col("frame") + 1)
     y = F.array(

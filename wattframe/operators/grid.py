@@ -17,9 +17,13 @@ from wattframe.plans.timeline import (
     number_rows,
     previous,
     reach,
+    series_max,
 )
 from wattframe.series import MICROS, Series
 
+#: Grid points that one row may expand to at a time.
+PIECE = 100_000
+
 # Store measurement -> canonical signal name.
 BASE_SIGNALS = {
     "cpu_power": "power_watts",
@@ -216,27 +220,32 @@ def clean_trace(
 
 
 def segments(df: DataFrame, series: Series, t: str, v: str) -> DataFrame:
-    """Each row with the next row's time and value and the series' start."""
+    """Each row with the next row's time and value and the series' first and last time."""
     seen = Timeline(df, series).scan(
-        t_next=following(F.col(t)), v_next=following(F.col(v)), t_first=first_seen(F.col(t))
+        t_next=following(F.col(t)), v_next=following(F.col(v)), t_first=first_seen(F.col(t)), t_last=series_max(F.col(t))
     )
     return seen.done()
 
 
 def resample(
-    df: DataFrame, series: Series, v: str, dt: float | str, ticks: int | None = None,
+    df: DataFrame, series: Series, v: str, dt: float | str | None, ticks: int | None = None,
     offset: float = 0.0, half_open: bool = False,
 ) -> DataFrame:
     """Linear interpolation on ``t0 + k*dt`` up to ``tN + dt/2``.
 
     ``dt`` may name a per-row column.  Each segment between two samples emits
-    its own grid points, so the work is local and skew-free.  With ``ticks``
-    exactly that many points are emitted (R17).  ``offset`` starts the grid
-    later, ``half_open`` stops it before ``tN`` (F5).
+    its own grid points, so the work is local and skew-free; a segment of very
+    many points is first cut into pieces of ``PIECE`` points, so that no row
+    holds more.  With ``ticks`` exactly that many points are emitted (R17), by
+    default over the series' own span; a series without a span has none.
+    ``offset`` starts the grid later, ``half_open`` stops it before ``tN`` (F5).
     """
     t = series.ts
-    step = F.col(dt) if isinstance(dt, str) else F.lit(float(dt))
-    seg = segments(df, series, t, v).withColumn("_wf_dt", step)
+    seg = segments(df, series, t, v)
+    if dt is None:
+        seg = seg.withColumn("_wf_dt", (F.col("t_last") - F.col("t_first")) / F.lit(float(ticks - 1))).filter("_wf_dt > 0")
+    else:
+        seg = seg.withColumn("_wf_dt", F.col(dt) if isinstance(dt, str) else F.lit(float(dt)))
     if offset:
         seg = seg.withColumn("t_first", F.col("t_first") + offset)
     d = F.col("_wf_dt")
@@ -252,7 +261,9 @@ def resample(
     if offset:
         lo = F.greatest(lo, F.lit(0))
     grid = seg.withColumns({"_wf_lo": lo, "_wf_hi": hi}).filter("_wf_hi > _wf_lo")
-    grid = grid.withColumn("tick", F.explode(F.sequence(F.col("_wf_lo"), F.col("_wf_hi") - 1)))
+    grid = grid.withColumn("_wf_lo", F.explode(F.sequence("_wf_lo", F.col("_wf_hi") - 1, F.lit(PIECE))))
+    upto = F.least(F.col("_wf_hi"), F.col("_wf_lo") + PIECE) - 1
+    grid = grid.withColumn("tick", F.explode(F.sequence(F.col("_wf_lo"), upto)))
     at = F.col("t_first") + F.col("tick") * d
     slope = (F.col("v_next") - F.col(v)) / (F.col("t_next") - F.col(t))
     value = F.when(
@@ -262,13 +273,8 @@ def resample(
 
 
 def resample_ticks(df: DataFrame, series: Series, v: str, ticks: int) -> DataFrame:
-    """Resample to ``ticks`` points over each series' own span."""
-    t = series.ts
-    ends = df.groupBy(*series.key).agg(
-        ((F.max(t) - F.min(t)) / F.lit(float(ticks - 1))).alias("_wf_step")
-    )
-    ok = df.join(ends.filter("_wf_step > 0"), list(series.key))
-    return resample(ok, series, v, "_wf_step", ticks)
+    """Resample to ``ticks`` points over each series' own span (R17), which the one pass also finds."""
+    return resample(df, series, v, None, ticks)
 
 
 def interpolate_at(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattframe.operators.events import episodes, true_transitions, usage_edges
 from wattframe.operators.match import first_alert, overlaps
 from wattframe.plans.quantiles import ALL, descending_rank, order_statistics, quantiles
+from wattframe.plans.tables import cut
 from wattframe.plans.timeline import Timeline, running_sum
 from wattframe.series import MICROS, Series
 
@@ -93,13 +94,15 @@ def event_score(
     """
     series = Series(series.key, series.ts, (), series.width)
     key, t = list(series.key), series.ts
-    ev, al = events.select(*key, t), alerts.select(*key, t)
+    # Both inputs are read once, into one table of points.
+    both = cut(events.select(*key, t, F.lit(True).alias("_ev")).unionByName(alerts.select(*key, t, F.lit(False).alias("_ev"))))
+    ev, al = both.filter("_ev").drop("_ev"), both.filter("NOT _ev").drop("_ev")
     if bounds is not None:
         b = bounds.select(*key, "start_ts", "end_ts")
         inside = F.col(t).between(F.col("start_ts"), F.col("end_ts"))
         ev = ev.join(b, key).filter(inside).select(*key, t)
         al = al.join(b, key).filter(inside).select(*key, t)
-    matched = first_alert(ev, al, series, lead_s, lag_s)
+    matched = cut(first_alert(ev, al, series, lead_s, lag_s))
     eps = overlaps(episodes(al, series, gap_s), ev, series, lead_s, lag_s)
     per_event = matched.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n_events"),
@@ -122,7 +125,7 @@ def event_score(
         F.min("start_ts").alias("_al0"),
         F.max("end_ts").alias("_al1"),
     )
-    every = (bounds.select(*key) if bounds is not None else ev.select(*key).union(al.select(*key))).distinct()
+    every = (bounds.select(*key) if bounds is not None else both.select(*key)).distinct()
     out = every.join(per_event, key, "left").join(lat, key, "left").join(per_episode, key, "left")
     if bounds is not None:
         out = out.join(b, key, "left")

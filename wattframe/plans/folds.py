@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattframe.plans.tables import checkpoint_dir
+from wattframe.plans.tables import checkpoint_dir, placed
 from wattframe.plans.timeline import BUCKET
 from wattframe.series import Series
 
@@ -105,9 +105,9 @@ def refractory(
     width = series.width * scale
     keys = list(series.key)
     pos = series.position(candidates).cast("double")
-    placed = candidates.withColumns(
-        {"_wf_x": pos, BUCKET: F.floor(pos / F.lit(width)).cast("long")}
-    ).repartition(*keys, BUCKET)
+    dealt = placed(
+        candidates.withColumns({"_wf_x": pos, BUCKET: F.floor(pos / F.lit(width)).cast("long")}), [*keys, BUCKET], ["_wf_x"]
+    )
 
     def publish(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         xs, buckets = pdf["_wf_x"].to_numpy(), pdf[BUCKET].to_numpy()
@@ -147,10 +147,10 @@ def refractory(
 
     out_cols = candidates.columns
     place = [*keys, BUCKET]
-    place_fields = [placed.schema[c] for c in place]
+    place_fields = [dealt.schema[c] for c in place]
     doubles = T.ArrayType(T.DoubleType())
     tables = map_groups(
-        placed.select(*place, "_wf_x"),
+        dealt.select(*place, "_wf_x"),
         place,
         ["_wf_x"],
         publish,
@@ -165,8 +165,7 @@ def refractory(
         chain,
         T.StructType([*place_fields, T.StructField("_wf_entry", T.DoubleType())]),
     )
-    ready = placed.join(entries, place).repartition(*place)
-    return map_groups(ready, place, ["_wf_x"], thin, candidates.schema)
+    return map_groups(dealt.join(entries, place), place, ["_wf_x"], thin, candidates.schema)
 
 
 Step = Callable[[list[float] | None, pd.DataFrame], tuple[pd.DataFrame, list[float]]]

@@ -33,16 +33,22 @@ def _cut(df: DataFrame) -> DataFrame:
     checkpoints (:func:`wattframe.plans.session.session` says so).
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     adaptive = spark.conf.get(ADAPTIVE)
     spark.conf.set(ADAPTIVE, "false")
     try:
-        return df.checkpoint()
+        return cut(df)
     finally:
         spark.conf.set(ADAPTIVE, adaptive)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, for a plan that uses them more than once."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    return df.checkpoint()
+
+
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows dealt by the keys and sorted by keys and order, once; later windows and groups by the keys need neither."""
     return _cut(df.repartition(*keys).sortWithinPartitions(*keys, *order))

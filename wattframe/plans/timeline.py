@@ -39,7 +39,7 @@ Stage = Callable[[WindowSpec], dict[str, Column]]
 @dataclass(frozen=True)
 class Running:
     """One running quantity: ``kind`` in sum, max, min, last, before, first,
-    lag, lead."""
+    lag, lead, or all_max, all_min over the whole series."""
 
     kind: str
     value: Column
@@ -86,6 +86,16 @@ def following(value: Column) -> Running:
     return Running("lead", value)
 
 
+def series_max(value: Column) -> Running:
+    """Largest value of the whole series, on each of its rows."""
+    return Running("all_max", value)
+
+
+def series_min(value: Column) -> Running:
+    """Smallest value of the whole series, on each of its rows."""
+    return Running("all_min", value)
+
+
 class Timeline:
     """A DataFrame distributed on (series key, time bucket), ready for scans.
 
@@ -141,6 +151,9 @@ class Timeline:
         return df.drop(BUCKET)
 
 
+FOLDS = {"sum": F.sum, "max": F.max, "min": F.min, "all_max": F.max, "all_min": F.min}
+
+
 class _Scan:
     """One scan's windows, summaries and carries for a bucket order and direction."""
 
@@ -153,6 +166,7 @@ class _Scan:
         self.earlier = self.local.rowsBetween(Window.unboundedPreceding, -1)
         by_bucket = Window.partitionBy(*series.key).orderBy(F.col(BUCKET).desc() if reverse else F.col(BUCKET))
         self.before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+        self.whole = Window.partitionBy(*series.key)
         self.behind = by_bucket.rowsBetween(1, Window.unboundedFollowing)
         self.at = F.struct(*series.order())
         self.newest, self.oldest = (F.min_by, F.max_by) if reverse else (F.max_by, F.min_by)
@@ -172,8 +186,8 @@ class _Scan:
         out = []
         for n, sp in self.specs.items():
             v, tmp = self.value[n], self.tmp[n]
-            if sp.kind in ("sum", "max", "min"):
-                made = getattr(F, sp.kind)(v if counted is None else F.when(yes, v))
+            if sp.kind in FOLDS:
+                made = FOLDS[sp.kind](v if counted is None else F.when(yes, v))
             elif sp.kind in ("last", "before"):
                 made = self.newest(v, F.when(yes & v.isNotNull(), self.at))
             elif sp.kind == "first":
@@ -191,8 +205,8 @@ class _Scan:
             p, v = F.col(self.tmp[n]), self.value[n]
             if sp.kind == "sum":
                 made = F.coalesce(p + v, p, v)
-            elif sp.kind in ("max", "min"):
-                made = (F.greatest if sp.kind == "max" else F.least)(p, v)
+            elif sp.kind in FOLDS:
+                made = (F.greatest if sp.kind.endswith("max") else F.least)(p, v)
             elif sp.kind == "first":
                 made = F.coalesce(p, v) if self.reverse else F.coalesce(v, p)
             elif sp.kind in ("last", "before"):
@@ -207,8 +221,8 @@ class _Scan:
         out = {}
         for n, sp in self.specs.items():
             tmp = F.col(self.tmp[n])
-            if sp.kind in ("sum", "max", "min"):
-                made = getattr(F, sp.kind)(tmp).over(self.before)
+            if sp.kind in FOLDS:
+                made = FOLDS[sp.kind](tmp).over(self.whole if sp.kind.startswith("all") else self.before)
             elif sp.kind == "first":
                 made = F.first(tmp, ignorenulls=True).over(self.before)
             elif sp.kind == "lead":
@@ -223,6 +237,8 @@ class _Scan:
 
     def _result(self, name: str, sp: Running) -> Column:
         v, c = self.value[name], F.col(self.out[name])
+        if sp.kind.startswith("all"):
+            return c
         if sp.kind == "sum":
             mine = F.sum(v).over(self.upto)
             return F.coalesce(mine + c, mine, c)
