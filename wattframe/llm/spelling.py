@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from wattframe.llm.common import LOWER, drop, keep
+from wattframe.llm.common import LOWER, drop, keep, rows
 
 SHORTEST, LONGEST = 3, 6
 FIRST, LAST = "^", "$"
@@ -34,6 +34,8 @@ FREQUENT, FREQUENT_GRAMS = 100, 50_000
 LONG_LIST = 1_000
 #: Bits of the fixed-size tables of list lengths: by the number of words, but no more.
 FEWEST_BITS, MOST_BITS = 16, 22
+#: Words of a task, and of one batch of entries.
+TASK_WORDS, WORDS_AT_ONCE = 50_000, 500
 #: Distinct words that a worker counts before it hands them on.
 HELD_WORDS = 300_000
 #: One in so many (document, word) pairs is written with a letter missing.
@@ -76,8 +78,8 @@ def typed_words(docs: DataFrame, least_chars: int = 7, text: str = "text", id: s
         if held:
             yield out()
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).cast("string").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    told = docs.where(F.col(text).isNotNull()).select(F.col(id).cast("string").alias("doc"), F.col(text).alias("text"))
+    return told.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 # The gram index
@@ -94,13 +96,15 @@ def grams(word: str, frequent: set[str]) -> list[str]:
     return out
 
 
-def most_affected(found: list[str]) -> int:
-    """The most grams that one edit can affect: the most that cover one place."""
-    cover = [0] * (len(found) + LONGEST)
+def most_affected(found: list[str]) -> tuple[int, int]:
+    """The most grams that one edit can affect: the most that cover one place, and that span one gap (an insertion)."""
+    cover, span = [0] * (len(found) + LONGEST), [0] * (len(found) + LONGEST)
     for at, g in enumerate(found):
-        for k in range(at, at + len(g)):
+        cover[at] += 1
+        for k in range(at + 1, at + len(g)):
             cover[k] += 1
-    return max(cover)
+            span[k] += 1
+    return max(cover), max(span)
 
 
 def _place_key(gram: str, size: int, at: int, more: str = "") -> int:
@@ -114,7 +118,7 @@ def _per_word(words: DataFrame, schema: str, fn) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = fn()
-        for b in batches:
+        for b in rows(batches, WORDS_AT_ONCE):
             out = [row for w, n in zip(*(c.to_pylist() for c in b.columns), strict=True) for row in one(w, n)]
             if out:
                 yield pa.record_batch([pa.array(c) for c in zip(*out, strict=True)], names)
@@ -162,12 +166,13 @@ def list_lengths(words: DataFrame, frequent: set[str], bits: int) -> tuple[np.nd
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * size, np.int64)
-        for b in batches:
+        for b in rows(batches, 4 * WORDS_AT_ONCE):
             at = []
             for word in b.column("word").to_pylist():
                 for place, g in enumerate(grams(word, frequent)):
                     at += [zlib.crc32(g.encode()) % size, size + _place_key(g, len(word), place) % size]
-            total += np.bincount(np.array(at, np.int64), minlength=2 * size)
+            where, n = np.unique(np.array(at, np.int64), return_counts=True)
+            total[where] += n
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["at", "n"])
 
@@ -179,7 +184,7 @@ def list_lengths(words: DataFrame, frequent: set[str], bits: int) -> tuple[np.nd
 
 
 def index(words: DataFrame) -> DataFrame:
-    """Entries (key, side, size, word, n) of the lists to merge.
+    """Entries (key, side, word, n) of the lists to merge.
 
     A word asks among words of its own length and of one character more. An
     entry at a place whose list is long is written once for each deletion of the
@@ -187,7 +192,9 @@ def index(words: DataFrame) -> DataFrame:
     """
     spark = words.sparkSession
     frequent = frequent_grams(words)
-    bits = min(MOST_BITS, max(FEWEST_BITS, int(words.count() * 8).bit_length()))
+    n_words = words.count()
+    bits = min(MOST_BITS, max(FEWEST_BITS, n_words.bit_length()))
+    words = words.repartition(n_words // TASK_WORDS + 1)
     shared = spark.sparkContext.broadcast((frequent, *list_lengths(words, frequent, bits)))
     mask, long = (1 << bits) - 1, LONG_LIST
 
@@ -198,37 +205,37 @@ def index(words: DataFrame) -> DataFrame:
             found = grams(word, frequent)
             order = sorted((by_gram[zlib.crc32(g.encode()) & mask], g, k) for k, g in enumerate(found))
             size = len(word)
-            bound = most_affected(found)
+            bound, inserted = most_affected(found)
             if bound >= len(found):
                 raise ValueError(f"words are too short for grams of up to {LONGEST} characters")
-            for _, g, at in order[: bound + 1]:
-                for other, place in ((size, at), (size + 1, at), (size + 1, at + 1)):
+            for rank, (_, g, at) in enumerate(order[: bound + 1]):
+                longer = ((size + 1, at), (size + 1, at + 1)) if rank <= inserted else ()
+                for other, place in ((size, at), *longer):
                     key = _place_key(g, other, place)
                     if by_place[key & mask] <= long:
-                        yield key - SIGN, BOTH if other == size else ASKING, size, word, n
+                        yield key - SIGN, BOTH if other == size else ASKING, word, n
                     elif other == size:
                         without = [word[:k] + word[k + 1 :] for k in range(size)]
                         for k, rest in enumerate(without):
-                            yield _place_key(g, other, place, f",{k}{rest}") - SIGN, BOTH, size, word, n
+                            yield _place_key(g, other, place, f",{k}{rest}") - SIGN, BOTH, word, n
                         for rest in set(without):
-                            yield _place_key(g, other, place, f",{rest}") - SIGN, LISTED, size, word, n
+                            yield _place_key(g, other, place, f",{rest}") - SIGN, LISTED, word, n
                     else:
-                        yield _place_key(g, other, place, f",{word}") - SIGN, ASKING, size, word, n
+                        yield _place_key(g, other, place, f",{word}") - SIGN, ASKING, word, n
 
         return one
 
-    return _per_word(words, "key long, side long, size long, word string, n long", entries)
+    return _per_word(words, "key long, side long, word string, n long", entries)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """All pairs (a, a_n, b, b_n) of words (word, n) that differ by one inserted, deleted or replaced character."""
     entries = keep(index(words))
-    asked = entries.where(F.col("side") != LISTED).select("key", F.col("size").alias("a_size"), F.col("word").alias("a"), F.col("n").alias("a_n"))
-    listed = entries.where(F.col("side") != ASKING).select("key", F.col("size").alias("b_size"), F.col("word").alias("b"), F.col("n").alias("b_n"))
-    once = (F.col("a_size") < F.col("b_size")) | ((F.col("a_size") == F.col("b_size")) & (F.col("a") < F.col("b")))
-    # One edit leaves the first or the last three characters as they are, which is cheaper to see.
-    alike = (F.left("a", F.lit(3)) == F.left("b", F.lit(3))) | (F.right("a", F.lit(3)) == F.right("b", F.lit(3)))
-    met = asked.join(listed, "key").where(once & alike & (F.levenshtein("a", "b", 1) == 1))
+    asked = entries.where(F.col("side") != LISTED).select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    listed = entries.where(F.col("side") != ASKING).select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    # The words of a list have one length; who asks is as long, or one shorter.
+    once = (F.col("a") < F.col("b")) | (F.char_length("a") < F.char_length("b"))
+    met = asked.join(listed, "key").where(once & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "a_n", "b", "b_n").distinct()
 
 
