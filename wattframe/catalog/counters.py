@@ -54,9 +54,7 @@ def c3(spark, d):
     SELECT server, socket, t_s, uj / s AS uw FROM walk WHERE emit""",
 )
 def c4(spark, d):
-    out = c.windowed_power(
-        b.counters(spark, d), b.COUNTERS, "energy_uj", "max_range", 1_000_000.0, 1300 * b.DAY
-    )
+    out = c.windowed_power(b.counters(spark, d), b.COUNTERS, "energy_uj", "max_range", 1_000_000.0)
     return out.withColumn("uw", F.col("watts") * MICRO)
 
 

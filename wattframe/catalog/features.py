@@ -459,7 +459,7 @@ KALMAN_SQL = f"""{RN_SQL}, kf AS (SELECT server, event_id, rn, power_watts AS z,
     f"WITH RECURSIVE {KALMAN_SQL} SELECT {ID}, lvl AS level, slp AS slope, lvl + slp AS pred_next FROM kf WHERE NOT seed",
 )
 def w35(spark, d):
-    return f.kalman(b.samples(spark, d), b.SAMPLES, "power_watts", slice_width=15 * b.DAY)
+    return f.kalman(b.samples(spark, d), b.SAMPLES, "power_watts")
 
 
 @query("w35_kalman_adaptive", f"{ID}, ~level, ~slope, ~pred_next, ~innov")
@@ -474,7 +474,7 @@ SLEW_SQL = f"""{RN_SQL}, slew AS (SELECT server, event_id, rn, power_watts AS y
 
 @query("w36_slew_limit", f"{ID}, ~limited", f"WITH RECURSIVE {SLEW_SQL} SELECT {ID}, y AS limited FROM slew")
 def w36(spark, d):
-    return f.slew_limit(b.samples(spark, d), b.SAMPLES, "power_watts", 10.0, 15.0, slice_width=15 * b.DAY)
+    return f.slew_limit(b.samples(spark, d), b.SAMPLES, "power_watts", 10.0, 15.0)
 
 
 @query(

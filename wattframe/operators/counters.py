@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wattframe.operators.grid import floor_time
-from wattframe.plans.folds import fold
-from wattframe.plans.timeline import Timeline, last_before, last_seen, previous
+from wattframe.plans.folds import refractory
+from wattframe.plans.timeline import Timeline, last_before, last_seen, previous, running_sum
 from wattframe.series import MICROS, Series
 
 MICROJOULE = 1e-6
@@ -65,27 +63,28 @@ def stall_safe_power(df: DataFrame, series: Series, energy: str, max_range: str
 
 
 def windowed_power(
-    df: DataFrame, series: Series, energy: str, max_range: str | None, min_window_s: float = 0.05,
-    slice_width: float | None = None,
+    df: DataFrame, series: Series, energy: str, max_range: str | None, min_window_s: float = 0.05
 ) -> DataFrame:
-    """C3 that also waits for a minimum window before it emits (C4)."""
-    d = energy_deltas(df, series, energy, max_range).filter(F.col("delta").isNotNull())
-    rows = d.select(*series.key, series.ts, *series.tie, "delta", "dt")
-    kept = [*series.key, series.ts, *series.tie]
+    """C3 that also waits for a minimum window before it emits (C4).
 
-    def step(state, pdf: pd.DataFrame):
-        uj, s = state or (0.0, 0.0)
-        at, watts = [], []
-        for i, (e, dt) in enumerate(zip(pdf["delta"].to_numpy(), pdf["dt"].to_numpy())):
-            uj, s = uj + e, s + dt
-            if e > 0 and s >= min_window_s:
-                at.append(i)
-                watts.append(uj * MICROJOULE / s)
-                uj, s = 0.0, 0.0
-        return pdf.iloc[at][kept].assign(watts=watts), [uj, s]
-
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("watts", T.DoubleType())])
-    return fold(rows, series, step, schema, slice_width)
+    An emission restarts the window, so emissions are the greedy thinning of the
+    advances by the time polled since the last one, and a window's energy is the
+    difference of two running sums.
+    """
+    d = energy_timeline(df, series, energy, max_range)
+    known = F.col("delta").isNotNull()
+    d = d.scan(_wf_uj=running_sum(F.when(known, F.col("delta"))), _wf_s=running_sum(F.when(known, F.col("dt"))))
+    kept = [*series.key, series.ts, *series.tie]
+    sums = d.done().select(
+        *kept, "delta", F.coalesce("_wf_uj", F.lit(0.0)).alias("_wf_uj"), F.coalesce("_wf_s", F.lit(0.0)).alias("_wf_s")
+    )
+    polled = Series(series.key, "_wf_s", (series.ts, *series.tie), series.width)
+    # The first poll opens the first window; it is kept by being first.
+    candidates = sums.filter((F.col("delta") > 0) | (F.col("delta").isNull() & (F.col("_wf_s") == 0)))
+    emitted = refractory(candidates, polled, min_window_s, inclusive=True)
+    seen = Timeline(emitted, polled).scan(_wf_uj0=previous(F.col("_wf_uj")), _wf_s0=previous(F.col("_wf_s")))
+    watts = (F.col("_wf_uj") - F.col("_wf_uj0")) * MICROJOULE / (F.col("_wf_s") - F.col("_wf_s0"))
+    return seen.done().filter("_wf_s0 IS NOT NULL AND delta > 0").select(*kept, watts.alias("watts"))
 
 
 def combined_power(

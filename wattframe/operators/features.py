@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe.plans.blocks import Ranks, relay, rolling_rows, rolling_time
 from wattframe.plans.decay import Decay, decayed_sums
 from wattframe.plans.folds import fold
 from wattframe.plans.quantiles import attach
@@ -523,22 +525,32 @@ def sorted_window(c: str, frame: WindowSpec) -> Column:
     return F.array_sort(F.collect_list(c).over(frame))
 
 
+def _known(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The known values of an array, and how many of them stand before each place."""
+    ok = ~np.isnan(values)
+    return values[ok], np.concatenate([[0], np.cumsum(ok)])
+
+
 def idle_baseline(
     df: DataFrame, series: Series, power: str, window_s: float = 60.0, min_rows: int = 20,
     fallback: float = 225.0, clamp: float = 285.0, name: str = "baseline_w",
 ) -> DataFrame:
-    """Rolling low decile, clamped to a known ceiling."""
+    """Rolling low decile, clamped to a known ceiling.
 
-    def stage(w: WindowSpec) -> dict[str, Column]:
-        win = sorted_window(power, w.rangeBetween(-reach(df, series, window_s), 0))
-        decile = F.element_at(win, (F.floor(F.size(win) / 10) + 1).cast("int"))
-        return {
-            name: F.when(F.size(win) < min_rows, F.lit(fallback)).otherwise(
-                F.least(decile, F.lit(clamp))
-            )
-        }
+    Each block answers all its windows from one rank index, so a row costs the
+    logarithm of the block, not its window.
+    """
+    back = reach(df, series, window_s)
 
-    return by_time(df, series, stage, before=window_s)
+    def fn(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        pos = r[POS]
+        values, seen = _known(r[power].astype(float))
+        start = seen[np.searchsorted(pos, pos - back, side="left")]
+        stop = seen[np.searchsorted(pos, pos, side="right")]
+        decile = Ranks(values).kth(start, stop, (stop - start) // 10)
+        return {name: np.where(stop - start < min_rows, fallback, np.fmin(decile, clamp))}
+
+    return rolling_time(df, series, window_s, fn, [power], {name: T.DoubleType()})
 
 
 def despike(df: DataFrame, series: Series, power: str, keep: int = 5, name: str = "despiked_w") -> DataFrame:
@@ -626,33 +638,21 @@ def rank_threshold(
 ) -> DataFrame:
     """Quantile of the previous ``rows`` scores, current excluded.
 
-    ``every`` refreshes the threshold on each n-th row and carries it between,
-    which divides the cost of long windows.
+    ``every`` refreshes the threshold on each n-th row and holds it between. A
+    block answers the windows of its rows from one rank index; the rows before
+    the block that its first windows reach are at hand.
     """
-    numbered = number_rows(df, series, "rn")
-    frame_rows = (-rows, -1)
 
-    def stage(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(*frame_rows)
-        ready = F.count(score).over(frame) >= warm
-        quant = F.percentile(score, F.lit(q)).over(frame)
-        return {name: F.greatest(F.when(ready, quant).otherwise(F.lit(floor)), F.lit(floor))}
-
-    if every == 1:
-        return by_rows(numbered, series, stage, before=rows, row_number="rn").drop("rn")
-    refresh = numbered.filter((F.col("rn") - 1) % every == 0).select(*series.key, "rn")
-    # each refresh row meets exactly its own ``rows`` predecessors
-    first = F.greatest(F.col("rn") - rows, F.lit(1))
-    scores = numbered.select(*series.key, F.col("rn").alias("_wf_at"), score)
-    back = refresh.filter("rn > 1").withColumn("_wf_at", F.explode(F.sequence(first, F.col("rn") - 1)))
-    met = back.join(scores, [*series.key, "_wf_at"])
-    cut = met.groupBy(*series.key, "rn").agg(
-        F.count(score).alias("_wf_n"), F.percentile(score, F.lit(q)).alias("_wf_q")
-    )
-    thr = F.greatest(F.when(F.col("_wf_n") >= warm, F.col("_wf_q")).otherwise(floor), F.lit(floor))
-    marked = numbered.join(cut.select(*series.key, "rn", thr.alias(name)), [*series.key, "rn"], "left")
-    marked = marked.withColumn(name, F.when(F.col("rn") == 1, F.lit(floor)).otherwise(F.col(name)))
-    return Timeline(marked, series).scan(**{name: last_seen(F.col(name))}).done().drop("rn")
+    def fn(r: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        values, seen = _known(r[score].astype(float))
+        rn = r["rn"].astype(np.int64)
+        at = np.maximum(np.arange(len(rn)) - (rn - 1) % every, 0)
+        start, stop = seen[np.maximum(at - rows, 0)], seen[at]
+        cut = Ranks(values).quantile(start, stop, q)
+        return {name: np.where(stop - start >= warm, np.fmax(cut, floor), floor)}
+
+    numbered = number_rows(df, series, "rn")
+    return rolling_rows(numbered, series, rows + every - 1, fn, [score], {name: T.DoubleType()}).drop("rn")
 
 
 def capped_threshold(
@@ -785,48 +785,169 @@ def kalman_rows(z: np.ndarray, state: list[float] | None, q: float, r: float, dt
     return out, [lvl, slp, p00, p01, p11, q, noise, c, nis]
 
 
+class Gains:
+    """Gains of the filter with fixed noise. They follow from the row number alone and soon stand still."""
+
+    def __init__(self, q: float, r: float, dt: float):
+        self.q, self.r, self.dt = q, r, dt
+        self.p, self.settled = (1e3, 0.0, 1e3), False
+        self.k: list[tuple[float, float]] = []
+
+    def at(self, first: int, n: int) -> np.ndarray:
+        """Gains of rows ``first .. first + n - 1`` of a series, counted from 0."""
+        dt, q = self.dt, self.q
+        while len(self.k) < first + n and not self.settled:
+            p00, p01, p11 = self.p
+            a00 = p00 + 2 * dt * p01 + dt * dt * p11 + q * dt**3 / 3
+            a01 = p01 + dt * p11 + q * dt**2 / 2
+            a11 = p11 + q * dt
+            s = a00 + self.r
+            k0, k1 = a00 / s, a01 / s
+            new = ((1 - k0) * a00, (1 - k0) * a01, a11 - k1 * a01)
+            self.settled = all(abs(x - y) <= 1e-15 * abs(y) for x, y in zip(new, self.p, strict=True))
+            self.p = new
+            self.k.append((k0, k1))
+        out = self.k[first : first + n]
+        return np.array(out + [self.k[-1]] * (n - len(out)))
+
+
+class AffineFilter:
+    """The fixed-gain filter as a relay: a block maps (level, slope) by a 2x2 matrix and a shift."""
+
+    def __init__(self, q: float, r: float, dt: float):
+        self.gains, self.dt = Gains(q, r, dt), dt
+
+    def publish(self, z: np.ndarray, first: int) -> list[float]:
+        m00, m01, m10, m11, c0, c1 = 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
+        if first == 0:  # the first value is the state
+            m00 = m11 = 0.0
+            c0 = float(z[0])
+        dt = self.dt
+        for v, (k0, k1) in zip(z.tolist(), self.gains.at(first, len(z)).tolist(), strict=True):
+            a00, a01 = m00 + dt * m10, m01 + dt * m11
+            ahead = c0 + dt * c1
+            m00, m01, c0 = (1 - k0) * a00, (1 - k0) * a01, ahead + k0 * (v - ahead)
+            m10, m11, c1 = m10 - k1 * a00, m11 - k1 * a01, c1 + k1 * (v - ahead)
+        return [m00, m01, m10, m11, c0, c1]
+
+    @staticmethod
+    def follow(state: Sequence[float] | None, m: Sequence[float]) -> list[float]:
+        a, b = state or (0.0, 0.0)
+        return [m[0] * a + m[1] * b + m[4], m[2] * a + m[3] * b + m[5]]
+
+    def run(self, state: Sequence[float] | None, z: np.ndarray, first: int) -> np.ndarray:
+        """Prediction, level, slope and innovation of each row."""
+        lvl, slp = state or (float(z[0]), 0.0)
+        out, dt = np.empty((len(z), 4)), self.dt
+        for i, (v, (k0, k1)) in enumerate(zip(z.tolist(), self.gains.at(first, len(z)).tolist(), strict=True)):
+            m0, m1 = lvl + dt * slp, slp
+            innov = v - m0
+            lvl, slp = m0 + k0 * innov, m1 + k1 * innov
+            out[i] = lvl + dt * slp, lvl, slp, innov
+        return out
+
+
 def kalman(
     df: DataFrame, series: Series, col: str, q: float = 0.1, r: float = 5.0, dt: float = 1.0,
     adapt: bool = False, slice_width: float | None = None,
 ) -> DataFrame:
     """Level, slope, next-value prediction and innovation per row.
 
-    Nulls are skipped and stay null in a later left join.
+    Nulls are skipped and stay null in a later left join. With fixed noise the
+    filter is an affine map of its state, so all buckets of a series run at once
+    (:func:`~wattframe.plans.blocks.relay`). The adaptive filter has no such
+    form; it runs slice by slice, by default one bucket width at a time.
     """
     cols = [*series.key, series.ts, *series.tie]
     names = ["pred_next", "level", "slope", "innov"]
     rows = df.filter(F.col(col).isNotNull()).select(*cols, F.col(col).cast("double").alias("_wf_z"))
-
-    def step(state, pdf: pd.DataFrame):
-        out, state = kalman_rows(pdf["_wf_z"].to_numpy(), state, q, r, dt, adapt)
-        return pdf[[*cols, "_wf_z"]].assign(**{n: out[:, i] for i, n in enumerate(names)}), state
-
     schema = T.StructType(
         [*[df.schema[c] for c in cols], T.StructField("_wf_z", T.DoubleType())]
         + [T.StructField(n, T.DoubleType()) for n in names]
     )
-    return fold(rows, series, step, schema, slice_width).withColumnRenamed("_wf_z", col)
 
+    def told(pdf: pd.DataFrame, out: np.ndarray) -> pd.DataFrame:
+        return pdf[[*cols, "_wf_z"]].assign(**{n: out[:, i] for i, n in enumerate(names)})
 
-def slew_limit(
-    df: DataFrame, series: Series, target: str, up: float, down: float, name: str = "limited",
-    slice_width: float | None = None,
-) -> DataFrame:
-    """Follow a target by at most ``up`` / ``down`` per row."""
+    def step(state, pdf: pd.DataFrame):
+        out, state = kalman_rows(pdf["_wf_z"].to_numpy(), state, q, r, dt, adapt)
+        return told(pdf, out), state
+
+    if adapt:
+        made = fold(rows, series, step, schema, slice_width or series.width)
+    else:
+        filter = AffineFilter(q, r, dt)
+
+        def publish(pdf: pd.DataFrame) -> list[float]:
+            return filter.publish(pdf["_wf_z"].to_numpy(), int(pdf["_wf_n"].iloc[0]) - 1)
+
+        def apply(state, pdf: pd.DataFrame) -> pd.DataFrame:
+            return told(pdf, filter.run(state, pdf["_wf_z"].to_numpy(), int(pdf["_wf_n"].iloc[0]) - 1))
+
+        made = relay(number_rows(rows, series, "_wf_n"), series, publish, AffineFilter.follow, apply, schema)
+    return made.withColumnRenamed("_wf_z", col)
+
+
+class SlewMap:
+    """What a run of targets does to any starting value of a slew-limited series.
+
+    The map is continuous, rises with slope 1 or stands still, and has slope 1
+    outside its corners ``(xs, ys)``. A target makes the stretch of values that
+    reach it one flat piece, so corners merge about as fast as they arise.
+    """
+
+    def __init__(self, up: float, down: float):
+        self.up, self.down = up, down
+        self.xs: list[float] = []
+        self.ys: list[float] = []
+
+    def add(self, v: float) -> None:
+        xs, ys, low, high = self.xs, self.ys, v - self.up, v + self.down
+        i, j = bisect_right(ys, low), bisect_left(ys, high)
+        a = low if not xs else (xs[0] + low - ys[0] if i == 0 else xs[i - 1] + low - ys[i - 1])
+        b = high if not xs else (xs[-1] + high - ys[-1] if j == len(ys) else xs[j] + high - ys[j])
+        self.xs = [*xs[:i], a, b, *xs[j:]]
+        self.ys = [*[y + self.up for y in ys[:i]], v, v, *[y - self.down for y in ys[j:]]]
+
+    @staticmethod
+    def value(xs: np.ndarray, ys: np.ndarray, x: float) -> float:
+        k = int(np.searchsorted(xs, x, side="right"))
+        if k == 0:
+            return float(ys[0] + x - xs[0])
+        if k == len(xs):
+            return float(ys[-1] + x - xs[-1])
+        return float(min(ys[k - 1] + x - xs[k - 1], ys[k]))
+
+
+def slew_limit(df: DataFrame, series: Series, target: str, up: float, down: float, name: str = "limited") -> DataFrame:
+    """Follow a target by at most ``up`` / ``down`` per row.
+
+    All buckets of a series run at once: each publishes its :class:`SlewMap`.
+    """
     cols = [*series.key, series.ts, *series.tie]
     rows = df.filter(F.col(target).isNotNull()).select(*cols, F.col(target).cast("double").alias("_wf_z"))
 
-    def step(state, pdf: pd.DataFrame):
-        z = pdf["_wf_z"].to_numpy()
+    def publish(pdf: pd.DataFrame) -> list[float]:
+        z, m = pdf["_wf_z"].tolist(), SlewMap(up, down)
+        for v in z:
+            m.add(v)
+        return [z[0], *m.xs, *m.ys]
+
+    def follow(state, said: np.ndarray) -> list[float]:
+        n = len(said) // 2
+        return [SlewMap.value(said[1 : n + 1], said[n + 1 :], state[0] if state else said[0])]
+
+    def apply(state, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf["_wf_z"].tolist()
         y = state[0] if state else z[0]
         out = np.empty(len(z))
         for i, v in enumerate(z):
             y = min(y + up, v) if v > y else max(y - down, v)
             out[i] = y
-        return pdf[cols].assign(**{name: out}), [y]
+        return pdf[cols].assign(**{name: out})
 
     schema = T.StructType([*[df.schema[c] for c in cols], T.StructField(name, T.DoubleType())])
-    return fold(rows, series, step, schema, slice_width)
+    return relay(rows, series, publish, follow, apply, schema)
 
 
 def trivial_score(df: DataFrame, series: Series, power: str = "power_watts", name: str = "trivial") -> DataFrame:

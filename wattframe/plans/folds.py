@@ -219,21 +219,20 @@ def fold(
         done = map_groups(ready, keys, order, run, whole)
         return done.filter(F.col("_wf_state").isNull()).drop("_wf_state")
 
-    position = series.position(df)
-    lo, hi = df.agg(F.min(position), F.max(position)).first()
-    if lo is None:
-        return df.sparkSession.createDataFrame([], out_schema)
+    # The rows are read once and written by slice; a slice is then one folder.
     width = slice_width * series.scale(df)
+    path = f"{checkpoint_dir(df.sparkSession)}/wattframe-{uuid.uuid4().hex}"
+    sliced = df.withColumn("_wf_slice", F.floor(series.position(df) / F.lit(width)).cast("long")).filter("_wf_slice IS NOT NULL")
+    sliced.repartition("_wf_slice", *keys).write.partitionBy("_wf_slice").parquet(path)
+    stored = df.sparkSession.read.schema(sliced.schema).parquet(path)
+    slices = sorted(r[0] for r in stored.select("_wf_slice").distinct().collect())
     outputs: list[DataFrame] = []
     states: DataFrame | None = None
-    edge = lo
-    while edge <= hi:
-        part = df.filter((position >= F.lit(edge)) & (position < F.lit(edge + width)))
+    for at in slices:
+        part = stored.filter(F.col("_wf_slice") == at).drop("_wf_slice")
         part = part.withColumns({"_wf_in": F.lit(None).cast(carried), "_wf_go": F.lit(1)})
         if states is not None:
             part = states.withColumn("_wf_go", F.lit(0)).unionByName(part, allowMissingColumns=True)
-        else:
-            part = part.select("*")
         done = checkpoint(
             map_groups(part.repartition(*keys), keys, ["_wf_go", *order], run, whole)
         )
@@ -241,7 +240,8 @@ def fold(
         states = done.filter(F.col("_wf_state").isNotNull()).select(
             *keys, F.col("_wf_state").alias("_wf_in")
         )
-        edge += width
+    if not outputs:
+        return df.sparkSession.createDataFrame([], out_schema)
     result = outputs[0]
     for nxt in outputs[1:]:
         result = result.unionByName(nxt)

@@ -306,19 +306,11 @@ def _stages(out: DataFrame, w: WindowSpec, stages: tuple[Stage, ...]) -> DataFra
     return out
 
 
-def by_rows(
-    df: DataFrame,
-    series: Series,
-    *stages: Stage,
-    before: int = 0,
-    after: int = 0,
-    block_rows: int = BLOCK_ROWS,
+def row_blocks(
+    df: DataFrame, series: Series, before: int = 0, after: int = 0, block_rows: int = BLOCK_ROWS,
     row_number: str | None = None,
 ) -> DataFrame:
-    """Evaluate window columns that reach at most ``before`` rows back and
-    ``after`` rows ahead.  Each stage maps the window (ordered, unframed) to
-    columns; later stages may window over columns of earlier ones, so
-    ``before``/``after`` must cover their sum."""
+    """Rows with the block they belong to, and copies of the rows that the neighbour blocks must see."""
     block_rows = max(block_rows, before, after, 1)
     rn = row_number or RN
     numbered = df if row_number and row_number in df.columns else number_rows(df, series, rn)
@@ -336,26 +328,35 @@ def by_rows(
             F.struct((block - 1).alias("b"), F.lit(False).alias("h")),
         )
         copies.append(into_prev)
-    spread = (
+    return (
         numbered.withColumn("_wf_copy", F.explode(F.array_compact(F.array(*copies))))
         .withColumns({BLOCK: F.col("_wf_copy.b"), HOME: F.col("_wf_copy.h")})
         .drop("_wf_copy")
     )
-    w = Window.partitionBy(*series.key, BLOCK).orderBy(rn)
-    out = _stages(spread, w, stages).filter(F.col(HOME)).drop(BLOCK, HOME)
-    return out if row_number else out.drop(RN)
 
 
-def by_time(
+def by_rows(
     df: DataFrame,
     series: Series,
     *stages: Stage,
-    before: float = 0.0,
-    after: float = 0.0,
+    before: int = 0,
+    after: int = 0,
+    block_rows: int = BLOCK_ROWS,
+    row_number: str | None = None,
 ) -> DataFrame:
-    """Evaluate RANGE windows reaching ``before`` / ``after`` seconds (or time
-    units).  The window is ordered by numeric position; use
-    :func:`reach` to build frame bounds."""
+    """Evaluate window columns that reach at most ``before`` rows back and
+    ``after`` rows ahead.  Each stage maps the window (ordered, unframed) to
+    columns; later stages may window over columns of earlier ones, so
+    ``before``/``after`` must cover their sum."""
+    rn = row_number or RN
+    spread = row_blocks(df, series, before, after, block_rows, row_number)
+    w = Window.partitionBy(*series.key, BLOCK).orderBy(rn)
+    out = _stages(spread, w, stages).filter(F.col(HOME)).drop(BLOCK, HOME)
+    return out if row_number else out.drop(RN)
+
+
+def time_blocks(df: DataFrame, series: Series, before: float = 0.0, after: float = 0.0) -> DataFrame:
+    """The same for time buckets; ``before`` and ``after`` in seconds (or time units)."""
     scale = series.scale(df)
     width = max(series.width, before, after) * scale
     pos = series.position(df)
@@ -378,11 +379,24 @@ def by_time(
                 F.struct((F.col(BUCKET) - 1).alias("b"), F.lit(False).alias("h")),
             )
         )
-    spread = (
+    return (
         placed.withColumn("_wf_copy", F.explode(F.array_compact(F.array(*copies))))
         .withColumns({BLOCK: F.col("_wf_copy.b"), HOME: F.col("_wf_copy.h")})
         .drop("_wf_copy", BUCKET)
     )
+
+
+def by_time(
+    df: DataFrame,
+    series: Series,
+    *stages: Stage,
+    before: float = 0.0,
+    after: float = 0.0,
+) -> DataFrame:
+    """Evaluate RANGE windows reaching ``before`` / ``after`` seconds (or time
+    units).  The window is ordered by numeric position; use
+    :func:`reach` to build frame bounds."""
+    spread = time_blocks(df, series, before, after)
     w = Window.partitionBy(*series.key, BLOCK).orderBy(POS)
     return _stages(spread, w, stages).filter(F.col(HOME)).drop(BLOCK, HOME, POS)
 
