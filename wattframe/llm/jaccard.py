@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from wattframe.llm.common import WS_PATTERN, bitmap, gram_hashes, in_bitmap, keep, mix64, partitions, word_hashes
 from wattframe.llm.components import components
+from wattframe.llm.tokens import forget
 
 N = 5
 #: Link when 100 * intersection >= PERCENT * union.
@@ -42,6 +43,8 @@ COMMON = 40
 BITS = 24
 #: A common column is dealt to this many blocks.
 SALT = 8
+#: Shingles that a worker counts before it hands them on: eight bytes each, and a few copies of them.
+HELD_SHINGLES = 1_500_000
 STARS = 4
 
 
@@ -89,6 +92,7 @@ def _common(docs: DataFrame) -> np.ndarray:
     bits = min(16, (n - 1).bit_length() + 3)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
@@ -98,14 +102,14 @@ def _common(docs: DataFrame) -> np.ndarray:
             edges = np.searchsorted(grams, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
             edges = np.append(edges, len(grams))
             code = (grams >> np.uint64(32 - bits)).astype(np.uint32)
+            made: list[tuple[bytes, bytes, bytes]] = []
             for r in range(1 << bits):
                 part = slice(edges[r], edges[r + 1])
                 again = np.flatnonzero(count[part] > 1)
-                yield pa.record_batch(
-                    [pa.array([r], pa.int32()), pa.array([code[part].tobytes()]), pa.array([code[part][again].tobytes()]),
-                     pa.array([(count[part][again] - 1).astype(np.uint32).tobytes()])],
-                    ["block", "codes", "again", "more"],
-                )
+                more = (count[part][again] - 1).astype(np.uint32)
+                made.append((code[part].tobytes(), code[part][again].tobytes(), more.tobytes()))
+            packed = [pa.array(x, pa.binary()) for x in zip(*made, strict=True)]
+            yield pa.record_batch([pa.array(range(1 << bits), pa.int32()), *packed], ["block", "codes", "again", "more"])
 
         for b in batches:
             for text in b.column("text").to_pylist():
@@ -114,7 +118,7 @@ def _common(docs: DataFrame) -> np.ndarray:
                     seen.add(node)
                     held.append(grams)
                     size += len(grams)
-                    if size > 4_000_000:
+                    if size > HELD_SHINGLES:
                         yield from out()
                         held, size = [], 0
         if held:

@@ -149,9 +149,9 @@ def tokens(docs: DataFrame, name: str, end_id: int) -> DataFrame:
     """Frames of ids in ascending order of ``doc_id``; ``start`` counts from the beginning of ``part``."""
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "tie")
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+        .withColumn("row", F.monotonically_increasing_id())
+        .repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first(), "row")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
         .select("doc_id", "text")
     )
 
@@ -205,10 +205,11 @@ def write(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", end_id: i
     """Encode every text and write the file set to the new folder ``path``.
 
     A null text counts as empty: only the end id. Null ids come first, repeated
-    ids are ordered by their texts' hash; an empty table gives files without
-    rows. Other columns are not read. Rows are dealt by ranges of (id, hash of
-    the text), so a repeated id is split too. What goes through the driver is
-    one number per part and one per vocabulary entry.
+    ids follow each other as they are stored; an empty table gives files without
+    rows. Other columns are not read. A text longer than a frame is a frame of
+    its own. Rows are dealt by ranges of (id, place in the input), so a repeated
+    id is split too, and finding the ranges reads no text. What goes through the
+    driver is one number per part and one per vocabulary entry.
     """
     spark = docs.sparkSession
     frames = keep(tokens(docs, name, end_id))

@@ -57,9 +57,25 @@ class Memo(dict):
             self.update(zip(part, self.encode(part), strict=True))
 
 
+class WordMemo(Memo):
+    """A memo that encodes a missing word when it is asked for, so that no text is looked up twice."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = self.encode([word])[0]
+        return out
+
+
 _memos: dict[tuple[str, str], Memo] = {}
 
 
+def forget() -> None:
+    """Empty this worker's memos: workers are reused, and other operators need the memory."""
+    for memo in _memos.values():
+        memo.clear()
+
+
 def by_bytes(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[slice]:
     """Consecutive slices of about equal bytes; one larger item makes a slice of its own."""
     start = total = 0
@@ -188,25 +204,16 @@ def word_encoder(name: str) -> Callable[[str], bytes]:
                 out[i] = array("I", [t.id for t in merge(letters)]).tobytes() + marks[m[2]]
             else:
                 others.append(i)
-        found = tok.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)
-        for i, e in zip(others, found, strict=True):
-            out[i] = array("I", e.ids).tobytes()
+        for i in others:
+            out[i] = array("I", tok.encode(words[i].decode(), add_special_tokens=False).ids).tobytes()
         return out
 
-    memo = _memos.setdefault(("ids", name), Memo(encode))
+    memo = _memos.setdefault(("ids", name), WordMemo(encode))
 
     def ids(text: str) -> bytes:
         data = text.encode()
         # The tokenizer lower-cases, too, but only outside its special tokens.
         words = data.split() if b"<|" in data else data.translate(LOWER).split()
-        out = []
-        for i in range(0, len(words), MEMO // 4):
-            part = words[i : i + MEMO // 4]
-            try:
-                out.append(b"".join(map(memo.__getitem__, part)))
-            except KeyError:
-                memo.learn(set(part))
-                out.append(b"".join(map(memo.__getitem__, part)))
-        return b"".join(out)
+        return b"".join(map(memo.__getitem__, words))
 
     return ids
