@@ -27,5 +27,7 @@ ORACLES: dict[str, str] = {
     "op6_raked_mixing": mixing.SQL,
     "op7_quality_rules": rules.SQL,
     "op8_jaccard_join": jaccard.SQL,
+    "op11_merkle_manifest": manifest.SQL,
     "op12_line_dedup": lines.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }

@@ -122,3 +122,10 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out += words[k : k + m] * ODD[k]
     return mix64(out)
+
+
+def crc32_sql(hexed: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of bytes given as hexadecimal text: one step a bit, a new byte every eighth."""
+    bits = f"flatten([[CAST('0x' || substr({hexed}, 2 * i + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR i IN range(0, length({hexed}) // 2)])"
+    step = "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), {step}), 4294967295)"

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import keep, partitions, shared_dir
+from wattframe.llm.common import crc32_sql, keep, partitions, shared_dir
 from wattframe.llm.lines import SMALL, UPPER
 
 ARITY = 16
@@ -357,3 +357,38 @@ def audited(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audited(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql() -> str:
+    """The same trees level by level: every run of 16 nodes is one row, a leaf's path the runs above it."""
+
+    def field(c: str) -> str:
+        return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    head = " || ".join(field(c) for c in FIELDS[:-1])
+    up = """SELECT tree, lvl + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16)
+  FROM {0} WHERE n > 1 GROUP BY tree, lvl, pos // 16"""
+    runs = """SELECT tree, lvl, pos // 16 AS run, list(digest ORDER BY pos) AS own FROM {0} WHERE n > 1 GROUP BY tree, lvl, pos // 16"""
+    path = """SELECT l.{1}, r.lvl, array_to_string(r.own[:(l.pos // CAST(power(16, r.lvl) AS BIGINT)) % 16], '') AS lft,
+  array_to_string(r.own[(l.pos // CAST(power(16, r.lvl) AS BIGINT)) % 16 + 2:], '') AS rgt
+  FROM {0} l JOIN {2} r ON r.tree = l.tree AND r.run = l.pos // CAST(power(16, r.lvl + 1) AS BIGINT)"""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('s' || source, 'n') AS tree, {head} AS head, text, translate(text, '{UPPER}', '{SMALL}') AS low,
+  hex(encode(CAST(doc_id AS VARCHAR))) AS bytes FROM documents),
+h AS (SELECT doc_id, tree, sha256(head || {field("text")}) AS leaf, sha256(head || {field("low")}) AS bad, {crc32_sql("bytes")} % 5 = 0 AS tampered FROM d),
+leaves AS MATERIALIZED (SELECT *, CASE WHEN tampered THEN bad ELSE leaf END AS claimed, row_number() OVER () AS k,
+  row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM h),
+nodes AS (SELECT tree, 0 AS lvl, pos, leaf AS digest, n FROM leaves UNION ALL {up.format("nodes")}),
+subs AS MATERIALIZED (SELECT '' AS tree, tree AS name, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT tree, 0 AS lvl, pos, digest, n FROM subs UNION ALL {up.format("tops")}),
+r1 AS MATERIALIZED ({runs.format("nodes")}), r2 AS MATERIALIZED ({runs.format("tops")}),
+p1 AS ({path.format("leaves", "k", "r1")}), p2 AS ({path.format("subs", "name", "r2")}),
+steps AS (SELECT k, lvl, lft, rgt FROM p1 UNION ALL SELECT k, lvl + 100, lft, rgt FROM p2 JOIN leaves ON tree = name),
+paths AS (SELECT k, string_agg(lft || rgt, '' ORDER BY lvl) AS siblings, list(lft || '|' || rgt ORDER BY lvl) AS path FROM steps GROUP BY k),
+f AS (SELECT l.doc_id, l.leaf, s.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(coalesce(siblings, '')) AS proof_sha256,
+  list_reduce(list_prepend(claimed, coalesce(path, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) AS folded_root
+  FROM leaves l JOIN subs s ON s.name = l.tree LEFT JOIN paths USING (k))
+SELECT *, folded_root = root AS verified FROM f"""
+
+
+SQL = _sql()

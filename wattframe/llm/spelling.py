@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from wattframe.llm.common import LOWER, drop, keep, rows
+from wattframe.llm.common import LOWER, crc32_sql, drop, keep, rows
 
 SHORTEST, LONGEST = 3, 6
 FIRST, LAST = "^", "$"
@@ -287,3 +287,23 @@ def grouped(docs: DataFrame, least_chars: int = 7, least_n: int = 2, ratio: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Near words as equal texts: with one character masked, or with one left out.
+SQL = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, run, count(*) AS c, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS bytes FROM r GROUP BY doc_id, run),
+h AS (SELECT run, c, {crc32_sql("bytes")} AS h FROM c),
+t AS (SELECT CASE WHEN h % {SLIP} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+i AS (SELECT word, n, unnest(range(0, length(word))) AS i FROM w),
+m AS MATERIALIZED (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS masked, left(word, i) || substr(word, i + 2) AS less FROM i),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM m a JOIN m b ON a.masked = b.masked AND a.word <> b.word
+  UNION SELECT w.word, m.word, m.n FROM w JOIN m ON m.less = w.word UNION SELECT m.word, w.word, w.n FROM w JOIN m ON m.less = w.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n
+  FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS ended FROM f
+  UNION ALL SELECT walk.word, coalesce(f.form, f.word), f.form IS NULL FROM walk JOIN f ON f.word = walk.root WHERE NOT ended)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN walk ON walk.word = f.word AND ended"""
