@@ -9,7 +9,7 @@ from conftest import T0
 from pyspark.sql import functions as F
 
 from wattframe import catalog
-from wattframe.operators import counters, features
+from wattframe.operators import counters, features, ml, stats
 from wattframe.plans.blocks import Ranks
 from wattframe.plans.timeline import (
     Timeline,
@@ -189,3 +189,44 @@ def test_windowed_power_like_a_loop(spark):
                 uj = sec = 0.0
     assert [(x.socket, x.t) for x in sorted(got)] == [x[:2] for x in want]
     assert [x.watts for x in sorted(got)] == pytest.approx([x[2] for x in want])
+
+
+def test_spectrum_of_any_length(spark):
+    r = np.random.default_rng(9)
+    sizes = {"prime": 10_007, "twice": 2 * 5_003, "square": 4_096, "short": 7, "one": 1}
+    own = {k: r.normal(100, 10, n) + 20 * np.sin(np.arange(n) / 3) for k, n in sizes.items()}
+    rows = [(k, float(i), float(x)) for k, v in own.items() for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "server STRING, t DOUBLE, v DOUBLE")
+    got = stats.spectrum(df, Series(("server",), "t", (), 1_000.0), "v").toPandas()
+    for k, v in own.items():
+        mine = got[got.server == k].sort_values("k")
+        want = np.abs(np.fft.rfft(v - v.mean())) ** 2
+        assert mine.k.tolist() == list(range(1, len(v) // 2 + 1))
+        assert np.allclose(mine.power, want[1 : len(v) // 2 + 1], rtol=1e-6, atol=1e-6 * want.max())
+
+
+@pytest.mark.parametrize("width", [60.0, 1e6])
+def test_rolling_forecast_like_least_squares(spark, width):
+    r = np.random.default_rng(10)
+    n = 160
+    p = 200 + np.cumsum(r.normal(0, 5, n))
+    u = r.uniform(0, 90, n)
+    t = np.cumsum(r.choice([1, 1, 2, 5], n))
+    rows = [("a", T0 + timedelta(seconds=int(s)), float(x), float(y)) for s, x, y in zip(t, p, u)]
+    df = spark.createDataFrame(rows, "server STRING, ts TIMESTAMP, power_watts DOUBLE, usage_percent DOUBLE")
+    got = ml.rolling_forecast(df, Series(("server",), "ts", (), width), 90.0, 2, (0, 1), 10).orderBy("ts").toPandas()
+    assert len(got) == n and got.pred.notna().sum() > 100
+    for i in range(n):
+        design, target = [], []
+        for j in range(i + 1):
+            if j >= 3 and t[j - 3] > t[i] - 90:
+                design.append([1, p[j - 2], u[j - 2], p[j - 3], u[j - 3]])
+                target.append(p[j])
+        if len(target) < 10 or i < 1:
+            assert np.isnan(got.pred[i])
+            continue
+        coef, *_ = np.linalg.lstsq(np.array(design), np.array(target), rcond=None)
+        assert got.pred[i] == pytest.approx(coef @ [1, p[i], u[i], p[i - 1], u[i - 1]], rel=1e-6)
+        assert got.rmse[i] == pytest.approx(np.sqrt(np.mean((np.array(target) - np.array(design) @ coef) ** 2)), rel=1e-5, abs=1e-6)
+        inside = p[(t > t[i] - 90) & (t <= t[i])]
+        assert got.threshold[i] == pytest.approx(inside.mean() + 2.5 * inside.std(ddof=1))

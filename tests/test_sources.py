@@ -1,10 +1,12 @@
 """Scans of written files with the oddities that captures have."""
 
+import json
 from datetime import datetime
 
 import pytest
 
-from wattframe.sources import readers, registry
+from wattframe.operators import risk
+from wattframe.sources import readers, registry, writers
 
 
 def write(folder, name, text):
@@ -97,3 +99,42 @@ def test_registry_without_models(spark, tmp_path):
     write(tmp_path, "bad/registry/x.parquet", "not a parquet file")
     with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
         registry.load_latest(spark, str(tmp_path / "bad"))
+
+
+def test_table_and_document_sinks(spark, tmp_path):
+    board = spark.createDataFrame([("run1", "base", 0.25), ("run2", None, None)], "run STRING, arm STRING, cv DOUBLE")
+    path = str(tmp_path / "board")
+    writers.write_table(board, path)
+    writers.write_table(board, path)  # replaces
+    back = spark.read.option("header", True).schema(board.schema).csv(path)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, board.collect()), key=str)
+    writers.write_table(board, str(tmp_path / "pq"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "pq")).count() == 2
+    key = [("hpl", "base")]
+    power = spark.createDataFrame([(*k, 12.5, 8.0, 99.0) for k in key], "workload STRING, arm STRING, peak_MW DOUBLE, mean_MW DOUBLE, trace_energy_MJ DOUBLE")
+    danger = spark.createDataFrame([(*k, 0.4, 3) for k in key], "workload STRING, arm STRING, cv DOUBLE, n_exceedances_in_trace INT")
+    docs = risk.metrics_document(power, danger, ["workload", "arm"])
+    writers.write_documents(docs, str(tmp_path / "docs"))
+    doc = json.loads(next((tmp_path / "docs").glob("part-*")).read_text())
+    assert doc == {"workload": "hpl", "arm": "base", "power": {"peak_MW": 12.5, "mean_MW": 8.0, "trace_energy_MJ": 99.0}, "risk": {"cv": 0.4, "n_exceedances_in_trace": 3}}
+
+
+def test_metrics_documents_are_keyed_by_their_folder(spark, tmp_path):
+    text = json.dumps({"power": {"peak_MW": 1.5}, "risk": {"cv": 0.2, "unknown": 7}, "voltage": {"min_voltage_pu": 0.97}}, indent=2)
+    for name in ("hpl_base_worst", "hpl_rampc_r3_worst", "ai_base_r2_N500_worst"):
+        write(tmp_path, f"docs/{name}/metrics.json", text)
+    got = readers.read_metrics(spark, str(tmp_path / "docs/*/metrics.json")).collect()
+    assert {(r.workload, r.arm, r.run, r.n_servers) for r in got} == {("hpl", "base", None, 10_000), ("hpl", "rampc", 3, 10_000), ("ai", "base", 2, 500)}
+    assert {(r.power.peak_MW, r.risk.cv, r.voltage.min_voltage_pu, r.frequency) for r in got} == {(1.5, 0.2, 0.97, None)}
+
+
+def test_trace_export_is_rebased_or_absolute(spark, tmp_path):
+    rows = [("a", datetime.fromisoformat("2024-01-01T00:00:10.500"), 5.0), ("a", datetime.fromisoformat("2024-01-01T00:00:10"), 4.0), ("b", datetime.fromisoformat("2024-01-01T00:01:00"), 6.0)]
+    df = spark.createDataFrame(rows, "server STRING, ts TIMESTAMP, value DOUBLE")
+    for epoch, first in ((False, 0.0), (True, 1704067210.0)):
+        path = str(tmp_path / f"trace-{epoch}")
+        writers.export_trace(df, ["server"], path, epoch=epoch)
+        back = spark.read.option("header", True).schema("time_s DOUBLE, power_W DOUBLE, server STRING").csv(path)
+        assert [(r.time_s, r.power_W) for r in back.filter("server = 'a'").orderBy("time_s").collect()] == [(first, 4.0), (first + 0.5, 5.0)]
+        lines = next((tmp_path / f"trace-{epoch}" / "server=a").glob("part-*")).read_text().splitlines()
+        assert lines[0] == "time_s,power_W" and len(lines) == 3

@@ -79,7 +79,7 @@ def m6(spark, d):
     return table(spark, [out], ddl)
 
 
-@query("m7_rolling_forecast", "server, event_id, ~4pred, ~4threshold, flag")
+@query("m7_rolling_forecast", "server, event_id, ~4pred, ~4rmse, ~4threshold, flag")
 def m7(spark, d):
     return ml.rolling_forecast(b.samples(spark, d), AXIS, 15 * DAY, 1, (0, 1), 12)
 

@@ -17,6 +17,7 @@ from wattframe.operators.grid import interpolate_at
 from wattframe.operators.match import outside_runs
 from wattframe.plans.folds import map_groups, spans
 from wattframe.plans.quantiles import ALL, attach, descending_rank, median, quantiles
+from wattframe.plans.tables import cut
 from wattframe.plans.timeline import number_rows
 from wattframe.series import Series
 
@@ -232,12 +233,17 @@ def density_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins:
     )
 
 
+#: Points of one group of a transform; longer ones only where the length's own factors are nearly balanced.
+GROUP = 4_096
+
+
 def spectrum(df: DataFrame, series: Series, value: str) -> DataFrame:
     """Power ``|FFT|^2`` of each de-meaned series (G41): ``k, n, period, power``.
 
-    The transform of length ``n = n1 * n2`` is done as ``n2`` transforms of
-    length ``n1``, a twiddle, and ``n1`` transforms of length ``n2``, each its
-    own group, so a long series spreads over about ``sqrt(n)`` groups.
+    A transform of length ``n = n1 * n2`` is done in two passes of about
+    ``sqrt(n)`` groups (:func:`_two_pass`). A length without such factors, a
+    prime above all, becomes a convolution with a chirp, which is done at a
+    length that has them; so a long series always spreads.
     """
     key = list(series.key)
     clean = df.filter(F.col(value).isNotNull())
@@ -248,47 +254,79 @@ def spectrum(df: DataFrame, series: Series, value: str) -> DataFrame:
     def factor(n: pd.Series) -> pd.Series:
         return n.map(lambda v: next(d for d in range(math.isqrt(int(v)), 0, -1) if v % d == 0))
 
-    stats = stats.withColumn("n1", factor("n")).withColumn("n2", (F.col("n") / F.col("n1")).cast("long"))
-    x = attach(rows, stats, key, "inner").withColumn("re", F.col("_wf_x") - F.col("_wf_m"))
-    j = F.col("_wf_r") - 1
-    x = x.select(
-        *key, "n", "n1", "n2", (j % F.col("n2")).alias("j2"), F.floor(j / F.col("n2")).cast("long").alias("j1"), "re"
+    stats = cut(stats.withColumn("n1", factor("n")).withColumn("n2", (F.col("n") / F.col("n1")).cast("long")))
+    split = (F.col("n2") <= GROUP) | (F.col("n2") <= 16 * F.col("n1"))
+    x = attach(rows, stats, key, "inner").withColumn("re", F.col("_wf_x") - F.col("_wf_m")).withColumn("j", F.col("_wf_r") - 1)
+    plain = x.filter(split).select(*key, "n", "n1", "n2", "j", "re", F.lit(0.0).alias("im"))
+    out = _two_pass(plain, key, ["re"], ["im"], -1).select(*key, "n", "k", "re", "im")
+    if not stats.filter(~split).isEmpty():
+        out = out.unionByName(_chirp(x.filter(~split), key))
+    half = out.filter((F.col("k") > 0) & (F.col("k") <= F.floor(F.col("n") / 2)))
+    power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    return half.select(*key, "n", "k", power.alias("power"), (F.col("n") / F.col("k")).alias("period"))
+
+
+def _two_pass(x: DataFrame, key: list[str], re: list[str], im: list[str], sign: int, more: Sequence[str] = ()) -> DataFrame:
+    """Transforms of length ``n = n1 * n2`` of complex columns over ``j``, as columns over ``k``.
+
+    First ``n2`` transforms of length ``n1`` and a twiddle, then ``n1`` of length
+    ``n2``, each a group of its own. Missing places count as zero; each residue
+    of ``j`` modulo ``n2`` needs one row. ``more`` are columns of the series.
+    """
+    numbers = [c for pair in zip(re, im, strict=True) for c in pair]
+    fixed = [*key, *more, "n", "n1", "n2"]
+    x = x.withColumns({"j2": F.col("j") % F.col("n2"), "j1": F.floor(F.col("j") / F.col("n2")).cast("long")})
+    schema = lambda names: T.StructType(
+        [*[x.schema[c] for c in fixed], *[T.StructField(c, T.LongType()) for c in names], *[T.StructField(c, T.DoubleType()) for c in numbers]]
     )
-    ints = ["n", "n1", "n2"]
-    base = [*[x.schema[k] for k in key], *[T.StructField(c, T.LongType()) for c in ints]]
+    step = np.fft.fft if sign < 0 else lambda v, axis: np.fft.ifft(v, axis=axis) * v.shape[axis]
 
-    def columns(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        out = pdf[[*key, *ints, "j2"]].copy()
-        re, n, j2 = pdf["re"].to_numpy(), pdf["n"].to_numpy(), pdf["j2"].to_numpy()
-        res, k1 = np.empty(len(pdf), dtype=complex), np.empty(len(pdf), dtype=np.int64)
+    def passed(pdf: pd.DataFrame, starts: np.ndarray, place: str, group: str, length: str, out: str, turn: bool) -> pd.DataFrame:
+        pieces = []
         for a, b in spans(starts, len(pdf)):
-            k = np.arange(b - a)
-            res[a:b] = np.fft.fft(re[a:b]) * np.exp(-2j * np.pi * (j2[a] * k % n[a]) / n[a])
-            k1[a:b] = k
-        return out.assign(k1=k1, re=res.real, im=res.imag)
-
-    mid = T.StructType(
-        [*base, *[T.StructField(c, T.LongType()) for c in ("j2", "k1")]]
-        + [T.StructField(c, T.DoubleType()) for c in ("re", "im")]
+            part = pdf.iloc[a:b]
+            size, g, n = int(part[length].iloc[0]), int(part[group].iloc[0]), int(part["n"].iloc[0])
+            z = np.zeros((size, len(re)), complex)
+            z[part[place].to_numpy()] = part[re].to_numpy() + 1j * part[im].to_numpy()
+            z, k = step(z, axis=0), np.arange(size)
+            if turn:
+                z = z * np.exp(sign * 2j * np.pi * ((g * k) % n) / n)[:, None]
+            made = {c: np.full(size, part[c].iloc[0]) for c in fixed}
+            made |= {group: g, out: k} | {c: z[:, i].real for i, c in enumerate(re)} | {c: z[:, i].imag for i, c in enumerate(im)}
+            pieces.append(pd.DataFrame(made))
+        return pd.concat(pieces, ignore_index=True)
+
+    first = map_groups(
+        x.repartition(*key, "j2"), [*key, "j2"], ["j1"], lambda p, s: passed(p, s, "j1", "j2", "n1", "k1", True), schema(["j2", "k1"])
     )
-    first = map_groups(x.repartition(*key, "j2"), [*key, "j2"], ["j1"], columns, mid)
+    last = map_groups(
+        first.repartition(*key, "k1"), [*key, "k1"], ["j2"], lambda p, s: passed(p, s, "j2", "k1", "n2", "k2", False), schema(["k1", "k2"])
+    )
+    return last.withColumn("k", F.col("k1") + F.col("n1") * F.col("k2")).drop("k1", "k2", "n1", "n2")
 
-    def rows_out(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        z = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        n1, k1 = pdf["n1"].to_numpy(), pdf["k1"].to_numpy()
-        k, power = np.empty(len(pdf), dtype=np.int64), np.empty(len(pdf))
-        for a, b in spans(starts, len(pdf)):
-            power[a:b] = np.abs(np.fft.fft(z[a:b])) ** 2
-            k[a:b] = k1[a] + n1[a] * np.arange(b - a)
-        return pdf[[*key, "n"]].assign(k=k, power=power)
 
-    last = T.StructType(
-        [*[x.schema[c] for c in key], T.StructField("n", T.LongType()), T.StructField("k", T.LongType()),
-         T.StructField("power", T.DoubleType())]
-    )
-    out = map_groups(first.repartition(*key, "k1"), [*key, "k1"], ["j2"], rows_out, last)
-    half = out.filter((F.col("k") > 0) & (F.col("k") <= F.floor(F.col("n") / 2)))
-    return half.withColumn("period", F.col("n") / F.col("k"))
+def _chirp(x: DataFrame, key: list[str]) -> DataFrame:
+    """Transform of any length: the values times a chirp, convolved with the conjugate chirp.
+
+    ``j k = (j^2 + k^2 - (k - j)^2) / 2`` turns the transform into a convolution,
+    which takes three transforms of a length ``m >= 2 n - 1`` of balanced factors.
+    """
+    angle = F.lit(math.pi) * ((F.col("j") * F.col("j")) % (2 * F.col("n"))) / F.col("n")
+    m1 = F.ceil(F.sqrt((2 * F.col("n") - 1).cast("double"))).cast("long")
+    x = x.select(*key, F.col("n").alias("length"), m1.alias("n1"), "n", "j", "re", F.cos(angle).alias("c"), F.sin(angle).alias("s"))
+    x = x.withColumn("n2", F.ceil((2 * F.col("n") - 1) / F.col("n1")).cast("long")).withColumn("n", F.col("n1") * F.col("n2"))
+    here = F.struct(F.col("j").alias("j"), (F.col("re") * F.col("c")).alias("ar"), (-F.col("re") * F.col("s")).alias("ai"))
+    mirrored = F.when(F.col("j") > 0, F.struct((F.col("n") - F.col("j")).alias("j"), F.lit(0.0).alias("ar"), F.lit(0.0).alias("ai")))
+    both = x.withColumn("at", F.explode(F.array_compact(F.array(here, mirrored))))
+    both = both.select(*key, "length", "n", "n1", "n2", "at.*", F.col("c").alias("br"), F.col("s").alias("bi"))
+    shape = both.groupBy(*key).agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    z = attach(_two_pass(both, key, ["ar", "br"], ["ai", "bi"], -1, ["length"]), shape, key, "inner")
+    re = F.col("ar") * F.col("br") - F.col("ai") * F.col("bi")
+    im = F.col("ar") * F.col("bi") + F.col("ai") * F.col("br")
+    z = z.select(*key, "length", "n", "n1", "n2", F.col("k").alias("j"), (re / F.col("n")).alias("re"), (im / F.col("n")).alias("im"))
+    out = _two_pass(z, key, ["re"], ["im"], 1, ["length"]).filter(F.col("k") < F.col("length"))
+    # The last factor of the chirp turns the result, but leaves its power.
+    return out.select(*key, F.col("length").alias("n"), "k", "re", "im")
 
 
 def top_periods(df: DataFrame, series: Series, value: str, top: int = 5, min_period: float = 2.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wattframe.plans.folds import Step
+from wattframe.streaming import steps
 
 STATE = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType()))])
 
@@ -35,6 +37,105 @@ class SeriesProcessor(StatefulProcessor):
         pass
 
 
+class TimedProcessor(SeriesProcessor):
+    """A step whose state also changes with time alone.
+
+    ``wake(state)`` gives the second at which it does; a timer is set there, and
+    if no row has come up to it when the watermark passes, ``silent(key, at,
+    state)`` gives the rows to emit and the new state.
+    """
+
+    def __init__(self, step: Step, ts: str, wake: Callable, silent: Callable):
+        super().__init__(step, ts, None)
+        self.wake, self.silent = wake, silent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if (at := self.wake(self.state.get()[0])) is not None:
+            self.handle.registerTimer(math.ceil(at * 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = list(self.state.get()[0])
+        if (at := self.wake(state)) is not None:
+            out, state = self.silent(key, at, state)
+            self.state.update(([float(v) for v in state],))
+            yield out
+
+
+class RingProcessor(StatefulProcessor):
+    """A step whose state ends in a bounded window of values (T5).
+
+    The first ``head`` numbers are one value; the window is kept in numbered
+    chunks of ``CHUNK`` values. A batch reads the window once and writes the
+    chunks it adds to, and drops those that have left.
+    """
+
+    CHUNK = 512
+
+    def __init__(self, step: Step, ts: str, head: int, window: int):
+        self.step, self.ts, self.head, self.window = step, ts, head, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.scalars = handle.getValueState("head", STATE)
+        self.chunks = handle.getMapState("ring", "chunk LONG", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.ts, kind="stable").reset_index(drop=True)
+        kept, seen, held = None, 0, {}
+        if self.scalars.exists():
+            *kept, seen = self.scalars.get()[0]
+            seen = int(seen)
+            held = {int(k[0]): v[0] for k, v in self.chunks.iterator()}
+            kept += [x for k in sorted(held) for x in held[k]][-self.window :]
+        out, state = self.step(kept, pdf)
+        ring, now = state[self.head :], seen + len(pdf)
+        oldest = now - len(ring)
+        for chunk in range(max(seen, oldest) // self.CHUNK, (now - 1) // self.CHUNK + 1):
+            lo, hi = chunk * self.CHUNK, min((chunk + 1) * self.CHUNK, now)
+            # Places of values that have left are held, never read.
+            values = [0.0] * max(oldest - lo, 0) + [float(x) for x in ring[max(lo - oldest, 0) : hi - oldest]]
+            self.chunks.updateValue((chunk,), (values,))
+        for chunk in held:
+            if (chunk + 1) * self.CHUNK <= oldest:
+                self.chunks.removeKey((chunk,))
+        self.scalars.update(([*[float(x) for x in state[: self.head]], float(now)],))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _transformed(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema, mode: str) -> DataFrame:
+    return stream.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode=mode
+    )
+
+
+def edge_pulses(
+    stream: DataFrame, keys: Sequence[str], ts: str, usage: str, schema: T.StructType | str, threshold: float = 10.0,
+    min_slope: float = 25.0, pulse_s: float = 1.0, cooldown_s: float = 5.0, watermark: str = "10 seconds",
+) -> DataFrame:
+    """Pulses that end by themselves: a server that falls silent gets a row of no risk at the pulse's end."""
+    step = steps.edge_pulse(keys, ts, usage, threshold, min_slope, pulse_s, cooldown_s)
+    processor = TimedProcessor(step, ts, steps.pulse_end(pulse_s), steps.quiet_row(keys, ts))
+    return _transformed(stream.withWatermark(ts, watermark), keys, processor, schema, "EventTime")
+
+
+def rank_alarms(
+    stream: DataFrame, keys: Sequence[str], ts: str, score: str, schema: T.StructType | str, window: int = 18_000,
+    watermark: str = "10 seconds", **options,
+) -> DataFrame:
+    """Rolling rank threshold and refractory flags, its window kept in chunks (T5)."""
+    step = steps.rank_alarm(keys, ts, score, window, **options)
+    return _transformed(stream.withWatermark(ts, watermark), keys, RingProcessor(step, ts, 3, window), schema, "None")
+
+
 def stateful(
     stream: DataFrame, keys: Sequence[str], ts: str, step: Step, schema: T.StructType | str,
     watermark: str = "10 seconds", ttl_ms: int | None = None,
@@ -96,19 +197,41 @@ def append_batches(path: str, keys: Sequence[str] = ("server",), ts: str = "ts")
     return write
 
 
-def publish_latest(path: str, keys: Sequence[str] = ("server",), ts: str = "ts", risk: str = "risk") -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` writer of the newest risk per server (K5)."""
+def publish_latest(
+    path: str, keys: Sequence[str] = ("server",), ts: str = "ts", risk: str = "risk", compact_every: int = 50
+) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` writer of the newest risk per server (K5).
+
+    One folder a batch, so that a replayed batch replaces itself. Every
+    ``compact_every`` batches all folders become one, with a row per server, and
+    then go; a reader takes the newest row of all folders there are, so it sees
+    the same before, between and after.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         newest = batch.groupBy(*keys).agg(F.max_by(risk, ts).alias("risk"), F.max(ts).alias("updated_ts"))
         newest.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        if (epoch + 1) % compact_every == 0:
+            _compact(batch.sparkSession, path, keys, epoch)
 
     return write
 
 
+def _compact(spark: SparkSession, path: str, keys: Sequence[str], epoch: int) -> None:
+    """One row per key of all folders, written beside them under a name that no reader takes, then put in their place."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [s.getPath() for s in fs.listStatus(fs_path(path)) if s.getPath().getName().startswith("batch=")]
+    made = f"{path}/_compact-{epoch}"
+    read_latest(spark, path, keys).write.mode("overwrite").parquet(made)
+    fs.rename(fs_path(made), fs_path(f"{path}/batch={epoch}.all"))
+    for p in old:
+        fs.delete(p, True)
+
+
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str] = ("server",)) -> DataFrame:
     """Newest published risk per server (K5)."""
-    return spark.read.parquet(path).groupBy(*keys).agg(
+    return spark.read.option("recursiveFileLookup", "true").parquet(path).groupBy(*keys).agg(
         F.max_by("risk", "updated_ts").alias("risk"), F.max("updated_ts").alias("updated_ts")
     )
 

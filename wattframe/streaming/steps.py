@@ -70,30 +70,54 @@ def edge_pulse(
     return step
 
 
+def pulse_end(pulse_s: float = 1.0):
+    """When a live pulse of :func:`edge_pulse` ends by itself, as seconds; none if a later row has told so."""
+
+    def wake(state) -> float | None:
+        _, last, fired, _ = state
+        return fired + pulse_s if last - fired < pulse_s else None
+
+    return wake
+
+
+def quiet_row(keys: Sequence[str], ts: str):
+    """The row that tells a pulse's end where no sample does."""
+
+    def rows(key: tuple, at: float, state) -> tuple[pd.DataFrame, list[float]]:
+        usage, _, fired, way = state
+        row = {**dict(zip(keys, key, strict=True)), ts: pd.Timestamp(round(at * 1e6), unit="us"), "fired": False, "risk": 0, "direction": 0}
+        return pd.DataFrame([row]), [usage, at, fired, way]
+
+    return rows
+
+
 def rank_alarm(
     keys: Sequence[str], ts: str, score: str, window: int = 18_000, q: float = 0.9, floor: float = 0.0,
     warm: int = 600, refresh_s: float = 1.0, refractory_s: float = 5.0,
 ) -> Step:
     """Rolling rank threshold with refractory flags (T5): threshold, refresh
-    time, last flag time, then the bounded score window."""
+    time, last flag time, then the bounded score window.
+
+    :class:`~wattframe.streaming.queries.RingProcessor` keeps the window in
+    chunks, so that a batch rewrites the chunks it touches only.
+    """
 
     def step(state, pdf):
         thr, fresh, last = (state[0], state[1], state[2]) if state else (floor, -np.inf, -np.inf)
-        ring = list(state[3:]) if state else []
+        held = np.asarray(state[3:] if state else [], dtype=float)
+        ring = np.concatenate([held, pdf[score].to_numpy(float)])
         rows = []
-        for y, t in zip(pdf[score].to_numpy(float), _seconds(pdf[ts])):
+        for i, t in enumerate(_seconds(pdf[ts]), len(held)):
             if t - fresh >= refresh_s:
-                thr = max(floor, float(np.quantile(ring, q))) if len(ring) >= warm else floor
+                past = ring[max(i - window, 0) : i]
+                thr = max(floor, float(np.quantile(past, q))) if len(past) >= warm else floor
                 fresh = t
-            hit = bool(y > thr) and t - last >= refractory_s
+            hit = bool(ring[i] > thr) and t - last >= refractory_s
             if hit:
                 last = t
             rows.append((thr, hit))
-            ring.append(y)
-            if len(ring) > window:
-                del ring[: len(ring) - window]
         out = pd.DataFrame(rows, columns=["threshold", "flag"], index=pdf.index)
-        return pd.concat([pdf[[*keys, ts]], out], axis=1), [thr, fresh, last, *ring]
+        return pd.concat([pdf[[*keys, ts]], out], axis=1), [thr, fresh, last, *ring[-window:]]
 
     return step
 
@@ -154,26 +178,56 @@ def lookback_features(keys: Sequence[str], ts: str, power: str, usage: str, lags
     return step
 
 
+# Fraction of the top level under which a rise arms (and from which a drop arms), loaded
+# fraction, power slope and step that count as rising, seconds of flat idling before flags are ignored.
+ENGAGE, LOADED, RISING_W_S, RISING_W, IDLE_S = 0.6, 0.45, 30.0, 20.0, 30.0
+# Window of the slope, and how much of it must be covered by at least how many points.
+SLOPE_S, SLOPE_SHARE, SLOPE_POINTS = 0.5, 0.6, 3
+
+
+def short_slope(t: np.ndarray, p: np.ndarray) -> float:
+    """Least-squares slope of the last ``SLOPE_S`` seconds, 0 until it is meaningful."""
+    inside = t >= t[-1] - SLOPE_S
+    t, p = t[inside] - t[-1], p[inside]
+    if len(t) < SLOPE_POINTS or -t[0] < SLOPE_SHARE * SLOPE_S:
+        return 0.0
+    d = t - t.mean()
+    return float(d @ (p - p.mean()) / (d @ d))
+
+
 def level_gates(
-    keys: Sequence[str], ts: str, power: str, risk: str, top_w: float, engage: float = 0.6,
-    load_floor: float = 0.5, rising_w: float = 15.0, suppress_s: float = 30.0,
+    keys: Sequence[str], ts: str, power: str, rise: str, drop: str, top_w: float, engage: float = ENGAGE,
+    load_floor: float = LOADED, rising_w_s: float = RISING_W_S, rising_w: float = RISING_W, suppress_s: float = IDLE_S,
 ) -> Step:
-    """Rise and drop arming by level, and suppression after flat idling."""
+    """Rise and drop arming by level, and suppression after flat idling.
+
+    A rise is actionable below ``engage`` of the top level, a drop from there
+    on; each has its own flag. A rise flag may start the pre-burn unless power
+    has neither been loaded nor rising, by step or by slope, for ``suppress_s``.
+    State: idle since, then the (time, power) points of the slope.
+    """
 
     def step(state, pdf):
-        p0, idle = state or (np.nan, np.nan)
-        rows = []
-        for p, flag, t in zip(pdf[power].to_numpy(float), pdf[risk].to_numpy(float), _seconds(pdf[ts])):
-            rising = not np.isnan(p0) and p - p0 >= rising_w
+        idle = state[0] if state else np.nan
+        held = np.asarray(state[1:] if state else [], dtype=float).reshape(-1, 2)
+        t = np.concatenate([held[:, 0], _seconds(pdf[ts])])
+        w = np.concatenate([held[:, 1], pdf[power].to_numpy(float)])
+        rows, begin = [], 0
+        for i, up, down in zip(range(len(held), len(t)), pdf[rise].to_numpy(float), pdf[drop].to_numpy(float), strict=True):
+            while t[begin] < t[i] - SLOPE_S:
+                begin += 1
+            p, jump = w[i], (w[i] - w[i - 1] if i else 0.0)
+            rising = jump >= rising_w or short_slope(t[begin : i + 1], w[begin : i + 1]) >= rising_w_s
             if p >= load_floor * top_w or rising:
                 idle = np.nan
             elif np.isnan(idle):
-                idle = t
-            allowed = np.isnan(idle) or t - idle < suppress_s
-            hot = flag > 0
-            rows.append((bool(hot and p < engage * top_w), bool(hot and p >= engage * top_w), bool(hot and allowed)))
-            p0 = p
+                idle = t[i]
+            allowed = np.isnan(idle) or t[i] - idle < suppress_s
+            armed = up > 0 and p < engage * top_w
+            rows.append((bool(armed), bool(down > 0 and p >= engage * top_w), bool(armed and allowed)))
+        # The last point is kept in any case: the next step is measured from it.
+        keep = min(begin, len(t) - 1)
         out = pd.DataFrame(rows, columns=["rise_armed", "drop_armed", "preaction"], index=pdf.index)
-        return pd.concat([pdf[[*keys, ts]], out], axis=1), [p0, idle]
+        return pd.concat([pdf[[*keys, ts]], out], axis=1), [idle, *np.column_stack([t[keep:], w[keep:]]).ravel()]
 
     return step
