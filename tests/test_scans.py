@@ -9,8 +9,9 @@ from conftest import T0
 from pyspark.sql import functions as F
 
 from wattframe import catalog
-from wattframe.operators import counters, features, ml, stats
+from wattframe.operators import counters, events, features, ml, stats
 from wattframe.plans.blocks import Ranks
+from wattframe.plans.quantiles import descending_rank
 from wattframe.plans.timeline import (
     Timeline,
     first_seen,
@@ -230,3 +231,44 @@ def test_rolling_forecast_like_least_squares(spark, width):
         assert got.rmse[i] == pytest.approx(np.sqrt(np.mean((np.array(target) - np.array(design) @ coef) ** 2)), rel=1e-5, abs=1e-6)
         inside = p[(t > t[i] - 90) & (t <= t[i])]
         assert got.threshold[i] == pytest.approx(inside.mean() + 2.5 * inside.std(ddof=1))
+
+
+def test_ranks_of_a_hot_key_with_one_score(spark):
+    n = 20_000
+    df = spark.range(n).selectExpr("CASE WHEN id % 10 < 9 THEN 'a' ELSE 'b' END AS server", "CASE WHEN id % 10 < 9 THEN 1.0D ELSE id % 7 * 1.0D END AS score", "(id * 7919) % 20011 AS tie")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be put together again
+    try:
+        got = descending_rank(df, ["server"], "score", [F.col("tie").desc()]).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 0.5 * n and sum(sizes) == n
+    pdf = got.toPandas()
+    for _, own in pdf.groupby("server"):
+        own = own.sort_values(["score", "tie"], ascending=False)
+        assert own["rank"].tolist() == list(range(1, len(own) + 1))
+
+
+@pytest.mark.parametrize("block", [16, 64, 4096])
+def test_discords_like_all_pairs(spark, block):
+    r = np.random.default_rng(11)
+    m, rows = 8, []
+    for s, n in (("a", 400), ("b", 60), ("c", 7)):
+        y = np.sin(np.arange(n) / 3) * 10 + r.normal(0, 1, n)
+        y[n // 2 : n // 2 + 5] += r.normal(0, 20, len(y[n // 2 : n // 2 + 5]))
+        rows += [(s, float(i), float(v)) for i, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "server STRING, t DOUBLE, v DOUBLE")
+    got = events.discords(df, Series(("server",), "t", (), 50.0), "v", m, 3, block).collect()
+    for s in "ab":
+        y = np.array([x[2] for x in rows if x[0] == s])
+        w = np.lib.stride_tricks.sliding_window_view(y, m)
+        u = (w - w.mean(1, keepdims=True)) / (w.std(1, keepdims=True) * np.sqrt(m))
+        d = np.sqrt(np.maximum(2 * m * (1 - u @ u.T), 0))
+        k = np.arange(len(w))
+        d[np.abs(k[:, None] - k[None, :]) <= 2] = np.inf
+        best = d.min(1)
+        want = sorted(range(len(w)), key=lambda i: (-best[i], i))[:3]
+        mine = sorted((x for x in got if x.server == s), key=lambda x: x["rank"])
+        assert [x.rn - 1 for x in mine] == want
+        assert [x.distance for x in mine] == pytest.approx([best[i] for i in want], abs=1e-6)
+    assert not [x for x in got if x.server == "c"]

@@ -116,30 +116,36 @@ def m14(spark, d):
     return ml.viable_gate(counts(spark, d), ["server"], 8, 1, 1)
 
 
-@query("m18_model_report", "target, threshold, n_events, n_events_detected, event_recall, n_alert_episodes, alert_event_precision")
-def m18(spark, d):
+def with_heads(spark, d, cut):
+    """Features, and a detector with rise and drop heads trained before ``cut``."""
     rows, names = xy(spark, d)
-    cut = F.lit("2024-01-20").cast("timestamp")
-    train = rows.filter(F.col("ts") < cut)
-    det = ml.train_detector(train, AXIS, names, FOREST, block_s=BLOCK)
+    det = ml.train_detector(rows.filter(F.col("ts") < cut), AXIS, names, FOREST, block_s=BLOCK)
     heads = {}
     for way in ("rise", "drop"):
         r, _ = ft.build_xy(b.samples(spark, d), AXIS, upstream=True, direction=way, watts=60.0, k=2.0)
         heads[way] = checkpoint(r.filter(F.col("ts") < cut))
-    det = ml.attach_direction_heads(det, heads, AXIS, FOREST, block_s=BLOCK)
-    held = rows.filter(F.col("ts") >= cut)
+    return rows, ml.attach_direction_heads(det, heads, AXIS, FOREST, block_s=BLOCK)
+
+
+@query("m18_model_report", "target, threshold, n_events, n_events_detected, event_recall, event_latency_median_s, n_alert_episodes, alert_event_precision, alert_duty")
+def m18(spark, d):
+    cut = F.lit("2024-01-20").cast("timestamp")
+    rows, det = with_heads(spark, d, cut)
     ways = {w: onsets(spark, d, w) for w in ("rise", "drop")}
-    out = ml.evaluate_model(det, held, AXIS, ways, DAY, DAY)
-    ddl = "target STRING, threshold DOUBLE, n_events LONG, n_events_detected LONG, event_recall DOUBLE, n_alert_episodes LONG, alert_event_precision DOUBLE"
+    out = ml.evaluate_model(det, rows.filter(F.col("ts") >= cut), AXIS, ways, DAY, DAY)
+    ddl = "target STRING, threshold DOUBLE, n_events LONG, n_events_detected LONG, event_recall DOUBLE, event_latency_median_s DOUBLE, n_alert_episodes LONG, alert_event_precision DOUBLE, alert_duty DOUBLE"
     return table(spark, out, ddl)
 
 
-@query("m19_inference", "server, event_id, spike_proba, model_threshold, decision_threshold, spike_risk, rise_now, drop_now")
+@query("m19_inference", "server, event_id, spike_proba, model_threshold, decision_threshold, spike_risk, rise_now, drop_now, rise_risk, drop_risk")
 def m19(spark, d):
-    rows, names = xy(spark, d)
+    """As it runs live: the threshold follows the scores, and both heads decide."""
     cut = F.lit("2024-01-20").cast("timestamp")
-    det = ml.train_detector(rows.filter(F.col("ts") < cut), AXIS, names, FOREST, block_s=BLOCK)
-    return ml.infer(det, rows.filter(F.col("ts") >= cut), version="v1")
+    rows, det = with_heads(spark, d, cut)
+    live = checkpoint(rows.filter(F.col("ts") >= cut))
+    scored = ml.predict(det.model, live.na.drop(subset=det.features), "p").select("server", "ts", "event_id", "p")
+    slow = ft.capped_threshold(scored, AXIS, "p", det.threshold, 4 * DAY, DAY / 2, 10, slice_width=6 * DAY, name="slow")
+    return ml.infer(det, live.join(slow, ["server", "ts", "event_id"], "left"), F.col("slow"), version="v1")
 
 
 @query("m20_horizon_curve", "horizon, rate, pr_auc, lift, trivial_pr_auc, trivial_lift")
@@ -161,6 +167,15 @@ def m21(spark, d):
     return ml.isolated_labels(ft.with_spikes(b.samples(spark, d), AXIS), AXIS, "spike_both", 5)
 
 
+@query("m21_isolated_lift", "target, rate, pr_auc, lift, trivial_pr_auc, trivial_lift")
+def m21b(spark, d):
+    rows, names = xy(spark, d, upstream=False)
+    trivial = ft.trivial_score(b.samples(spark, d), AXIS).select("server", "ts", "event_id", "trivial")
+    events = ft.with_spikes(b.samples(spark, d), AXIS)
+    out = ml.isolated_report(events, rows, names, AXIS, folds(rows), FOREST, trivial)
+    return table(spark, out, "target STRING, rate DOUBLE, pr_auc DOUBLE, lift DOUBLE, trivial_pr_auc DOUBLE, trivial_lift DOUBLE")
+
+
 @query("m22_upstream_walk_forward", "rate, pr_auc, lift, n_onsets, detected, frac_early, median_lead_s, n_flags")
 def m22(spark, d):
     from wattframe.plans.timeline import by_rows

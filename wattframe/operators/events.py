@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattframe.plans.folds import map_groups, refractory, spans
-from wattframe.plans.quantiles import attach, order_statistics, quantiles
+from wattframe.plans.quantiles import attach, descending_rank, order_statistics, quantiles
+from wattframe.plans.tables import cut, placed
 from wattframe.plans.timeline import (
     Timeline,
     by_rows,
@@ -419,62 +420,97 @@ def isolated(w: WindowSpec, event: str, rows: int = 10) -> Column:
     return F.when((F.col(event) == 1) & (prior == 0), 1).otherwise(0)
 
 
+#: Candidates of the first phase per wanted discord.
+PROBES = 4
+
+
 def discords(
     df: DataFrame, series: Series, value: str, m: int, top: int = 5, block: int = 4096
 ) -> DataFrame:
     """Subsequences of length ``m`` furthest from their nearest z-normalised
     neighbour (E22).
 
-    Every pair of row blocks is one task that returns one minimum per
-    subsequence, so no task holds more than two blocks and no pair of
-    subsequences is ever a row.
+    A neighbour inside the own block bounds a subsequence's distance from above.
+    The few with the largest bounds are measured against the whole series; the
+    ``top``-th of their distances is a floor that only subsequences with a
+    larger bound can pass, and only those are measured, too. So each block meets
+    itself and the survivors, not every other block.
     """
     block = max(block, m)
     zone = int(np.ceil(m / 4))
-    rows = number_rows(df, series, "rn").select(*series.key, "rn", F.col(value).cast("double").alias("y"))
-    sizes = rows.groupBy(*series.key).agg(F.max("rn").alias("_wf_n")).filter(F.col("_wf_n") >= m)
-    rows = rows.join(sizes, list(series.key))
+    key = list(series.key)
+    rows = number_rows(df, series, "rn").select(*key, "rn", F.col(value).cast("double").alias("y"))
+    sizes = rows.groupBy(*key).agg(F.max("rn").alias("_wf_n")).filter(F.col("_wf_n") >= m)
+    rows = attach(rows, sizes, key, "inner")
     last = F.floor((F.col("_wf_n") - m) / block).cast("int")  # last block with a start
     own = F.floor((F.col("rn") - 1) / block).cast("int")
     prev = F.when(((F.col("rn") - 1) % block < m - 1) & (own > 0), own - 1)
     held = rows.withColumn("b", F.explode(F.array_compact(F.array(own, prev))))
-    held = held.withColumn("_wf_last", last).filter("b <= _wf_last")
-    pairs = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("_wf_last"))))
-    lo, hi = F.least("b", "o"), F.greatest("b", "o")
-    pairs = pairs.filter("b <= o").select(*series.key, lo.alias("i"), hi.alias("j"), "rn", "y", F.lit(0).alias("side")).unionByName(
-        pairs.filter("b >= o").select(*series.key, lo.alias("i"), hi.alias("j"), "rn", "y", F.lit(1).alias("side"))
+    held = placed(held.withColumn("_wf_last", last).filter("b <= _wf_last"), [*key, "b"], ["rn"])
+    schema = T.StructType(
+        [*[df.schema[k] for k in key], T.StructField("rn", T.LongType()), T.StructField("distance", T.DoubleType())]
     )
-    key = list(series.key)
 
-    def profile(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    def bounds(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         out = []
         for a, b in spans(starts, len(pdf)):
             part = pdf.iloc[a:b]
-            left, right = part[part["side"] == 0], part[part["side"] == 1]
-            d = _distances(left["y"].to_numpy(), right["y"].to_numpy(), m)
-            r0, c0 = left["rn"].to_numpy()[: d.shape[0]], right["rn"].to_numpy()[: d.shape[1]]
-            d[np.abs(r0[:, None] - c0[None, :]) <= zone] = np.inf
-            head = {k: part[k].iloc[0] for k in key}
-            out.append(pd.DataFrame({**head, "rn": r0, "distance": d.min(axis=1)}))
-            out.append(pd.DataFrame({**head, "rn": c0, "distance": d.min(axis=0)}))
+            y, rn = part["y"].to_numpy(), part["rn"].to_numpy()
+            d = _distances(y, y, m)
+            rn = rn[: len(d)]
+            d[np.abs(rn[:, None] - rn[None, :]) <= zone] = np.inf
+            out.append(pd.DataFrame({**{k: part[k].iloc[0] for k in key}, "rn": rn, "distance": d.min(axis=1)}))
         return pd.concat(out, ignore_index=True)
 
-    schema = T.StructType(
-        [*[df.schema[k] for k in key], T.StructField("rn", T.LongType()), T.StructField("distance", T.DoubleType())]
-    )
-    place = [*key, "i", "j"]
-    near = map_groups(pairs.repartition(*place), place, ["side", "rn"], profile, schema)
-    best = near.groupBy(*key, "rn").agg(F.min("distance").alias("distance"))
-    best = best.filter(F.col("distance") < float("inf"))
-    from wattframe.plans.quantiles import descending_rank
-
-    ranked = descending_rank(best, key, "distance", [F.col("rn")], "rank", F.floor(F.col("rn") / 100_000))
+    upper = cut(map_groups(held, [*key, "b"], ["rn"], bounds, schema))
+    blocks = held.select(*key, "b").distinct()
+
+    def measured(chosen: DataFrame) -> DataFrame:
+        """Distance of the chosen subsequences to their nearest neighbour in the whole series."""
+        points = chosen.select(*key, "rn", F.posexplode(F.sequence("rn", F.col("rn") + m - 1)).alias("at", "_wf_rn"))
+        plain = rows.select(*key, F.col("rn").alias("_wf_rn"), "y")
+        windows = points.join(plain, [*key, "_wf_rn"]).groupBy(*key, "rn").agg(F.sort_array(F.collect_list(F.struct("at", "y"))).alias("w"))
+        asked = windows.select(*key, "rn", F.col("w.y").alias("w")).join(blocks, key)
+        empty = F.lit(None).cast("array<double>")
+        both = held.select(*key, "b", F.lit(0).alias("side"), "rn", "y", empty.alias("w")).unionByName(
+            asked.select(*key, "b", F.lit(1).alias("side"), "rn", F.lit(None).cast("double").alias("y"), "w")
+        )
+
+        def meet(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            out = [pd.DataFrame({**{k: pdf[k].iloc[:0] for k in key}, "rn": pdf["rn"].iloc[:0], "distance": pdf["y"].iloc[:0]})]
+            for a, b in spans(starts, len(pdf)):
+                part = pdf.iloc[a:b]
+                here, probes = part[part["side"] == 0], part[part["side"] == 1]
+                rn = here["rn"].to_numpy()[: len(here) - m + 1]
+                for c in range(0, len(probes), PROBES_AT_ONCE):
+                    some = probes.iloc[c : c + PROBES_AT_ONCE]
+                    d = _distances(np.concatenate(some["w"].tolist()), here["y"].to_numpy(), m, step=m)
+                    at = some["rn"].to_numpy()
+                    d[np.abs(at[:, None] - rn[None, :]) <= zone] = np.inf
+                    out.append(pd.DataFrame({**{k: part[k].iloc[0] for k in key}, "rn": at, "distance": d.min(axis=1)}))
+            return pd.concat(out, ignore_index=True)
+
+        met = map_groups(both.repartition(*key, "b"), [*key, "b"], ["side", "rn"], meet, schema)
+        return cut(met.groupBy(*key, "rn").agg(F.min("distance").alias("distance")).filter(F.col("distance") < float("inf")))
+
+    probes = cut(descending_rank(upper, key, "distance", [F.col("rn")], "_wf_r").filter(F.col("_wf_r") <= PROBES * top).select(*key, "rn"))
+    sure = measured(probes)
+    kth = F.get(F.sort_array(F.collect_list("distance"), asc=False), F.lit(top - 1))
+    floor = sure.groupBy(*key).agg(kth.alias("_wf_floor"))
+    # Rounding of the two ways to the same distance must not lose an equal one.
+    passing = attach(upper, floor, key).filter(F.col("_wf_floor").isNull() | (F.col("distance") >= F.col("_wf_floor") - 1e-6))
+    rest = measured(passing.join(probes, [*key, "rn"], "left_anti").select(*key, "rn"))
+    ranked = descending_rank(sure.unionByName(rest), key, "distance", [F.col("rn")], "rank")
     return ranked.filter(F.col("rank") <= top)
 
 
-def _distances(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
-    """z-normalised distances between all length-``m`` windows of two blocks."""
-    a = np.lib.stride_tricks.sliding_window_view(x, m)
+#: Probes that are measured against a block together: a matrix of this many rows.
+PROBES_AT_ONCE = 1_024
+
+
+def _distances(x: np.ndarray, y: np.ndarray, m: int, step: int = 1) -> np.ndarray:
+    """z-normalised distances between the length-``m`` windows of two blocks, every ``step``-th of the first."""
+    a = np.lib.stride_tricks.sliding_window_view(x, m)[::step]
     b = np.lib.stride_tricks.sliding_window_view(y, m)
 
     def unit(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

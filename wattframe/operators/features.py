@@ -1014,7 +1014,7 @@ def transient_error(
     )
     ranked = descending_rank(
         step.filter("_wf_d IS NOT NULL").select(*series.key, "rn", "_wf_d"),
-        series.key, "_wf_d", [F.col("rn").desc()], "_wf_rank", spread=-F.floor(F.col("rn") / 100_000),
+        series.key, "_wf_d", [F.col("rn").desc()], "_wf_rank"
     ).filter(F.col("_wf_rank") <= events)
     # step i sits between rows i and i+1 (1-based rn-1 and rn); errors i-half .. i+half-1
     near = ranked.select(

@@ -63,12 +63,12 @@ def flag_score(df: DataFrame, keys: Sequence[str], label: str, score: str) -> Da
 
 
 def equal_budget(
-    df: DataFrame, keys: Sequence[str], label: str, score: str, ts: str, spread: Column | None = None
+    df: DataFrame, keys: Sequence[str], label: str, score: str, ts: str
 ) -> DataFrame:
     """Flag exactly as many top scores as there are positives."""
     by = list(keys) or [ALL]
     src = df if keys else df.withColumn(ALL, F.lit(1))
-    ranked = descending_rank(src, by, score, [F.col(ts)], "_wf_rank", spread)
+    ranked = descending_rank(src, by, score, [F.col(ts)], "_wf_rank")
     n = src.groupBy(*by).agg(F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("_wf_k"))
     out = ranked.join(n if keys else F.broadcast(n), by)
     out = out.withColumn("flag", F.col("_wf_rank") <= F.col("_wf_k")).drop("_wf_rank", "_wf_k")
@@ -157,6 +157,18 @@ def event_score(
     )
 
 
+def event_latencies(
+    events: DataFrame, alerts: DataFrame, series: Series, lead_s: float, lag_s: float, bounds: DataFrame
+) -> DataFrame:
+    """``latency_s`` of every detected event inside its series' bounds, for medians over all series."""
+    series = Series(series.key, series.ts, (), series.width)
+    key, t = list(series.key), series.ts
+    inside = F.col(t).between(F.col("start_ts"), F.col("end_ts"))
+    b = bounds.select(*key, "start_ts", "end_ts")
+    ev, al = (df.select(*key, t).join(b, key).filter(inside).select(*key, t) for df in (events, alerts))
+    return first_alert(ev, al, series, lead_s, lag_s).select("latency_s").filter("latency_s IS NOT NULL")
+
+
 def span_bounds(df: DataFrame, series: Series) -> DataFrame:
     """First and last row time per series as scoring bounds."""
     return df.groupBy(*series.key).agg(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.plans.tables import cut
+
 ALL = "_wf_all"
 ACCURACY = 10_000
 
@@ -118,43 +120,24 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
 
 
 def descending_rank(
-    df: DataFrame,
-    keys: Sequence[str],
-    score: str,
-    tie: Sequence[Column],
-    name: str = "rank",
-    spread: Column | None = None,
+    df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[Column], name: str = "rank"
 ) -> DataFrame:
     """Exact 1-based rank by descending score, ties in ``tie`` order.
 
-    Each key is cut into score ranges at sketched quantiles, ranges are counted
-    and rows are ranked inside their range plus the rows above it.  A score
-    shared by many rows becomes a range of its own, which ``spread`` (a coarse
-    value that rises with the tie order, such as a time bucket) splits further.
+    Rows are dealt by sampled ranges of (key, score, tie) and sorted inside
+    them. The tie is part of the range, so neither a key with most of the rows
+    nor a score that most of them share makes a large task. Only a row per key
+    and range is then summed up.
     """
     by = list(keys) or [ALL]
-    base = df if keys else df.withColumn(ALL, F.lit(1))
-    base = base.filter(F.col(score).isNotNull())
-    cuts = base.groupBy(*by).agg(
-        F.array_distinct(
-            F.percentile_approx(score, [i / 64 for i in range(1, 64)], 2_000)
-        ).alias("_wf_cut")
-    )
-    joined = base.join(cuts if keys else F.broadcast(cuts), by, "left")
-    below = F.filter("_wf_cut", lambda c: c <= F.col(score))
-    tied = F.array_contains("_wf_cut", F.col(score))
-    part = 2 * F.size(below) + F.when(tied, 0).otherwise(1)
-    sub = F.when(tied, spread if spread is not None else F.lit(0)).otherwise(F.lit(0))
-    joined = joined.withColumns({"_wf_part": part, "_wf_sub": sub}).drop("_wf_cut")
-    place = [*by, "_wf_part", "_wf_sub"]
-    above = (
-        Window.partitionBy(*by)
-        .orderBy(F.col("_wf_part").desc(), F.col("_wf_sub"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = joined.groupBy(*place).agg(F.count(F.lit(1)).alias("_wf_size"))
-    sizes = sizes.select(*place, F.coalesce(F.sum("_wf_size").over(above), F.lit(0)).alias("_wf_up"))
-    w = Window.partitionBy(*place).orderBy(F.col(score).desc(), *tie)
-    out = joined.join(sizes, place).withColumn(name, F.row_number().over(w) + F.col("_wf_up"))
-    out = out.drop("_wf_part", "_wf_sub", "_wf_up")
+    base = (df if keys else df.withColumn(ALL, F.lit(1))).filter(F.col(score).isNotNull())
+    order = [*by, F.col(score).desc(), *tie]
+    ranges = base.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut(ranges.withColumn("_wf_at", F.monotonically_increasing_id())).withColumn("_wf_part", F.shiftright("_wf_at", 33))
+    sizes = placed.groupBy(*by, "_wf_part").agg(F.min("_wf_at").alias("_wf_first"), F.count(F.lit(1)).alias("_wf_size"))
+    before = F.sum("_wf_size").over(Window.partitionBy(*by).orderBy("_wf_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select(*by, "_wf_part", (F.coalesce(before, F.lit(0)) - F.col("_wf_first") + 1).alias("_wf_shift"))
+    out = placed.join(shift, [*by, "_wf_part"]).withColumn(name, F.col("_wf_at") + F.col("_wf_shift"))
+    out = out.drop("_wf_at", "_wf_part", "_wf_shift")
     return out if keys else out.drop(ALL)
+
