@@ -11,8 +11,10 @@ T0 = datetime(2024, 1, 1)
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session("local[8]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.checkpoint.dir": shared}
+    s = session("local[8]", "tests", **conf)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

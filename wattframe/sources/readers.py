@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wattframe.plans.asof import asof
 from wattframe.series import Series
 
+# File name patterns and document formats of the inputs.
 RUN_PATTERN = r"/run(\d+)/"
 NAME_PATTERN = r"/([a-z0-9]+)_([a-z0-9]+)(?:_[^/]*)?\.[a-z.]+$"
 # workload, arm, optional run, optional fleet size
