@@ -120,7 +120,8 @@ def attach(df: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "lef
 
 
 def descending_rank(
-    df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[Column], name: str = "rank"
+    df: DataFrame, keys: Sequence[str], score: str, tie: Sequence[Column], name: str = "rank",
+    spread: Column | None = None,
 ) -> DataFrame:
     """Exact 1-based rank by descending score, ties in ``tie`` order.
 
@@ -131,7 +132,7 @@ def descending_rank(
     """
     by = list(keys) or [ALL]
     base = (df if keys else df.withColumn(ALL, F.lit(1))).filter(F.col(score).isNotNull())
-    order = [*by, F.col(score).desc(), *tie]
+    order = [*by, F.col(score).desc(), *([] if spread is None else [spread]), *tie]
     ranges = base.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut(ranges.withColumn("_wf_at", F.monotonically_increasing_id())).withColumn("_wf_part", F.shiftright("_wf_at", 33))
     sizes = placed.groupBy(*by, "_wf_part").agg(F.min("_wf_at").alias("_wf_first"), F.count(F.lit(1)).alias("_wf_size"))
