@@ -108,8 +108,11 @@ def _common(docs: DataFrame) -> np.ndarray:
                 again = np.flatnonzero(count[part] > 1)
                 more = (count[part][again] - 1).astype(np.uint32)
                 made.append((code[part].tobytes(), code[part][again].tobytes(), more.tobytes()))
-            packed = [pa.array(x, pa.binary()) for x in zip(*made, strict=True)]
-            yield pa.record_batch([pa.array(range(1 << bits), pa.int32()), *packed], ["block", "codes", "again", "more"])
+                if len(made) == 64 or r + 1 == 1 << bits:
+                    packed = [pa.array(x, pa.binary()) for x in zip(*made, strict=True)]
+                    block = pa.array(range(r + 1 - len(made), r + 1), pa.int32())
+                    yield pa.record_batch([block, *packed], ["block", "codes", "again", "more"])
+                    made = []
 
         for b in batches:
             for text in b.column("text").to_pylist():
