@@ -52,6 +52,22 @@ def drop(*frames: DataFrame) -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key of more than one in this many rows is hot; so fewer than this many keys can be.
+HOT_SHARE = 10_000
+
+
+def join_each(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row per key and the key's rows in ``many`` as ``n``.
+
+    Keys of more than ``total / HOT_SHARE`` rows are broadcast, fewer than
+    ``HOT_SHARE`` whatever the data; all others are joined by shuffle, where no
+    key is large any more. ``n`` is not in the result.
+    """
+    hot = F.col(n) * HOT_SHARE > total
+    few, rest = F.broadcast(one.where(hot).drop(n)), one.where(~hot).drop(n)
+    return many.join(few, key).unionByName(many.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

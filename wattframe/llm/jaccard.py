@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import WS_PATTERN, bitmap, gram_hashes, in_bitmap, keep, mix64, partitions, word_hashes
+from wattframe.llm.common import WS_PATTERN, bitmap, gram_hashes, in_bitmap, join_each, keep, mix64, partitions, word_hashes
 from wattframe.llm.components import components
 from wattframe.llm.tokens import forget
 
@@ -45,6 +45,8 @@ BITS = 24
 SALT = 8
 #: Shingles that a worker counts before it hands them on: eight bytes each, and a few copies of them.
 HELD_SHINGLES = 1_500_000
+#: Entries of the incidence that a worker holds before it hands them on: 28 bytes each, and a copy.
+HELD_ENTRIES = 200_000
 STARS = 4
 
 
@@ -156,10 +158,22 @@ def _incidence(docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            id = b.column("doc_id")
-            grams, nodes, sizes, salts, own = [], [], [], [], []
-            for text in b.column("text").to_pylist():
-                g = shingles(text)
+            own: list[tuple[int, int]] = []
+            held: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+            size = 0
+
+            def out(held: list) -> pa.RecordBatch:
+                wide = [len(x[0]) for x in held]
+                g = np.concatenate([x[0] for x in held]).view(np.int64)
+                node, of = (np.repeat(np.array([x[i] for x in held], t), wide) for i, t in ((1, np.int64), (2, np.int32)))
+                salt = np.concatenate([x[3] for x in held]).astype(np.int32)
+                return pa.record_batch(
+                    [pa.array(g), pa.array(node), pa.array(of), pa.array(salt), pa.nulls(len(g), pa.int64())],
+                    ["gram", "node", "size", "salt", "doc_id"],
+                )
+
+            for text in b.column("text"):
+                g = shingles(text.as_py())
                 node = node_of(g)
                 own.append((node, len(g)))
                 if not len(g) or node in seen:
@@ -169,25 +183,21 @@ def _incidence(docs: DataFrame) -> DataFrame:
                 p, cold = leading(len(g)), int((~hot).sum())
                 # Beyond the leading columns: that a column is here, too (salt -1); common ones are kept without.
                 w = max(p, min(witnessed(len(g)), cold))
-                g = np.concatenate([g[~hot], g[hot]])[:w]
                 at = np.arange(w)
-                grams.append(g)
-                nodes.append(np.full(w, node))
-                sizes.append(np.full(w, own[-1][1]))
-                salts.append(np.where(at >= p, -1, np.where(at < cold, 0, 1 + node % SALT)))
+                salt = np.where(at >= p, -1, np.where(at < cold, 0, 1 + node % SALT)).astype(np.int8)
+                held.append((np.concatenate([g[~hot], g[hot]])[:w], node, len(g), salt))
+                size += w
+                if size > HELD_ENTRIES:
+                    yield out(held)
+                    held, size = [], 0
+            if held:
+                yield out(held)
             n = len(own)
             yield pa.record_batch(
                 [pa.nulls(n, pa.int64()), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int32()),
-                 pa.nulls(n, pa.int32()), id],
+                 pa.nulls(n, pa.int32()), b.column("doc_id")],
                 ["gram", "node", "size", "salt", "doc_id"],
             )
-            if grams:
-                g = np.concatenate(grams).view(np.int64)
-                yield pa.record_batch(
-                    [pa.array(g), pa.array(np.concatenate(nodes).astype(np.int64)), pa.array(np.concatenate(sizes).astype(np.int32)),
-                     pa.array(np.concatenate(salts).astype(np.int32)), pa.nulls(len(g), pa.int64())],
-                    ["gram", "node", "size", "salt", "doc_id"],
-                )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -310,16 +320,17 @@ def joined(docs: DataFrame) -> DataFrame:
     own = found.where("gram is null").select("doc_id", "node", "size").withColumn("key", F.xxhash64("doc_id"))
     columns = found.where("gram is not null").select("gram", "node", "size")
     labels = _merge(docs, own, columns)
-    least = (
-        own.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("id"))
+    least = keep(
+        own.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
         .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     )
-    least = keep(least)
-    named = least.join(least.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("node", "component_id")
-    return own.join(named, "node", "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    )
+    sets, rows = least.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    groups = least.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    # A component may hold a third of all sets, and a set a third of all documents.
+    named = keep(join_each(least.select("node", "copies", "label"), groups, "label", "n", sets).drop("label"))
+    out = join_each(own.where("size > 0").select("doc_id", "node", "size"), named, "node", "copies", rows)
+    alone = own.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
+    return out.drop("node").unionByName(alone).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
 
 
 def _merge(docs: DataFrame, own: DataFrame, columns: DataFrame) -> DataFrame:
