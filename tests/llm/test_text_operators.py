@@ -11,7 +11,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from wattframe.llm import components, decontaminate, jaccard, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
+from wattframe.llm import common, components, decontaminate, jaccard, mixing, pii, quotes, rans, repeats, rules, tokens, toxicity
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -92,9 +92,9 @@ def brute_components(texts):
     return [(len(s), c) for s, c in zip(own, label, strict=True)]
 
 
-@pytest.mark.parametrize("common", [40, 2])
-def test_jaccard_like_brute_force(table, monkeypatch, common):
-    monkeypatch.setattr(jaccard, "COMMON", common)
+@pytest.mark.parametrize("above", [40, 2])
+def test_jaccard_like_brute_force(table, monkeypatch, above):
+    monkeypatch.setattr(jaccard, "COMMON", above)
     r = random.Random(3)
     texts = [None, "", "a b", "A B", "a b c", " \n"]
     for k in range(8):
@@ -153,6 +153,14 @@ def test_jaccard_odd_rows(table):
     assert sorted(x for x in stay if x) == [1, 2, 3, 4, 6, 8, 9, 10] and stay.count(None) == 2
 
 
+def test_jaccard_hot_sets_and_components_are_broadcast(table, monkeypatch):
+    """Some sets and components are over the share at which they are hot, others under it."""
+    monkeypatch.setattr(common, "HOT_SHARE", 8)
+    texts = [prose(300, 60)] * 20 + [f"{prose(301, 60)} e{i}" for i in range(20)] + [prose(310 + i, 30) for i in range(20)] + [None, ""] * 10
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.joined(table(list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
 def test_components_chain_and_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (None, 3)]
     got = dict(rows_of(components.components(spark.createDataFrame(edges, "u long, v long"))))
@@ -194,6 +202,28 @@ def test_tiles_like_brute_force():
         assert all(item[i : i + n] == text[j : j + n] for i, j, n in got)
 
 
+def test_tiles_like_brute_force_across_gaps_and_periods():
+    r = random.Random(6)
+    for _ in range(80):
+        item = ([r.randrange(3) for _ in range(r.randrange(1, 4))] * 20)[: r.randrange(5, 30)]
+        text = ([r.randrange(3) for _ in range(r.randrange(1, 4))] * 20)[: r.randrange(5, 40)] + item[3:]
+        cut = r.randrange(len(text))
+        places = np.arange(len(text)) + 2 * (np.arange(len(text)) >= cut)
+        got = decontaminate.tiles(np.array(item, np.uint64), np.array(text, np.uint64), places)
+        assert sum(t[2] for t in got) == greedy(item, [*text[:cut], -1, *text[cut:]])
+        assert all(item[i : i + n] == text[j : j + n] and not j < cut < j + n for i, j, n in got)
+
+
+def test_one_repeated_word_makes_few_runs(spark, table):
+    """Runs grow with the sum of both lengths, and an item's words are not repeated for each of its seeds."""
+    w = np.full(1, 7, np.uint64)
+    i, j, n = decontaminate.maximal_runs(w.repeat(20_000), w.repeat(1_000_000), np.arange(1_000_000), 5)
+    assert len(i) < 1_020_000 and n.max() == 20_000
+    items = spark.createDataFrame([(1, "ha " * 20_000), (2, prose(70, 20_000))], "item_id long, text string")
+    docs = table([(1, "ha " * 400_000), (2, prose(71, 500)), (3, f"x {prose(70, 20_000)} y")])
+    assert sorted(rows_of(decontaminate.leaks(docs, items))) == [(1, 1, 20_000, 20_000, 1, 1.0), (3, 2, 20_000, 20_000, 1, 1.0)]
+
+
 def test_reordered_passages_leak_and_clean_texts_stay(spark, table):
     item = prose(50, 40).split()
     items = spark.createDataFrame([(0, " ".join(item), "z"), (1, "too short", "z"), (2, None, "z"), (3, "", "z")], "item_id long, text string, key string")

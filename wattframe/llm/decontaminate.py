@@ -31,48 +31,78 @@ def words(text: str | None) -> np.ndarray:
     return word_hashes(text or "", PUNCTUATION)
 
 
+def _prefixes(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running Karp-Rabin sums of t[k] * B**k, and B**-k to bring a run's sum to its start."""
+    power, inverse = np.full((2, len(tokens) + 1), 1, np.uint64)
+    power[1:], inverse[1:] = BASE, INVERSE
+    power, inverse = np.cumprod(power), np.cumprod(inverse)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power[:-1])]), inverse
+
+
 def running_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """Karp-Rabin hashes of all runs of ``n`` tokens, each from the one before it."""
     if len(tokens) < n:
         return np.empty(0, np.uint64)
-    power, inverse = np.full((2, len(tokens)), 1, np.uint64)
-    power[1:], inverse[1:] = BASE, INVERSE
-    power, inverse = np.cumprod(power), np.cumprod(inverse)
-    # Prefix sums of t[k] * B**k; dividing a run's sum by B**start makes equal runs equal.
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens * power)])
+    sums, inverse = _prefixes(tokens)
     return mix64((sums[n:] - sums[:-n]) * inverse[: len(tokens) - n + 1])
 
 
-def tiles(item: np.ndarray, text: np.ndarray, places: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in item, index in ``text``, length), longest first, ties from the left.
+def maximal_runs(item: np.ndarray, text: np.ndarray, places: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts in ``item``, starts in ``text`` and lengths of all common runs that cannot be made longer on either side.
 
-    ``places`` holds the word position of each entry of ``text``: runs do not
-    cross a gap.
+    Only pairs of equal seeds with different words before them are taken, and
+    each is stretched by bisection on the running hashes: a word repeated ``n``
+    times meets one repeated ``m`` times in ``n + m`` pairs, not ``n * m``.
     """
     a, b = running_hashes(item, least), running_hashes(text, least)
     whole = np.flatnonzero(places[least - 1 :] - places[: len(b)] == least - 1) if len(b) else np.empty(0, int)
-    order = np.argsort(a, kind="stable")
+    if not len(a) or not len(whole):
+        return (np.empty(0, np.int64),) * 3
+    # Seed with the word before it; the item's first seed has none and equals nothing.
+    before_a = mix64(a + np.concatenate([[np.uint64(0)], item[: len(a) - 1]]) * BASE)
+    before_a[0] = ~before_a[0]
+    before_b = mix64(b[whole] + text[whole - 1] * BASE)
+    edge = (whole == 0) | (places[whole] - places[whole - 1] != 1)
+    order = np.lexsort((before_a, a))
     lo, hi = np.searchsorted(a[order], b[whole], "left"), np.searchsorted(a[order], b[whole], "right")
-    n = hi - lo
+    kinds, first, count = np.unique(before_a[order], return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(kinds, before_b), len(kinds) - 1)
+    same = (kinds[at] == before_b) & ~edge & (first[at] >= lo) & (first[at] < hi)
+    skip, skipped = np.where(same, first[at], hi), np.where(same, count[at], 0)
+    n = hi - lo - skipped
     j = np.repeat(whole, n)
-    i = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    if not len(i):
-        return []
-    # Runs of matches on one diagonal are the maximal common runs.
-    by = np.lexsort((j, j - i))
-    i, j = i[by], j[by]
-    new = np.concatenate([[True], (np.diff(j) != 1) | (np.diff(j - i) != 0) | (places[j[1:]] - places[j[:-1]] != 1)])
-    first = np.flatnonzero(new)
-    length = np.diff(np.concatenate([first, [len(i)]])) + least - 1
-    heap = list(zip((-length).tolist(), i[first].tolist(), j[first].tolist(), strict=True))
+    k = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i = order[k + np.where(k >= np.repeat(skip, n), np.repeat(skipped, n), 0)]
+    # Runs end where the item, the text or its next gap does.
+    gaps = np.append(np.flatnonzero(np.diff(places) != 1) + 1, len(text))
+    low, high = np.full(len(i), least), np.minimum(len(item) - i, gaps[np.searchsorted(gaps, j, "right")] - j)
+    (sa, ia), (sb, ib) = _prefixes(item), _prefixes(text)
+    while (open_ := np.flatnonzero(low < high)).size:
+        x, y, m = i[open_], j[open_], (low[open_] + high[open_] + 1) // 2
+        fits = (sa[x + m] - sa[x]) * ia[x] == (sb[y + m] - sb[y]) * ib[y]
+        low[open_] = np.where(fits, m, low[open_])
+        high[open_] = np.where(fits, high[open_], m - 1)
+    return i, j, low
+
+
+def tiles(item: np.ndarray, text: np.ndarray, places: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in item, index in ``text``, length), longest first, ties from the left.
+
+    ``places`` holds the word position of each entry of ``text``: runs do not
+    cross a gap.
+    """
+    i, j, length = maximal_runs(item, text, places, least)
+    heap = list(zip((-length).tolist(), i.tolist(), j.tolist(), strict=True))
     heapq.heapify(heap)
     used_a, used_b = np.zeros(len(item), bool), np.zeros(len(text), bool)
+    free = len(item)
     out = []
-    while heap:
+    while heap and free >= least:
         m, i0, j0 = heapq.heappop(heap)
         taken = used_a[i0 : i0 - m] | used_b[j0 : j0 - m]
         if not taken.any():
             used_a[i0 : i0 - m] = used_b[j0 : j0 - m] = True
+            free += m
             out.append((i0, j0, -m))
             continue
         edges = np.flatnonzero(np.diff(np.concatenate([[1], taken.view(np.int8), [1]])))
@@ -106,17 +136,25 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, copies:
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for id, text in zip(b.column("item_id").to_pylist(), b.column("text"), strict=True):
+            for key, text in zip(b.column("item_key").to_pylist(), b.column("text"), strict=True):
                 w = words(text.as_py())
                 seed, n = np.unique(gram_hashes(w, SEED), return_counts=True)
                 if len(seed):
                     yield pa.record_batch(
-                        [pa.array([id] * len(seed), pa.int64()), pa.array([_signed(w).to_pylist()] * len(seed), pa.list_(pa.int64())), _signed(seed), pa.array(n)],
-                        ["item_id", "item", "seed", "n"],
+                        [pa.array(np.full(len(seed), key)), pa.array(np.full(len(seed), len(w))), _signed(seed), pa.array(n)],
+                        ["item_key", "n_item", "seed", "n"],
                     )
 
+    def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, text in enumerate(b.column("text")):
+                w = pa.array([words(text.as_py()).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.record_batch([b.column("item_key")[k : k + 1], b.column("item_id")[k : k + 1], w], ["item_key", "item_id", "item"])
+
     all_items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    seed_rows = keep(all_items.mapInArrow(seeds, "item_id long, item array<bigint>, seed long, n long"))
+    all_items = keep(all_items.withColumn("item_key", F.xxhash64(F.struct("item_id", "text"))))
+    seed_rows = keep(all_items.mapInArrow(seeds, "item_key long, n_item long, seed long, n long"))
+    tests = all_items.mapInArrow(item_words, "item_key long, item_id long, item array<bigint>")
     shared = spark.sparkContext.broadcast(bitmap(seed_rows, "seed", BITS))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +180,14 @@ def leaks(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, copies:
         )
     )
     texts = found.dropDuplicates(["key"])
-    item = F.struct("item_id", "item")
     pairs = (
         texts.select("key", F.explode("seeds").alias("seed"))
-        .join(seed_rows.select("seed", "n", F.xxhash64(item).alias("item_key"), F.size("item").alias("n_item")), "seed")
+        .join(seed_rows, "seed")
         .groupBy("key", "item_key")
         .agg(F.sum("n").alias("n"), F.first("n_item").alias("n_item"))
         .where(F.col("n") * SEED >= F.col("n_item") * coverage)
         .select("key", "item_key")
     )
-    tests = seed_rows.select(F.xxhash64(item).alias("item_key"), "item_id", "item").dropDuplicates(["item_key"])
 
     def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
