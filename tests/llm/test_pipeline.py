@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -50,14 +51,22 @@ def raked(rows):
             sums[c[m]] += n
         power = {v: n**mixing.TEMPER for v, n in sums.items()}
         share.append({v: p / sum(power.values()) for v, p in power.items()})
-    for _ in range(mixing.SWEEPS):
-        for m in range(3):
-            now = collections.Counter()
-            for c, w in weight.items():
-                now[c[m]] += w
-            weight = {c: w * share[m][c[m]] * total / now[c[m]] for c, w in weight.items()}
-    factor = {c: weight[c] / tokens[c] for c in weight}
-    top = max(factor.values())
+    def settle(weight, held):
+        while True:
+            was = weight
+            for m in range(3):
+                free, fixed = collections.Counter(), collections.Counter()
+                for c, w in weight.items():
+                    (fixed if c in held else free)[c[m]] += w
+                weight = {c: w if c in held else w * max(share[m][c[m]] * total - fixed[c[m]], 0) / free[c[m]] for c, w in weight.items()}
+            if sum(abs(weight[c] - was[c]) for c in weight) <= mixing.TOLERANCE * total:
+                return {c: weight[c] / tokens[c] for c in weight}
+
+    factor = settle(weight, set())
+    step = lambda f: math.ceil(math.log(f) / math.log(mixing.GRID))
+    steps = {step(f) for f in factor.values()}
+    top = mixing.GRID ** min(x for x in steps if 100 * sum(tokens[c] for c in factor if step(factor[c]) > x) <= mixing.SPARE * total)
+    factor = settle({c: tokens[c] * min(f, top) for c, f in factor.items()}, {c for c, f in factor.items() if f > top})
     draw = lambda i: int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:8], 16) / 2**32
     return [r for r in rows if draw(r[0]) < min(1.0, factor[cell(r)] / top)]
 

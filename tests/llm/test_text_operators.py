@@ -247,13 +247,42 @@ def test_raking_meets_margins(spark):
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
     want = {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.2, "y": 0.3, "z": 0.5}, "topic": {"p": 0.5, "q": 0.5}}
     targets = {m: spark.createDataFrame(list(w.items()), f"{m} string, share double") for m, w in want.items()}
-    got = mixing.factors(df, targets, sweeps=12).collect()
+    fit = mixing.factors(df, targets)
+    assert mixing.misfit(fit, targets) < 1e-9
+    with pytest.raises(RuntimeError):
+        mixing.factors(df, targets, most_sweeps=1)
+    got = fit.collect()
     total = sum(r.tokens * r.factor for r in got)
     for m, w in want.items():
         for v, share in w.items():
             assert sum(r.tokens * r.factor for r in got if r[m] == v) / total == pytest.approx(share, abs=1e-6)
 
 
+def test_a_stray_document_takes_its_own_size_only(spark):
+    """One document of a rare source and language hardly changes what is kept of the others."""
+    rows = [(i, prose(i % 50, 30), f"l{i % 3}", f"s{i % 11}") for i in range(3300)]
+    schema = "doc_id long, text string, lang string, source string"
+    share = [
+        mixing.mixed(spark.createDataFrame(x, schema)).where("row.doc_id >= 0").selectExpr("sum(probability * n_tokens) / sum(n_tokens)").first()[0]
+        for x in (rows, [*rows, (-1, "two words", "rare", "rare")])
+    ]
+    assert abs(share[0] - share[1]) < 0.001
+
+
+def test_cells_above_the_reference_are_kept_whole(spark):
+    cells = [(s, g, "p", 5.0 if (s, g) == ("a", "x") else 1000.0) for s in "abc" for g in "xy"]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+    want = {"source": {"a": 0.4, "b": 0.3, "c": 0.3}, "lang": {"x": 0.5, "y": 0.5}}
+    targets = {m: spark.createDataFrame(list(w.items()), f"{m} string, share double") for m, w in want.items()}
+    fit = mixing.factors(df, targets)
+    top = mixing.reference(fit)
+    got = {(r.source, r.lang): r.factor for r in mixing.capped(fit, targets, top).collect()}
+    before = {(r.source, r.lang): r.factor for r in fit.collect()}
+    above = {c for c, f in before.items() if f > top}
+    assert all(got[c] == pytest.approx(top) for c in above) and sum(t for s, g, _, t in cells if (s, g) in above) <= 0.01 * 5005
+    assert mixing.misfit(mixing.capped(fit, targets, top), targets) < 0.01
+
+
 def test_mixing_odd_rows(spark):
     rows = [(i, prose(i, 30), "en", f"s{i % 3}" if i % 7 else None, 5) for i in range(200)] + [(None, None, None, None, 0), (3, prose(3, 30), "en", "s0", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, weight long")

@@ -1,18 +1,31 @@
-"""Mixing sources to target weights: iterative proportional fitting over (source, language, topic)."""
+"""Mixing sources to target weights: iterative proportional fitting over (source, language, topic).
+
+Tokens are raked until a sweep moves next to nothing. No document can be taken
+more than once, so a reference factor stands for probability one. It is the
+least that leaves at most ``SPARE`` percent of all tokens in cells of larger
+factors: those cells are kept whole, the others are raked again to what the
+targets leave. A stray cell so costs its own size, not a share of all others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattframe.llm.common import keep, word_array
+from wattframe.llm.common import drop, keep, word_array
 
 MARGINS = ("source", "lang", "topic")
 #: Default targets: each value's present share to this power, made to add up to one.
 TEMPER = 0.9
-SWEEPS = 8
+#: Raking ends when a sweep moves less than this share of all tokens, and fails if that takes more sweeps.
+TOLERANCE = 1e-11
+MOST_SWEEPS = 300
+#: Percent of all tokens that may lie in cells kept whole though their share would ask for more.
+SPARE = 1
+#: The reference factor is a power of this: the sums that find it are few, however many cells there are.
+GRID = 1.001
 #: Cells that may be broadcast; a row takes about 100 bytes. More are joined by shuffle.
 SMALL_CELLS = 50_000
 #: Kinds of text told apart by what they contain, the first that fits; all else is prose.
@@ -45,28 +58,77 @@ def with_cells(docs: DataFrame) -> DataFrame:
     )
 
 
-def factors(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
+def factors(cells: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int = MOST_SWEEPS) -> DataFrame:
     """Rake the tokens of ``cells`` to the targets and give each cell's ``factor``.
 
     ``cells`` has one row per combination, with ``tokens``; a target has one row
     per value of its margin, with ``share`` (adding up to one over the values
     that occur). Each sweep scales the cells so that one margin after the other
-    fits. Values without a target, and cells without tokens, keep factor one.
+    fits, until the weights settle; targets that contradict each other settle,
+    too, with the last margin fitted (see ``misfit``). Weights that do not
+    settle in ``most_sweeps`` are an error. Values without a target, and cells
+    without tokens, keep factor one.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    start = cells.withColumn("weight", F.col("tokens").cast("double"))
-    now = start
-    for _ in range(sweeps):
+    return _raked(cells.withColumn("held", F.lit(False)).withColumn("weight", F.col("tokens").cast("double")), targets, most_sweeps)
+
+
+def capped(fit: DataFrame, targets: Mapping[str, DataFrame], top: float, most_sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """Hold the cells of factors above ``top`` at ``top`` and rake the others to what the targets leave."""
+    held = (F.col("factor") > top) & (F.col("tokens") > 0)
+    start = fit.withColumn("held", held).withColumn("weight", F.col("tokens") * F.least("factor", F.lit(top)))
+    return _raked(start.drop("factor"), targets, most_sweeps)
+
+
+def _raked(start: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int) -> DataFrame:
+    total = float(start.agg(F.sum("tokens")).first()[0] or 0)
+    held, zero = F.col("held"), F.lit(0.0)
+    now, before = start, None
+    for _ in range(most_sweeps):
+        now = now.withColumn("was", F.col("weight"))
         for m in targets:
             scale = (
-                now.groupBy(m).agg(F.sum("weight").alias("now"))
+                now.groupBy(m)
+                .agg(F.sum(F.when(held, zero).otherwise(F.col("weight"))).alias("free"), F.sum(F.when(held, F.col("weight")).otherwise(zero)).alias("fixed"))
                 .join(targets[m].select(m, "share"), m)
-                .where(F.col("now") > 0)
-                .select(m, (F.col("share") * F.lit(float(total)) / F.col("now")).alias("scale"))
+                .where("free > 0")
+                .select(m, (F.greatest(F.col("share") * total - F.col("fixed"), zero) / F.col("free")).alias("scale"))
             )
-            now = now.join(scale, m, "left").withColumn("weight", F.col("weight") * F.coalesce("scale", F.lit(1.0))).drop("scale")
+            weight = F.when(held, F.col("weight")).otherwise(F.col("weight") * F.coalesce("scale", F.lit(1.0)))
+            now = now.join(scale, m, "left").withColumn("weight", weight).drop("scale")
         now = keep(now)  # a row per cell
-    return now.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)).drop("weight")
+        moved = now.agg(F.sum(F.abs(F.col("weight") - F.col("was")))).first()[0] or 0.0
+        now = now.drop("was")
+        if before is not None:
+            drop(before)
+        before = now
+        if moved <= TOLERANCE * total:
+            factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+            return now.withColumn("factor", factor).drop("weight", "held")
+    raise RuntimeError(f"weights did not settle in {most_sweeps} sweeps: the last moved {moved / total:.1e} of all tokens")
+
+
+def reference(fit: DataFrame) -> float:
+    """The least power of ``GRID`` that leaves at most ``SPARE`` percent of all tokens in cells of larger factors; 1 without tokens."""
+    steps = (
+        fit.where("tokens > 0 and factor > 0")
+        .groupBy(F.ceil(F.log("factor") / F.log(F.lit(GRID))).alias("step")).agg(F.sum("tokens").alias("tokens"))
+    )
+    # A row per step of the grid: a few thousand for factors from 0.01 to 100.
+    above = F.sum("tokens").over(Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    total = fit.agg(F.sum("tokens")).first()[0]
+    low = steps.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") * 100 <= F.lit(total) * SPARE).agg(F.min("step")).first()[0]
+    return 1.0 if low is None else GRID**low
+
+
+def misfit(fit: DataFrame, targets: Mapping[str, DataFrame]) -> float:
+    """The largest share of tokens (by ``factor``) that lies at wrong values of one margin."""
+    worst = 0.0
+    for m in targets:
+        sums = fit.groupBy(m).agg(F.sum(F.col("tokens") * F.col("factor")).alias("w"))
+        total = sums.agg(F.sum("w")).first()[0] or 1.0
+        off = sums.join(targets[m].select(m, "share"), m).agg(F.sum(F.abs(F.col("w") / total - F.col("share"))) / 2).first()[0]
+        worst = max(worst, off or 0.0)
+    return worst
 
 
 def tempered(cells: DataFrame, margin: str, power: float = TEMPER) -> DataFrame:
@@ -85,9 +147,11 @@ def draw(id: Column, seed: str) -> Column:
 def mixed(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed: str = "mix") -> DataFrame:
     """Columns ``row`` (the input's own), ``source``, ``lang``, ``topic``, ``n_tokens``, ``factor``, ``probability``, ``sampled``.
 
-    The probability is the cell's factor over the largest factor, so expected
-    tokens have the target shares. One draw per id decides; repeated ids are
-    decided alike, null ids as the empty id. Null margins count as the empty
+    The probability is the cell's factor over the ``reference`` factor, at most
+    one, so expected tokens have the target shares; cells above it are kept
+    whole and the others raked around them once more (what then still lies
+    above is cut to one, see ``misfit``). One draw per id decides; repeated ids
+    are decided alike, null ids as the empty id. Null margins count as the empty
     string, null texts as no tokens. An empty table gives no rows. The table is
     first reduced to one row per cell, whatever share one source holds; only
     then is anything shuffled. Factors are joined back by broadcast up to
@@ -95,12 +159,15 @@ def mixed(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, seed:
     """
     each = with_cells(docs)
     cells = keep(each.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    fit = keep(factors(cells, targets or {m: tempered(cells, m) for m in MARGINS}))
-    n, top = fit.agg(F.count("*"), F.max(F.when(F.col("tokens") > 0, F.col("factor")))).first()
+    targets = targets or {m: keep(tempered(cells, m)) for m in MARGINS}
+    fit = factors(cells, targets)
+    top = reference(fit)
+    fit = capped(fit, targets, top)
+    n = fit.count()
     fit = fit.drop("tokens")
     return (
         each.join(F.broadcast(fit) if n <= SMALL_CELLS else fit, list(MARGINS))
-        .withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.lit(float(top or 1.0))))
+        .withColumn("probability", F.least(F.lit(1.0), F.col("factor") / F.lit(top)))
         .withColumn("sampled", draw(F.col("row.doc_id"), seed) < F.col("probability"))
     )
 
@@ -137,20 +204,30 @@ cells AS MATERIALIZED (SELECT {key}, CAST(sum(n_tokens) AS DOUBLE) AS tokens FRO
             f"t_{m} AS MATERIALIZED (SELECT {m}, power(sum(tokens), {TEMPER}) / sum(power(sum(tokens), {TEMPER})) OVER () AS share "
             f"FROM cells GROUP BY {m} HAVING sum(tokens) > 0)"
         )
-    steps.append("w0 AS (SELECT *, tokens AS weight FROM cells)")
-    k = 0
-    for _ in range(SWEEPS):
-        for m in MARGINS:
-            k += 1
+    steps.append("w0 AS (SELECT *, tokens AS weight, false AS held FROM cells)")
+    # Enough sweeps for the weights to settle on small tables.
+    sweeps, k = 16, 0
+    for phase in range(2):
+        for _ in range(sweeps):
+            for m in MARGINS:
+                k += 1
+                part = f"OVER (PARTITION BY c.{m})"
+                steps.append(
+                    f"w{k} AS MATERIALIZED (SELECT {', '.join('c.' + x for x in MARGINS)}, c.tokens, CASE WHEN c.held THEN c.weight ELSE c.weight * coalesce("
+                    f"greatest(t.share * (SELECT sum(tokens) FROM cells) - sum(CASE WHEN c.held THEN c.weight ELSE 0 END) {part}, 0) "
+                    f"/ nullif(sum(CASE WHEN c.held THEN 0 ELSE c.weight END) {part}, 0), 1) END AS weight, c.held FROM w{k - 1} c LEFT JOIN t_{m} t USING ({m}))"
+                )
+        steps.append(f"f{phase} AS MATERIALIZED (SELECT {key}, tokens, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS factor FROM w{k})")
+        if phase == 0:
             steps.append(
-                f"w{k} AS MATERIALIZED (SELECT {', '.join('c.' + x for x in MARGINS)}, c.tokens, c.weight * coalesce(t.share * (SELECT sum(tokens) FROM cells) "
-                f"/ nullif(sum(c.weight) OVER (PARTITION BY c.{m}), 0), 1) AS weight FROM w{k - 1} c LEFT JOIN t_{m} t USING ({m}))"
+                f"g AS (SELECT ceil(ln(factor) / ln({GRID})) AS step, sum(tokens) AS tokens FROM f0 WHERE tokens > 0 AND factor > 0 GROUP BY 1),\n"
+                f"top AS MATERIALIZED (SELECT coalesce(power({GRID}, min(step)), 1) AS top FROM (SELECT step, coalesce(sum(tokens) OVER "
+                f"(ORDER BY step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM g) "
+                f"WHERE above * 100 <= (SELECT sum(tokens) FROM cells) * {SPARE})"
             )
-    steps.append(f"f AS MATERIALIZED (SELECT {key}, tokens, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1 END AS factor FROM w{k})")
-    steps.append(
-        "p AS (SELECT e.*, factor, least(1.0, factor / (SELECT coalesce(max(factor), 1) FROM f WHERE tokens > 0)) AS probability "
-        f"FROM e JOIN f USING ({key}))"
-    )
+            k += 1
+            steps.append(f"w{k} AS (SELECT {key}, tokens, tokens * least(factor, top) AS weight, factor > top AND tokens > 0 AS held FROM f0, top)")
+    steps.append(f"p AS (SELECT e.*, factor, least(1.0, factor / top) AS probability FROM e JOIN f1 USING ({key}), top)")
     return "WITH " + ",\n".join(steps) + (
         f"\nSELECT doc_id, {key}, n_tokens, round(factor, 6) AS factor, round(probability, 6) AS probability, "
         "CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled FROM p"
