@@ -520,3 +520,16 @@ def test_long_reply_chain(spark):
     df = spark.range(300).selectExpr("1L as conv_id", "id as turn", "'u' as role", "concat('message ', id) as text")
     got = quotes.linked(df).collect()
     assert all(r.thread == 0 and r.depth == r.turn for r in got)
+
+
+def test_mixing_sweeps_broadcast_nothing(spark, monkeypatch):
+    cells = spark.createDataFrame([(s, lang, "prose", 7 * i + 13) for i, s in enumerate("abcde") for lang in ("x", "y")], "source string, lang string, topic string, tokens long")
+    targets = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
+    plans = []
+    kept = mixing.keep
+    monkeypatch.setattr(mixing, "keep", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    key = lambda fit: {(r.source, r.lang): round(r.factor, 9) for r in fit.collect()}
+    few = key(mixing.factors(cells, targets))
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans[1:])
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    assert key(mixing.factors(cells, targets)) == few

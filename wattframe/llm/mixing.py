@@ -81,20 +81,16 @@ def capped(fit: DataFrame, targets: Mapping[str, DataFrame], top: float, most_sw
 
 def _raked(start: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int) -> DataFrame:
     total = float(start.agg(F.sum("tokens")).first()[0] or 0)
-    held, zero = F.col("held"), F.lit(0.0)
+    few = start.count() <= SMALL_CELLS
     now, before = start, None
+    if few:
+        for m in targets:
+            now = now.join(targets[m].select(m, F.col("share").alias(f"share_{m}")), m, "left")
+        now = before = keep(now)
     for _ in range(most_sweeps):
         now = now.withColumn("was", F.col("weight"))
         for m in targets:
-            scale = (
-                now.groupBy(m)
-                .agg(F.sum(F.when(held, zero).otherwise(F.col("weight"))).alias("free"), F.sum(F.when(held, F.col("weight")).otherwise(zero)).alias("fixed"))
-                .join(targets[m].select(m, "share"), m)
-                .where("free > 0")
-                .select(m, (F.greatest(F.col("share") * total - F.col("fixed"), zero) / F.col("free")).alias("scale"))
-            )
-            weight = F.when(held, F.col("weight")).otherwise(F.col("weight") * F.coalesce("scale", F.lit(1.0)))
-            now = now.join(scale, m, "left").withColumn("weight", weight).drop("scale")
+            now = _fitted(now, m, total) if few else _fitted_by_join(now, m, targets[m], total)
         now = keep(now)  # a row per cell
         moved = now.agg(F.sum(F.abs(F.col("weight") - F.col("was")))).first()[0] or 0.0
         now = now.drop("was")
@@ -103,10 +99,41 @@ def _raked(start: DataFrame, targets: Mapping[str, DataFrame], most_sweeps: int)
         before = now
         if moved <= TOLERANCE * total:
             factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
-            return now.withColumn("factor", factor).drop("weight", "held")
+            return now.withColumn("factor", factor).drop("weight", "held", *[f"share_{m}" for m in targets])
     raise RuntimeError(f"weights did not settle in {most_sweeps} sweeps: the last moved {moved / total:.1e} of all tokens")
 
 
+def _parts() -> tuple[Column, Column]:
+    """What of a cell's weight may be scaled, and what is held."""
+    held, zero = F.col("held"), F.lit(0.0)
+    return F.when(held, zero).otherwise(F.col("weight")), F.when(held, F.col("weight")).otherwise(zero)
+
+
+def _scaled(free: Column, fixed: Column, share: Column, total: float) -> Column:
+    """A cell's weight where the free ones of its margin value, ``free`` in all, fill its share beside ``fixed``."""
+    scale = F.when(free > 0, F.greatest(share * total - fixed, F.lit(0.0)) / free)
+    return F.when(F.col("held"), F.col("weight")).otherwise(F.col("weight") * F.coalesce(scale, F.lit(1.0)))
+
+
+def _fitted(now: DataFrame, m: str, total: float) -> DataFrame:
+    """One margin fitted for up to ``SMALL_CELLS`` cells, which carry their target as ``share_<margin>``.
+
+    Sums over the cells of a value are windows: a join would broadcast a table
+    for each margin of each sweep, pages of some MB each in the driver.
+    """
+    of = Window.partitionBy(m)
+    free, fixed = (F.sum(x).over(of) for x in _parts())
+    return now.withColumn("weight", _scaled(free, fixed, F.col(f"share_{m}"), total))
+
+
+def _fitted_by_join(now: DataFrame, m: str, target: DataFrame, total: float) -> DataFrame:
+    """The same for any number of cells: sums are combined before the shuffle, so no value's cells meet in a task."""
+    free, fixed = _parts()
+    sums = now.groupBy(m).agg(F.sum(free).alias("free"), F.sum(fixed).alias("fixed")).join(target.select(m, "share"), m)
+    weight = _scaled(F.col("free"), F.col("fixed"), F.col("share"), total)
+    return now.join(sums, m, "left").withColumn("weight", weight).drop("free", "fixed", "share")
+
+
 def reference(fit: DataFrame) -> float:
     """The least power of ``GRID`` that leaves at most ``SPARE`` percent of all tokens in cells of larger factors; 1 without tokens."""
     steps = (
