@@ -272,3 +272,20 @@ def test_discords_like_all_pairs(spark, block):
         assert [x.rn - 1 for x in mine] == want
         assert [x.distance for x in mine] == pytest.approx([best[i] for i in want], abs=1e-6)
     assert not [x for x in got if x.server == "c"]
+
+
+#: Values of which two subsequences are each other's nearest neighbour and tie for a place.
+MUTUAL = [
+    71.66, 76.24, 65.46, 22.95, 56.89, 3.45, 43.32, 17.08, 76.38, 68.13, 6.87, 65.36, 97.02, 16.51, 20.7,
+    60.16, 15.15, 54.49, 21.9, 36.63, 29.79, 42.94, 17.06, 24.41, 62.55, 9.61, 60.21, 23.05, 26.12, 77.48,
+    21.39, 1.59, 91.76, 9.94, 0.96, 76.49, 52.46, 18.39, 12.11, 62.93, 88.53, 68.72, 80.44, 108.09, 59.0,
+    4.02, 96.26, 31.83, 23.3, 1.08, 27.85, 28.18, 53.63, 71.68, 37.17, 8.0, 51.2, 41.15, 46.05, 8.59, 59.13,
+    183.09,
+]
+
+
+def test_mutual_neighbours_tie_by_row(spark):
+    df = spark.createDataFrame([("a", float(i), v / 0.997) for i, v in enumerate(MUTUAL)], "server STRING, t DOUBLE, v DOUBLE")
+    got = events.discords(df, Series(("server",), "t", (), 50.0), "v", 8, 3, 32).collect()
+    third = next(x for x in got if x["rank"] == 3)
+    assert third.rn == 5 and round(third.distance, 4) == 2.3886

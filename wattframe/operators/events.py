@@ -487,7 +487,8 @@ def discords(
                     d = _distances(np.concatenate(some["w"].tolist()), here["y"].to_numpy(), m, step=m)
                     at = some["rn"].to_numpy()
                     d[np.abs(at[:, None] - rn[None, :]) <= zone] = np.inf
-                    out.append(pd.DataFrame({**{k: part[k].iloc[0] for k in key}, "rn": at, "distance": d.min(axis=1)}))
+                    least = _settled(d, np.stack(some["w"].to_numpy()), here["y"].to_numpy(), m)
+                    out.append(pd.DataFrame({**{k: part[k].iloc[0] for k in key}, "rn": at, "distance": least}))
             return pd.concat(out, ignore_index=True)
 
         met = map_groups(both.repartition(*key, "b"), [*key, "b"], ["side", "rn"], meet, schema)
@@ -525,3 +526,30 @@ def _distances(x: np.ndarray, y: np.ndarray, m: int, step: int = 1) -> np.ndarra
     d[fa[:, None] & fb[None, :]] = 0.0
     d[fa[:, None] ^ fb[None, :]] = np.sqrt(m)
     return d
+
+
+def _unit(w: np.ndarray) -> np.ndarray:
+    """Unit windows by the same steps for every window, so that equal windows stay equal to the last bit."""
+    columns = w.T
+    centred = columns - sum(columns) / len(columns)
+    norm = np.sqrt(sum(c * c for c in centred))
+    return (centred / np.where(norm < 1e-12, 1.0, norm)).T
+
+
+def _settled(d: np.ndarray, x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """Least of each row of distances between the windows ``x`` and those of ``y``, the nearest ones worked out again.
+
+    A matrix product adds up in an order that depends on its shape. Products
+    added up in one fixed order give two windows the same distance from either
+    side, so mutual neighbours tie, as they do in SQL.
+    """
+    least = d.min(axis=1)
+    row, col = np.nonzero((d <= least[:, None] + 1e-6) & np.isfinite(d))
+    exact, a, b = d[row, col], x[row], np.lib.stride_tricks.sliding_window_view(y, m)[col]
+    curved = (np.ptp(a, axis=1) > 0) & (np.ptp(b, axis=1) > 0)
+    if curved.any():
+        products = (_unit(a[curved]) * _unit(b[curved])).T
+        exact[curved] = np.sqrt(np.maximum(2.0 * m * (1.0 - sum(products)), 0.0))
+    out = np.full(len(d), np.inf)
+    np.minimum.at(out, row, exact)
+    return out
