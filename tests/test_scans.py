@@ -289,3 +289,55 @@ def test_mutual_neighbours_tie_by_row(spark):
     got = events.discords(df, Series(("server",), "t", (), 50.0), "v", 8, 3, 32).collect()
     third = next(x for x in got if x["rank"] == 3)
     assert third.rn == 5 and round(third.distance, 4) == 2.3886
+
+
+def test_short_series_are_transformed_whole(spark, monkeypatch):
+    from wattframe.operators import stats
+
+    def refuse(*_):
+        raise AssertionError("a short series needs no second pass")
+
+    monkeypatch.setattr(stats, "_two_pass", refuse)
+    r = np.random.default_rng(5)
+    values = {s: r.normal(0, 1, n) for s, n in (("a", 67), ("b", 64), ("c", 67), ("d", 1))}
+    rows = [(s, float(i), float(v)) for s, y in values.items() for i, v in enumerate(y)]
+    got = stats.spectrum(spark.createDataFrame(rows, "server STRING, t DOUBLE, v DOUBLE"), Series(("server",), "t", (), 10.0), "v").collect()
+    for s, y in values.items():
+        want = np.abs(np.fft.fft(y - y.mean())) ** 2
+        mine = {x.k: x.power for x in got if x.server == s}
+        assert sorted(mine) == list(range(1, len(y) // 2 + 1)) and all(p == pytest.approx(want[k]) for k, p in mine.items())
+
+
+def test_filters_run_in_pieces_and_together(monkeypatch):
+    monkeypatch.setattr(features.AffineFilter, "PIECE", 7)
+    z = np.random.default_rng(3).normal(50, 9, 80)
+    settings, blocks = [(0.1, 5.0), (1.0, 25.0)], np.array([0, 3, 40, 60])
+    f = features.AffineFilter(settings, 1.0)
+    number = np.arange(80)
+    states = f.follow(list(f.publish(z, number, blocks)), np.array([0]))
+    out = f.run(states, z, number, blocks)
+    for i, (q, r) in enumerate(settings):
+        want, _ = features.kalman_rows(z, None, q, r, 1.0, False)
+        assert out[:, i] == pytest.approx(want, abs=1e-8)
+    assert f.run(states, z, number, blocks, only_next=True)[..., 0] == pytest.approx(out[..., 0])
+
+
+def test_close_values_far_from_the_centre_keep_their_score(spark):
+    rows = [("a", i, 1e6 + v) for i, v in enumerate((0.0, 1e-3))]
+    df = spark.createDataFrame(rows, "server STRING, rn LONG, v DOUBLE")
+    axis, col, zero = Series(("server",), "rn", (), 100.0), features.F.col("v"), features.F.lit(0.0)
+    sums = features.decayed_sums(df, axis, at=features.F.col("rn"), **features.ewma_sums(col, zero, 20, "p"))
+    sums = features.decayed_sums(sums, axis, at=features.F.col("rn"), **features.ewma_spread(col, zero, 20, "p"))
+    got = features.ewma_columns(sums, "v", zero, "p").filter("rn = 1").first()
+    assert got.p_z == pytest.approx(0.67175144, abs=1e-5)
+
+
+def test_labels_of_several_horizons_in_one_pass(spark, series_of):
+    r = np.random.default_rng(2)
+    df = series_of(power_watts=(r.random(60) * 300).tolist(), usage_percent=(r.random(60) * 100).tolist())
+    axis = Series(("server",), "ts", (), 20.0)
+    both, names = features.build_xy(df, axis, horizon=(1, 5), also={"label_rise": ("rise", 60.0, 2.0)})
+    got = {x.ts: x for x in both.collect()}
+    for column, more in (("label_1", {"horizon": 1}), ("label_5", {}), ("label_rise", {"direction": "rise", "watts": 60.0, "k": 2.0})):
+        one, cols = features.build_xy(df, axis, **more)
+        assert cols == names and {x.ts: x.label for x in one.collect()} == {t: x[column] for t, x in got.items()}

@@ -233,15 +233,16 @@ def density_histogram(df: DataFrame, value: str, keys: Sequence[str] = (), bins:
     )
 
 
-#: Points of one group of a transform; longer ones only where the length's own factors are nearly balanced.
+#: Points of a series that is transformed in one group.
 GROUP = 4_096
 
 
 def spectrum(df: DataFrame, series: Series, value: str) -> DataFrame:
     """Power ``|FFT|^2`` of each de-meaned series (G41): ``k, n, period, power``.
 
-    A transform of length ``n = n1 * n2`` is done in two passes of about
-    ``sqrt(n)`` groups (:func:`_two_pass`). A length without such factors, a
+    Series of at most ``GROUP`` values are transformed whole. A longer transform
+    of length ``n = n1 * n2`` is done in two passes of about ``sqrt(n)`` groups
+    (:func:`_two_pass`). A length without such factors, a
     prime above all, becomes a convolution with a chirp, which is done at a
     length that has them; so a long series always spreads.
     """
@@ -255,17 +256,41 @@ def spectrum(df: DataFrame, series: Series, value: str) -> DataFrame:
         return n.map(lambda v: next(d for d in range(math.isqrt(int(v)), 0, -1) if v % d == 0))
 
     stats = cut(stats.withColumn("n1", factor("n")).withColumn("n2", (F.col("n") / F.col("n1")).cast("long")))
-    split = (F.col("n2") <= GROUP) | (F.col("n2") <= 16 * F.col("n1"))
+    whole = F.col("n") <= GROUP
+    split = F.col("n2") <= 16 * F.col("n1")
     x = attach(rows, stats, key, "inner").withColumn("re", F.col("_wf_x") - F.col("_wf_m")).withColumn("j", F.col("_wf_r") - 1)
-    plain = x.filter(split).select(*key, "n", "n1", "n2", "j", "re", F.lit(0.0).alias("im"))
-    out = _two_pass(plain, key, ["re"], ["im"], -1).select(*key, "n", "k", "re", "im")
-    if not stats.filter(~split).isEmpty():
-        out = out.unionByName(_chirp(x.filter(~split), key))
+    out = _whole(x.filter(whole).select(*key, "n", "j", "re"), key)
+    some = stats.agg(F.max(~whole & split), F.max(~whole & ~split)).first()
+    if some[0]:
+        plain = x.filter(~whole & split).select(*key, "n", "n1", "n2", "j", "re", F.lit(0.0).alias("im"))
+        out = out.unionByName(_two_pass(plain, key, ["re"], ["im"], -1).select(*key, "n", "k", "re", "im"))
+    if some[1]:
+        out = out.unionByName(_chirp(x.filter(~whole & ~split), key))
     half = out.filter((F.col("k") > 0) & (F.col("k") <= F.floor(F.col("n") / 2)))
     power = F.col("re") * F.col("re") + F.col("im") * F.col("im")
     return half.select(*key, "n", "k", power.alias("power"), (F.col("n") / F.col("k")).alias("period"))
 
 
+def _whole(x: DataFrame, key: list[str]) -> DataFrame:
+    """Transforms of series of at most ``GROUP`` values, those of one length in a batch as one array."""
+    schema = T.StructType(
+        [*[x.schema[c] for c in key], T.StructField("n", T.LongType()), T.StructField("k", T.LongType())]
+        + [T.StructField(c, T.DoubleType()) for c in ("re", "im")]
+    )
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        re, keys, pieces = pdf["re"].to_numpy(), {c: pdf[c].to_numpy() for c in key}, []
+        sizes = np.diff(np.append(starts, len(pdf)))
+        for n in np.unique(sizes).tolist():
+            at, k = starts[sizes == n], np.arange(n // 2 + 1)
+            z = np.fft.fft(re[at[:, None] + np.arange(n)], axis=1)[:, : len(k)]
+            made = {c: np.repeat(v[at], len(k)) for c, v in keys.items()}
+            pieces.append(pd.DataFrame({**made, "n": n, "k": np.tile(k, len(at)), "re": z.real.ravel(), "im": z.imag.ravel()}))
+        return pd.concat(pieces, ignore_index=True)
+
+    return map_groups(x.repartition(*key), key, ["j"], run, schema)
+
+
 def _two_pass(x: DataFrame, key: list[str], re: list[str], im: list[str], sign: int, more: Sequence[str] = ()) -> DataFrame:
     """Transforms of length ``n = n1 * n2`` of complex columns over ``j``, as columns over ``k``.
 
