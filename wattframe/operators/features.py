@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattframe.plans.blocks import Ranks, relay, rolling_rows, rolling_time
+from wattframe.plans.blocks import Ranks, lockstep, relay, rolling_rows, rolling_time
 from wattframe.plans.decay import Decay, decayed_sums
-from wattframe.plans.folds import fold
+from wattframe.plans.folds import fold, spans
 from wattframe.plans.quantiles import attach
 from wattframe.plans.timeline import (
     BLOCK,
@@ -143,17 +143,31 @@ def ewma_sums(col: Column, centre: Column, span: int, prefix: str) -> dict[str,
     }
 
 
+def ewma_spread(col: Column, centre: Column, span: int, prefix: str) -> dict[str, Decay]:
+    """Decayed sum of squared deviations, given the sums of :func:`ewma_sums`.
+
+    Each value adds its squared distance to the mean before it, so values that
+    differ little from each other but much from ``centre`` lose no digits.
+    """
+    w, wx = F.col(f"_wf_{prefix}_w"), F.col(f"_wf_{prefix}_wx")
+    x, before = col.cast("double") - centre, w - 1.0
+    off = x - F.try_divide(wx - x, before)
+    step = F.when(col.isNotNull() & (before > 1e-9), before / w * off * off).otherwise(0.0)
+    return {f"_wf_{prefix}_ss": Decay(step, -1.0 / np.log(1.0 - 2.0 / (span + 1.0)))}
+
+
 def ewma_columns(df: DataFrame, col: str, centre: Column, prefix: str) -> DataFrame:
     """Mean, bias-corrected deviation and z-score from the decayed sums."""
     w, ww, wx, wxx = (F.col(f"_wf_{prefix}_{s}") for s in ("w", "ww", "wx", "wxx"))
     mean = F.try_divide(wx, w)
-    var = F.greatest(F.try_divide(wxx, w) - mean * mean, F.lit(0.0))
+    ss = f"_wf_{prefix}_ss"
+    var = F.try_divide(F.col(ss), w) if ss in df.columns else F.greatest(F.try_divide(wxx, w) - mean * mean, F.lit(0.0))
     # one value: weights cancel up to rounding
     unbias = F.when(w * w - ww > 1e-9 * w * w, w * w / (w * w - ww))
     out = df.withColumns({f"{prefix}_mean": mean + centre, f"{prefix}_std": F.sqrt(var * unbias)})
     z = F.try_divide(F.col(col) - F.col(f"{prefix}_mean"), F.col(f"{prefix}_std"))
     drop = [f"_wf_{prefix}_{s}" for s in ("w", "ww", "wx", "wxx")]
-    return out.withColumn(f"{prefix}_z", z).drop(*drop)
+    return out.withColumn(f"{prefix}_z", z).drop(*drop, ss)
 
 
 def with_ewma(
@@ -261,7 +275,9 @@ def feature_frame(
     pass gives the Hawkes intensity (and the EWMA of the label); one row-window
     pass gives every lag, delta and rolling feature.  Features of absent signals
     are skipped.  Returns the frame and the feature columns, rows unfiltered.
-    ``label`` (horizon, direction, watts, k, span) also adds ``label``.
+    ``label`` (horizon, direction, watts, k, span) also adds ``label``, or
+    ``label_<h>`` for each of several horizons; its ``also`` maps names of more
+    labels to (direction, watts, k), each of a direction of its own.
     """
     ups = [s for s in UPSTREAM if s in df.columns] if upstream else []
     fill = [*dict.fromkeys([*ups, *(["temp_celsius"] if "temp_celsius" in df.columns else [])])]
@@ -289,6 +305,9 @@ def feature_frame(
         src = src.withColumn("d1", F.col("power_watts") - F.col("_wf_p"))
         way = label["direction"]
         src = spike_flags(src, "d1", "ewma_z", label["watts"], label["k"], (way,))
+        for other, watts, k in label.get("also", {}).values():
+            src = spike_flags(src, "d1", "ewma_z", watts, k, (other,))
+    horizons = () if not label else (label["horizon"],) if isinstance(label["horizon"], int) else tuple(label["horizon"])
 
     def first(w: WindowSpec) -> dict[str, Column]:
         out = {**lag_features(w), **usage_deltas(w, slope), **cross_flags(w)}
@@ -307,7 +326,10 @@ def feature_frame(
             out["nr_running_cv"], out["nr_running_peak_to_mean"] = cv, peak
         names.extend(n for n in out if not n.startswith("_wf") and n not in names)
         if label:
-            out["label"] = horizon_label(w, f"spike_{label['direction']}", label["horizon"])
+            for h in horizons:
+                out["label" if horizons == (label["horizon"],) else f"label_{h}"] = horizon_label(w, f"spike_{label['direction']}", h)
+            for name, (other, _, _) in label.get("also", {}).items():
+                out[name] = horizon_label(w, f"spike_{other}", max(horizons))
         return out
 
     def second(w: WindowSpec) -> dict[str, Column]:
@@ -316,7 +338,7 @@ def feature_frame(
     names: list[str] = []
     stages = [first, second] if "nr_running" in ups else [first]
     out = by_rows(
-        src, series, *stages, before=lookback, after=label["horizon"] if label else 0, row_number="rn"
+        src, series, *stages, before=lookback, after=max(horizons, default=0), row_number="rn"
     )
     if "nr_running" in ups:
         names += ["nr_running_jerk", "nr_running_hawkes"]
@@ -338,11 +360,12 @@ def feature_frame(
 
 
 def build_xy(
-    df: DataFrame, series: Series, horizon: int = HORIZON_ROWS, direction: str = "both",
-    watts: float = SPIKE_W, k: float = SPIKE_K, span: int = SPAN, **features,
+    df: DataFrame, series: Series, horizon: int | Sequence[int] = HORIZON_ROWS, direction: str = "both",
+    watts: float = SPIKE_W, k: float = SPIKE_K, span: int = SPAN, also: dict[str, tuple[str, float, float]] | None = None,
+    **features,
 ) -> tuple[DataFrame, list[str]]:
-    """Feature matrix with label, complete rows only."""
-    label = {"horizon": horizon, "direction": direction, "watts": watts, "k": k, "span": span}
+    """Feature matrix with label, or several labels, complete rows only."""
+    label = {"horizon": horizon, "direction": direction, "watts": watts, "k": k, "span": span, "also": also or {}}
     x, names = feature_frame(df, series, label=label, **features)
     return x.na.drop(subset=names), names
 
@@ -458,6 +481,10 @@ def segment_features(
     for col, centre, prefix in parts:
         sums.update(ewma_sums(F.col(col), centre, span, prefix))
     out = decayed_sums(src, inner, at=F.col("rn"), **sums)
+    spreads = {}
+    for col, centre, prefix in parts:
+        spreads.update(ewma_spread(F.col(col), centre, span, prefix))
+    out = decayed_sums(out, inner, at=F.col("rn"), **spreads)
     for col, centre, prefix in parts:
         out = ewma_columns(out, col, centre, prefix)
     out = out.join(sizes.filter(F.col("segment_rows") >= min_rows), list(inner.key))
@@ -812,38 +839,113 @@ class Gains:
 
 
 class AffineFilter:
-    """The fixed-gain filter as a relay: a block maps (level, slope) by a 2x2 matrix and a shift."""
+    """Fixed-gain filters of several settings as a relay: a block maps each one's (level, slope) by a 2x2 matrix and a shift.
 
-    def __init__(self, q: float, r: float, dt: float):
-        self.gains, self.dt = Gains(q, r, dt), dt
+    All blocks at hand take their next row together, as arrays of block by
+    setting. A long block is a relay of its own: pieces of ``PIECE`` rows.
+    """
 
-    def publish(self, z: np.ndarray, first: int) -> list[float]:
-        m00, m01, m10, m11, c0, c1 = 1.0, 0.0, 0.0, 1.0, 0.0, 0.0
-        if first == 0:  # the first value is the state
-            m00 = m11 = 0.0
-            c0 = float(z[0])
+    PIECE = 512
+
+    def __init__(self, settings: Sequence[tuple[float, float]], dt: float):
+        self.gains, self.dt = [Gains(q, r, dt) for q, r in settings], dt
+        self.size = len(self.gains)
+
+    def _gains(self, rows: int) -> np.ndarray:
+        """Both gains of the first rows of a series by setting, up to where all stand still."""
+        for g in self.gains:
+            g.at(0, rows)
+        top = max(len(g.k) for g in self.gains)
+        return np.stack([np.array(g.k)[np.minimum(np.arange(top), len(g.k) - 1)] for g in self.gains], axis=1)
+
+    def _pieces(self, starts: np.ndarray, n: int) -> np.ndarray:
+        ends = np.append(starts[1:], n)
+        return np.concatenate([np.arange(a, b, self.PIECE) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+    def _maps(self, z: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Six numbers of each piece and setting."""
+        order, first, live = lockstep(starts, len(z))
+        k = self._gains(int(number.max()) + 1)
+        m = np.zeros((6, len(starts), self.size))
+        m[0] = m[3] = (number[first] > 0)[:, None]  # the first value is the state
+        m[4] = np.where(number[first] > 0, 0.0, z[first])[:, None]
         dt = self.dt
-        for v, (k0, k1) in zip(z.tolist(), self.gains.at(first, len(z)).tolist(), strict=True):
-            a00, a01 = m00 + dt * m10, m01 + dt * m11
-            ahead = c0 + dt * c1
-            m00, m01, c0 = (1 - k0) * a00, (1 - k0) * a01, ahead + k0 * (v - ahead)
-            m10, m11, c1 = m10 - k1 * a00, m11 - k1 * a01, c1 + k1 * (v - ahead)
-        return [m00, m01, m10, m11, c0, c1]
+        for i, c in enumerate(live.tolist()):
+            at = first[:c] + i
+            v, (k0, k1) = z[at, None], np.moveaxis(k[np.minimum(number[at], len(k) - 1)], 2, 0)
+            m00, m01, m10, m11, c0, c1 = (x[:c] for x in m)
+            a00, a01, ahead = m00 + dt * m10, m01 + dt * m11, c0 + dt * c1
+            new = (1 - k0) * a00, (1 - k0) * a01, m10 - k1 * a00, m11 - k1 * a01, ahead + k0 * (v - ahead), c1 + k1 * (v - ahead)
+            for x, y in zip(m, new, strict=True):
+                x[:c] = y
+        out = np.empty((len(starts), self.size, 6))
+        out[order] = np.moveaxis(m, 0, 2)
+        return out
 
-    @staticmethod
-    def follow(state: Sequence[float] | None, m: Sequence[float]) -> list[float]:
-        a, b = state or (0.0, 0.0)
-        return [m[0] * a + m[1] * b + m[4], m[2] * a + m[3] * b + m[5]]
-
-    def run(self, state: Sequence[float] | None, z: np.ndarray, first: int) -> np.ndarray:
-        """Prediction, level, slope and innovation of each row."""
-        lvl, slp = state or (float(z[0]), 0.0)
-        out, dt = np.empty((len(z), 4)), self.dt
-        for i, (v, (k0, k1)) in enumerate(zip(z.tolist(), self.gains.at(first, len(z)).tolist(), strict=True)):
-            m0, m1 = lvl + dt * slp, slp
-            innov = v - m0
-            lvl, slp = m0 + k0 * innov, m1 + k1 * innov
-            out[i] = lvl + dt * slp, lvl, slp, innov
+    def _states(self, m: np.ndarray, starts: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The state before each map, in groups that begin with ``state``."""
+        order, first, live = lockstep(starts, len(m))
+        a, b = np.moveaxis(state[order], 2, 0).copy()
+        out = np.empty((len(m), self.size, 2))
+        for i, c in enumerate(live.tolist()):
+            at = first[:c] + i
+            x, p, q = m[at], a[:c].copy(), b[:c].copy()
+            out[at, :, 0], out[at, :, 1] = p, q
+            a[:c] = x[..., 0] * p + x[..., 1] * q + x[..., 4]
+            b[:c] = x[..., 2] * p + x[..., 3] * q + x[..., 5]
+        return out
+
+    def publish(self, z: np.ndarray, number: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Numbers of each block; ``number`` is a row's place in its series from 0."""
+        pieces = self._pieces(starts, len(z))
+        m = self._maps(z, number, pieces)
+        if len(pieces) == len(starts):
+            return m.reshape(len(starts), -1)
+        order, first, live = lockstep(np.searchsorted(pieces, starts), len(pieces))
+        all_m = m[first]
+        for i, c in list(enumerate(live.tolist()))[1:]:
+            x, (p00, p01, p10, p11, c0, c1) = m[first[:c] + i], np.moveaxis(all_m[:c], 2, 0)
+            x00, x01, x10, x11, y0, y1 = np.moveaxis(x, 2, 0)
+            all_m[:c] = np.stack(
+                [x00 * p00 + x01 * p10, x00 * p01 + x01 * p11, x10 * p00 + x11 * p10, x10 * p01 + x11 * p11,
+                 x00 * c0 + x01 * c1 + y0, x10 * c0 + x11 * c1 + y1], axis=2,
+            )
+        out = np.empty_like(all_m)
+        out[order] = all_m
+        return out.reshape(len(starts), -1)
+
+    def follow(self, said: Sequence[np.ndarray], starts: np.ndarray) -> list[np.ndarray | None]:
+        m = np.stack([np.asarray(x, float) for x in said]).reshape(len(said), self.size, 6)
+        out: list = list(self._states(m, starts, np.zeros((len(starts), self.size, 2))).reshape(len(said), -1))
+        for i in starts.tolist():
+            out[i] = None
+        return out
+
+    def run(
+        self, states: Sequence[Sequence[float] | None], z: np.ndarray, number: np.ndarray, starts: np.ndarray, only_next: bool = False
+    ) -> np.ndarray:
+        """Prediction, level, slope and innovation of each row and setting, or the prediction alone."""
+        zero = np.zeros(self.size)
+        begin = np.stack(
+            [np.stack([zero + z[s], zero], axis=1) if x is None else np.asarray(x, float).reshape(-1, 2) for x, s in zip(states, starts.tolist(), strict=True)]
+        )
+        pieces = self._pieces(starts, len(z))
+        if len(pieces) > len(starts):
+            begin = self._states(self._maps(z, number, pieces), np.searchsorted(pieces, starts), begin)
+        order, first, live = lockstep(pieces, len(z))
+        k = self._gains(int(number.max()) + 1)
+        lvl, slp = np.moveaxis(begin[order], 2, 0).copy()
+        out, dt = np.empty((len(z), self.size, 1 if only_next else 4)), self.dt
+        for i, c in enumerate(live.tolist()):
+            at = first[:c] + i
+            k0, k1 = np.moveaxis(k[np.minimum(number[at], len(k) - 1)], 2, 0)
+            m0 = lvl[:c] + dt * slp[:c]
+            innov = z[at, None] - m0
+            lvl[:c] = m0 + k0 * innov
+            slp[:c] += k1 * innov
+            ahead = lvl[:c] + dt * slp[:c]
+            for j, x in enumerate((ahead,) if only_next else (ahead, lvl[:c], slp[:c], innov)):
+                out[at, :, j] = x
         return out
 
 
@@ -876,15 +978,15 @@ def kalman(
     if adapt:
         made = fold(rows, series, step, schema, slice_width or series.width)
     else:
-        filter = AffineFilter(q, r, dt)
+        filter = AffineFilter([(q, r)], dt)
 
-        def publish(pdf: pd.DataFrame) -> list[float]:
-            return filter.publish(pdf["_wf_z"].to_numpy(), int(pdf["_wf_n"].iloc[0]) - 1)
+        def publish(pdf: pd.DataFrame, starts: np.ndarray) -> list[np.ndarray]:
+            return list(filter.publish(pdf["_wf_z"].to_numpy(), pdf["_wf_n"].to_numpy() - 1, starts))
 
-        def apply(state, pdf: pd.DataFrame) -> pd.DataFrame:
-            return told(pdf, filter.run(state, pdf["_wf_z"].to_numpy(), int(pdf["_wf_n"].iloc[0]) - 1))
+        def apply(states, pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            return told(pdf, filter.run(states, pdf["_wf_z"].to_numpy(), pdf["_wf_n"].to_numpy() - 1, starts)[:, 0])
 
-        made = relay(number_rows(rows, series, "_wf_n"), series, publish, AffineFilter.follow, apply, schema)
+        made = relay(number_rows(rows, series, "_wf_n"), series, publish, filter.follow, apply, schema)
     return made.withColumnRenamed("_wf_z", col)
 
 
@@ -927,23 +1029,32 @@ def slew_limit(df: DataFrame, series: Series, target: str, up: float, down: floa
     cols = [*series.key, series.ts, *series.tie]
     rows = df.filter(F.col(target).isNotNull()).select(*cols, F.col(target).cast("double").alias("_wf_z"))
 
-    def publish(pdf: pd.DataFrame) -> list[float]:
-        z, m = pdf["_wf_z"].tolist(), SlewMap(up, down)
-        for v in z:
-            m.add(v)
-        return [z[0], *m.xs, *m.ys]
-
-    def follow(state, said: np.ndarray) -> list[float]:
-        n = len(said) // 2
-        return [SlewMap.value(said[1 : n + 1], said[n + 1 :], state[0] if state else said[0])]
-
-    def apply(state, pdf: pd.DataFrame) -> pd.DataFrame:
-        z = pdf["_wf_z"].tolist()
-        y = state[0] if state else z[0]
-        out = np.empty(len(z))
-        for i, v in enumerate(z):
-            y = min(y + up, v) if v > y else max(y - down, v)
-            out[i] = y
+    def publish(pdf: pd.DataFrame, starts: np.ndarray) -> list[list[float]]:
+        z, out = pdf["_wf_z"].tolist(), []
+        for a, b in spans(starts, len(z)):
+            m = SlewMap(up, down)
+            for v in z[a:b]:
+                m.add(v)
+            out.append([z[a], *m.xs, *m.ys])
+        return out
+
+    def follow(said: Sequence[np.ndarray], starts: np.ndarray) -> list[list[float] | None]:
+        out: list[list[float] | None] = []
+        for a, b in spans(starts, len(said)):
+            y = None
+            for x in said[a:b]:
+                out.append(None if y is None else [y])
+                n = len(x) // 2
+                y = SlewMap.value(x[1 : n + 1], x[n + 1 :], x[0] if y is None else y)
+        return out
+
+    def apply(states, pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        z, out = pdf["_wf_z"].tolist(), []
+        for state, (a, b) in zip(states, spans(starts, len(z)), strict=True):
+            y = z[a] if state is None else float(state[0])
+            for v in z[a:b]:
+                y = min(y + up, v) if v > y else max(y - down, v)
+                out.append(y)
         return pdf[cols].assign(**{name: out})
 
     schema = T.StructType([*[df.schema[c] for c in cols], T.StructField(name, T.DoubleType())])

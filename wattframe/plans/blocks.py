@@ -74,13 +74,10 @@ def over_blocks(spread: DataFrame, series: Series, order: str, columns: Sequence
     names = [f.name for f in carried]
 
     def run(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        pieces = []
-        for a, b in spans(starts, len(pdf)):
-            part = pdf.iloc[a:b]
-            made = fn({c: part[c].to_numpy() for c in columns})
-            home = part[HOME].to_numpy(bool)
-            pieces.append(part[names][home].assign(**{n: v[home] for n, v in made.items()}))
-        return pd.concat(pieces, ignore_index=True)
+        given = {c: pdf[c].to_numpy() for c in columns}
+        made = [fn({c: v[a:b] for c, v in given.items()}) for a, b in spans(starts, len(pdf))]
+        home = pdf[HOME].to_numpy(bool)
+        return pdf[names][home].assign(**{n: np.concatenate([m[n] for m in made])[home] for n in out})
 
     return map_groups(spread.repartition(*by), by, [order], run, schema)
 
@@ -101,12 +98,12 @@ def rolling_time(
 
 # Recursions that are told from block to block
 
-#: ``publish(rows)``: what a block does to any state, as numbers.
-Publish = Callable[[pd.DataFrame], Sequence[float]]
-#: ``follow(state or None, published)``: the state after the block.
-Follow = Callable[[Sequence[float] | None, np.ndarray], Sequence[float]]
-#: ``apply(state or None, rows)``: the block's output rows, given the state before it.
-Apply = Callable[[Sequence[float] | None, pd.DataFrame], pd.DataFrame]
+#: ``publish(rows, starts)``: what each block does to any state, as numbers.
+Publish = Callable[[pd.DataFrame, np.ndarray], Sequence[Sequence[float]]]
+#: ``follow(published, starts)``: the state before each block (None before the first), blocks of a series in order.
+Follow = Callable[[Sequence[np.ndarray], np.ndarray], Sequence[Sequence[float] | None]]
+#: ``apply(states, rows, starts)``: the output rows of all blocks, given the state before each.
+Apply = Callable[[Sequence[Sequence[float] | None], pd.DataFrame, np.ndarray], pd.DataFrame]
 
 
 def relay(df: DataFrame, series: Series, publish: Publish, follow: Follow, apply: Apply, out_schema: T.StructType) -> DataFrame:
@@ -115,7 +112,8 @@ def relay(df: DataFrame, series: Series, publish: Publish, follow: Follow, apply
     Every bucket publishes what it does to an unknown state before it. Those
     few numbers are followed from bucket to bucket per key, and each bucket then
     runs from the state it really starts with. Rows are exchanged once; the
-    sequential part sees one row per bucket.
+    sequential part sees one row per bucket. Each step gets many buckets at
+    once, so short ones need no call of their own.
     """
     keys, place = list(series.key), [*series.key, BUCKET]
     order = [series.ts, *series.tie]
@@ -125,25 +123,22 @@ def relay(df: DataFrame, series: Series, publish: Publish, follow: Follow, apply
     numbers = T.ArrayType(T.DoubleType())
 
     def told(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        said = [[float(x) for x in publish(pdf.iloc[a:b])] for a, b in spans(starts, len(pdf))]
-        return pdf.iloc[starts][place].reset_index(drop=True).assign(_wf_said=said)
+        return pdf.iloc[starts][place].reset_index(drop=True).assign(_wf_said=list(publish(pdf, starts)))
 
     def chained(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        entry = []
-        for a, b in spans(starts, len(pdf)):
-            state = None
-            for said in pdf["_wf_said"].iloc[a:b]:
-                entry.append(state)
-                state = [float(x) for x in follow(state, np.asarray(said))]
-        return pdf[place].assign(_wf_entry=entry)
+        return pdf[place].assign(_wf_entry=list(follow(pdf["_wf_said"].tolist(), starts)))
 
     def ran(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
-        pieces = []
-        for a, b in spans(starts, len(pdf)):
-            state = pdf["_wf_entry"].iloc[a]
-            pieces.append(apply(None if state is None else list(state), pdf.iloc[a:b].reset_index(drop=True)))
-        return pd.concat(pieces, ignore_index=True)[out_schema.fieldNames()]
+        return apply(pdf["_wf_entry"].iloc[starts].tolist(), pdf, starts)[out_schema.fieldNames()]
 
     said = map_groups(dealt, place, order, told, T.StructType([*fields, T.StructField("_wf_said", numbers)]))
     entries = map_groups(said.repartition(*keys), keys, [BUCKET], chained, T.StructType([*fields, T.StructField("_wf_entry", numbers)]))
     return map_groups(dealt.join(entries, place), place, order, ran, out_schema)
+
+
+def lockstep(starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups in falling order of size: their places in ``starts``, first rows, and how many have each next row."""
+    sizes = np.diff(np.append(starts, n))
+    order = np.argsort(-sizes, kind="stable")
+    rows = np.arange(int(sizes.max(initial=0)))
+    return order, starts[order], len(sizes) - np.searchsorted(np.sort(sizes), rows, side="right")

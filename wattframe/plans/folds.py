@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +27,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark jobs of a driver loop that run at once.
+AT_ONCE = 4
+
+
+def at_once(jobs: Sequence[Callable]) -> list:
+    """Results of jobs that do not depend on each other, a few running at once, so that small ones share the executors.
+
+    No job may scan a :class:`~wattframe.plans.timeline.Timeline`, which sets an option of the session meanwhile.
+    """
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+
+
 GroupFn = Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]
 
 
