@@ -118,12 +118,12 @@ def m14(spark, d):
 
 def with_heads(spark, d, cut):
     """Features, and a detector with rise and drop heads trained before ``cut``."""
-    rows, names = xy(spark, d)
-    det = ml.train_detector(rows.filter(F.col("ts") < cut), AXIS, names, FOREST, block_s=BLOCK)
-    heads = {}
-    for way in ("rise", "drop"):
-        r, _ = ft.build_xy(b.samples(spark, d), AXIS, upstream=True, direction=way, watts=60.0, k=2.0)
-        heads[way] = checkpoint(r.filter(F.col("ts") < cut))
+    ways = {f"label_{way}": (way, 60.0, 2.0) for way in ("rise", "drop")}
+    rows, names = ft.build_xy(b.samples(spark, d), AXIS, upstream=True, also=ways)
+    rows = checkpoint(rows)
+    past = rows.filter(F.col("ts") < cut)
+    det = ml.train_detector(past, AXIS, names, FOREST, block_s=BLOCK)
+    heads = {way: past.withColumn("label", F.col(name)) for name, (way, _, _) in ways.items()}
     return rows, ml.attach_direction_heads(det, heads, AXIS, FOREST, block_s=BLOCK)
 
 
@@ -151,8 +151,11 @@ def m19(spark, d):
 @query("m20_horizon_curve", "horizon, rate, pr_auc, lift, trivial_pr_auc, trivial_lift")
 def m20(spark, d):
     trivial = ft.trivial_score(b.samples(spark, d), AXIS).select("server", "ts", "event_id", "trivial")
+    horizons = [1, 2, 3, 5, 8, 12, 20]
+    rows, names = xy(spark, d, horizons, upstream=False)  # the features are the same for all, only labels differ
+    ends = folds(rows)
     out = ml.horizon_curve(
-        lambda h: xy(spark, d, h, upstream=False), [1, 2, 3, 5, 8, 12, 20], AXIS, lambda r, h: folds(r), FOREST, trivial
+        lambda h: (rows.withColumn("label", F.col(f"label_{h}")), names), horizons, AXIS, lambda r, h: ends, FOREST, trivial
     )
     ddl = "horizon INT, rate DOUBLE, pr_auc DOUBLE, lift DOUBLE, trivial_pr_auc DOUBLE, trivial_lift DOUBLE"
     return table(spark, out, ddl)
