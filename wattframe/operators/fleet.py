@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattframe.plans.folds import at_once
 from wattframe.plans.quantiles import attach, quantiles
 
 
@@ -145,7 +146,9 @@ def cluster(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
 def elbow(vectors: DataFrame, ks: Sequence[int] = range(2, 9), seed: int = 7) -> DataFrame:
     """Within-cluster squared error for each k."""
     data = vectors.select(array_to_vector("y").alias("features")).persist()
-    costs = [(int(k), float(KMeans(k=k, seed=seed, maxIter=40).fit(data).summary.trainingCost)) for k in ks]
+    data.count()  # computed once, before the fits share it
+    fits = [lambda k=k: float(KMeans(k=k, seed=seed, maxIter=40).fit(data).summary.trainingCost) for k in ks]
+    costs = [(int(k), cost) for k, cost in zip(ks, at_once(fits), strict=True)]
     data.unpersist()
     return vectors.sparkSession.createDataFrame(costs, "k INT, cost DOUBLE")
 
