@@ -9,6 +9,7 @@ from wattframe.catalog import query
 from wattframe.catalog.features import RN_SQL, S
 from wattframe.operators import fleet as fl
 from wattframe.operators import grid as g
+from wattframe.operators.events import argmax
 from wattframe.plans.timeline import number_rows
 from wattframe.series import Series
 
@@ -101,7 +102,7 @@ def g45b(spark, d):
     SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY nodes DESC, label) = 1 AS majority FROM c""",
 )
 def g46(spark, d):
-    a = b.samples(spark, d).groupBy("server").agg(F.max_by("kind", "power_watts").alias("label"))
+    a = b.samples(spark, d).groupBy("server").agg(argmax("kind", "power_watts", "event_id").alias("label"))
     return fl.confusion(a.withColumn("cluster", F.col("server") % 4), "cluster", "label")
 
 
@@ -111,5 +112,5 @@ def g46(spark, d):
     m AS (SELECT cluster, max(nodes) AS top, sum(nodes) AS n FROM c GROUP BY 1) SELECT sum(top) / sum(n) AS accuracy, sum(n) AS nodes FROM m""",
 )
 def g46b(spark, d):
-    a = b.samples(spark, d).groupBy("server").agg(F.max_by("kind", "power_watts").alias("label"))
+    a = b.samples(spark, d).groupBy("server").agg(argmax("kind", "power_watts", "event_id").alias("label"))
     return fl.recovery(fl.confusion(a.withColumn("cluster", F.col("server") % 4), "cluster", "label"))

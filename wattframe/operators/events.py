@@ -75,6 +75,13 @@ def true_transitions(
     return on.select(*series.key, F.col("onset_ts").alias(series.ts))
 
 
+def argmax(take: str, value: str, tie: str) -> Column:
+    """Aggregate: ``take`` of the row with the largest ``value``, the one of the
+    lowest ``tie`` among equals; rows without either are left out (O3)."""
+    known = F.col(value).isNotNull() & F.col(take).isNotNull()
+    return F.max_by(take, F.when(known, F.struct(value, -F.col(tie))))
+
+
 def hf_onsets(df: DataFrame, series: Series, power: str, min_step: float = 25.0, gap_rows: int = 50) -> DataFrame:
     """Onsets on the 100 ms grid, level gates open."""
     return find_onsets(df, series, power, -INF, INF, min_step, gap_rows)
