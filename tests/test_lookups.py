@@ -38,3 +38,10 @@ def test_label_of_tied_largest_values_is_the_first(written):
         got, want = both(name)
         assert got == want
     assert ("click", 2) in {r[1:3] for r in both("g46_confusion_table")[0]}
+
+
+def test_row_of_the_largest_value_with_ties_and_nulls(written):
+    rows = [(u, "view", v) for v in (50.0, None, 50.0, 20.0) for u in range(4)] + [(9, "view", None), (9, "view", None)]
+    got, want = written(rows)("o3_argmax_by_server")
+    assert got == want
+    assert (0, 0, round(50 / 0.997, 6)) in got and (9, None, None) in got

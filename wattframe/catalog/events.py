@@ -327,6 +327,6 @@ def o2(spark, d):
 )
 def o3(spark, d):
     return b.samples(spark, d).groupBy("server").agg(
-        F.max_by("event_id", F.struct("power_watts", -F.col("event_id"))).alias("event_id"),
+        e.argmax("event_id", "power_watts", "event_id").alias("event_id"),
         F.max("power_watts").alias("power_watts"),
     )
