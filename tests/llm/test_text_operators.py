@@ -454,6 +454,20 @@ def test_far_repeats_have_one_label():
     assert added([text]) == [[("phone", "(743) 555-3824")] * 60]
 
 
+def test_field_runs_through_documents_without_a_match():
+    r = random.Random(12)
+
+    def digits(valid):
+        d = "".join(str(r.randrange(10)) for _ in range(15))
+        return next(d + str(c) for c in range(10) if pii.luhn(d + str(c)) == valid)
+
+    wrong = digits(False)
+    texts = [f"paid by card {digits(True)} today and not 12 of 2024" for _ in range(200)]
+    texts += [f"paid by card {wrong} today and again by card {wrong} today", f"order 12 of {wrong} and 12 of 2024"]
+    got = added(texts)
+    assert got[-2:] == [[("card", wrong)] * 2, []] and not any(got[:-2])
+
+
 # 3: suffix-array dedup
 
 

@@ -6,8 +6,9 @@ a chain potential; distant nodes with the same digits, or the same letters and
 digits, share a skip potential. Matches are fixed, and a free node is linked to
 the nearest match of its key; loopy message passing decides the free nodes, so a
 number that is recognised once is found again, as a whole, where it is written
-without its plus sign or country code or with other separators. In a document
-without any match there is nothing to carry.
+without its plus sign or country code or with other separators. A document
+without any match is a field of free nodes, whose repeats share what their
+shapes and neighbours say.
 Potentials are learned by pseudo-likelihood from what the patterns find.
 """
 
@@ -143,8 +144,6 @@ class Graph:
         label, feats, chain, skip = [], [], [], []
         hubs = 0
         for k, (text, found) in enumerate(zip(texts, spans, strict=True)):
-            if not found:
-                continue  # nothing to carry through
             known: dict[str, str] = {}
             for s, kind, e in found:
                 for name in names_of(kind, text[s:e]):
