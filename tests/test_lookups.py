@@ -1,11 +1,15 @@
 """Ties of largest values, nearest entries and rule boards on small written tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from wattframe import catalog
+from wattframe import Series, catalog
+from wattframe.operators import events, features, score
 
 
 @pytest.fixture
@@ -45,3 +49,34 @@ def test_row_of_the_largest_value_with_ties_and_nulls(written):
     got, want = written(rows)("o3_argmax_by_server")
     assert got == want
     assert (0, 0, round(50 / 0.997, 6)) in got and (9, None, None) in got
+
+
+def test_rule_grid_like_a_loop_in_one_pass(spark):
+    r = random.Random(3)
+    rows = [(s, i, r.choice([None, 0.0, 1.0, 2.0])) for s in "ab" for i in range(1, 200)]
+    on = [(s, i) for s, i, _ in rows if r.random() < 0.1]
+    scored, onsets = spark.createDataFrame(rows, "server STRING, rn INT, v DOUBLE"), spark.createDataFrame(on, "server STRING, rn INT")
+    level = {"over 0": 0.5, "over 1": 1.5, "never": 9.0}
+    got = score.rule_grid(scored, onsets, Series(("server",), "rn", (), 7.0), {n: F.col("v") > x for n, x in level.items()}, 3, 4, 2)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 4
+    got = {x.rule: x for x in got.collect()}
+    for name, x in level.items():
+        flags = {(s, i) for s, i, v in rows if v is not None and v > x}
+        lags = [next((k for k in range(4) if (s, i + k) in flags), None) for s, i in on]
+        known = [k for k in lags if k is not None]
+        eps = [(s, i) for s, i in flags if not any((s, i - k) in flags for k in range(1, 5))]
+        false = sum(all((s, i + k) not in on for k in range(-2, 3)) for s, i in eps)
+        y = got[name]
+        assert (y.n_onsets, y.detected, y.median_lat, y.p90_lat) == (len(on), len(known), *([float(np.quantile(known, q)) for q in (0.5, 0.9)] if known else [None, None]))
+        assert (y.n_episodes, y.false_ep) == ((len(eps), false) if eps else (None, None))
+    assert score.rule_grid(scored, onsets.limit(0), Series(("server",), "rn", (), 7.0), {"over 0": F.col("v") > 0.5}, 3, 4, 2).count() == 0
+
+
+def test_landings_follow_onsets(spark):
+    r = random.Random(4)
+    rows = [(s, i, r.uniform(0, 100)) for s in "ab" for i in range(300)]
+    df = spark.createDataFrame(rows, "server STRING, at LONG, v DOUBLE")
+    axis = Series(("server",), "at", (), 50.0)
+    stepped = features.with_spikes(df, axis, "v", row_number="rn")
+    want = {(x.server, x.rn + 1) for x in events.hf_onsets(df, axis, "v", 40.0, 5).collect()}
+    assert {tuple(x) for x in events.landings(stepped, axis, "d1", 40.0, 5).collect()} == want

@@ -13,6 +13,7 @@ from wattframe.catalog.features import RN_SQL, S, SPIKE_SQL, W, onset_sql
 from wattframe.operators import events as e
 from wattframe.operators import features as f
 from wattframe.operators import score as s
+from wattframe.plans.tables import cut
 from wattframe.plans.timeline import by_rows
 
 ID = "server, event_id"
@@ -178,9 +179,10 @@ GRID_SQL = RULES_SQL.replace(", rules AS", f", {onset_sql('power_watts', 40, 5)}
 
 
 def board(spark, d):
-    scored = f.with_spikes(b.samples(spark, d), b.SAMPLES, row_number="rn")
-    onsets = e.hf_onsets(b.samples(spark, d), b.SAMPLES, "power_watts", 40.0, 5)
-    onsets = onsets.select("server", (F.col("rn") + 1).alias("rn"))
+    src = b.samples(spark, d).select("server", "ts", "event_id", "power_watts", "usage_percent")
+    scored = f.with_spikes(src, b.SAMPLES, row_number="rn")
+    scored = cut(scored.select("server", "rn", "d1", "ewma_z", "usage_percent"))
+    onsets = e.landings(scored, b.SAMPLES, "d1", 40.0, 5)
     rules = {r: (F.col("ewma_z") > zk) & (F.col("usage_percent") > uk) for r, zk, uk in RULE_LIST}
     return s.rule_grid(scored, onsets, b.SAMPLES, rules, 3, 3, 2)
 

@@ -87,6 +87,12 @@ def hf_onsets(df: DataFrame, series: Series, power: str, min_step: float = 25.0,
     return find_onsets(df, series, power, -INF, INF, min_step, gap_rows)
 
 
+def landings(numbered: DataFrame, series: Series, step: str, min_step: float = 25.0, gap_rows: int = 50) -> DataFrame:
+    """First high rows of the same onsets, from rows that carry ``rn`` and their rise over the row before."""
+    high = numbered.filter((F.col("rn") >= 4) & (F.col(step) > min_step)).select(*series.key, "rn")
+    return refractory(high, row_axis(series), gap_rows)
+
+
 def hf_label(df: DataFrame, series: Series, power: str, horizon: int = 50, min_step: float = 25.0, gap_rows: int = 50) -> DataFrame:
     """1 when an onset lands within the next ``horizon`` rows."""
     on = hf_onsets(df, series, power, min_step, gap_rows)

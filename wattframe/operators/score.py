@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from wattframe.operators.events import episodes, true_transitions, usage_edges
 from wattframe.operators.match import first_alert, overlaps
 from wattframe.plans.quantiles import ALL, descending_rank, order_statistics, quantiles
 from wattframe.plans.tables import cut
-from wattframe.plans.timeline import Timeline, running_sum
+from wattframe.plans.timeline import Timeline, by_rows, running_sum
 from wattframe.series import MICROS, Series
 
 
@@ -271,30 +271,44 @@ def rule_grid(
 ) -> DataFrame:
     """Detection, latency and episode precision of many flag rules.
 
-    ``scored`` and ``onsets`` carry ``rn``.  Rules are a handful of fixed
-    expressions: each row emits the names of the rules it fires, and the rule
-    joins the key, so all rules are scored in one pass.
+    ``scored`` and ``onsets`` carry ``rn``, which ``scored`` has once per series.
+    Rules are a handful of fixed expressions: rows that fire none are left out,
+    the onsets are stacked on the others, and one window pass over row numbers
+    scores all rules; latencies are whole rows, so only their counts are ranked.
     """
-    from wattframe.operators.events import flag_episodes, row_axis
-    from wattframe.operators.match import confirm, near_any
-
-    key = ["rule", *series.key]
-    inner = series.with_key(*key)
-    axis = row_axis(inner)
-    names = F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules.items()]))
-    flags = scored.select(*series.key, "rn", F.explode(names).alias("rule"))
-    every = F.explode(F.array(*[F.lit(n) for n in rules]))
-    wanted = onsets.select(*series.key, "rn", every.alias("rule"))
-    hits = confirm(wanted, flags, axis, max_rows)
-    eps = near_any(flag_episodes(flags, inner, gap_rows), wanted, axis, match_rows)
-    detection = hits.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("n_onsets"), F.count("latency_s").alias("detected")
-    )
-    lat = quantiles(hits, ["rule"], "latency_s", {"median_lat": 0.5, "p90_lat": 0.9})
-    per_ep = eps.groupBy("rule").agg(
-        F.count(F.lit(1)).alias("n_episodes"), F.count_if(~F.col("matched")).alias("false_ep")
-    )
-    out = detection.join(lat, "rule", "left").join(per_ep, "rule", "left")
+    fired = {f"_wf_f{i}": rule for i, rule in enumerate(rules.values())}
+    flags = scored.select(*series.key, F.col("rn").cast("long").alias("rn"), F.lit(False).alias("_wf_on"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in fired.items()])
+    flags = flags.filter(F.array_contains(F.array(*fired), True))
+    starts = onsets.select(*series.key, F.col("rn").cast("long").alias("rn"), F.lit(True).alias("_wf_on"), *[F.lit(False).alias(n) for n in fired])
+
+    def stage(w: WindowSpec) -> dict[str, Column]:
+        soon, gap, near = w.rangeBetween(0, max_rows), w.rangeBetween(-gap_rows, -1), w.rangeBetween(-match_rows, match_rows)
+        out = {"_wf_near": F.max("_wf_on").over(near)}
+        for n in fired:
+            out[f"{n}_lag"] = F.min(F.when(F.col(n), F.col("rn"))).over(soon) - F.col("rn")
+            out[f"{n}_new"] = F.col(n) & ~F.coalesce(F.max(n).over(gap), F.lit(False))
+        return out
+
+    before, after = max(gap_rows, match_rows), max(max_rows, match_rows)
+    seen = by_rows(flags.unionByName(starts), series, stage, before=before, after=after, row_number="rn")
+    told = []
+    for name, n in zip(rules, fired, strict=True):
+        onset = F.struct(F.lit(name).alias("rule"), F.lit(True).alias("onset"), F.col(f"{n}_lag").alias("lag"), F.lit(None).cast("boolean").alias("hit"))
+        episode = F.struct(F.lit(name).alias("rule"), F.lit(False).alias("onset"), F.lit(None).cast("long").alias("lag"), F.col("_wf_near").alias("hit"))
+        told.append(F.when(F.col("_wf_on"), onset).when(F.col(f"{n}_new"), episode))
+    cases = seen.select(F.explode(F.array_compact(F.array(*told))).alias("_wf_t")).select("_wf_t.*")
+    tally = cases.groupBy("rule", "onset", "lag", "hit").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda c: F.sum(F.when(c, F.col("n")))
+    lag = F.when(F.col("onset"), F.col("lag")).cast("double")
+    out = tally.groupBy("rule").agg(
+        count(F.col("onset")).alias("n_onsets"),
+        F.coalesce(count(F.col("onset") & F.col("lag").isNotNull()), F.lit(0)).alias("detected"),
+        F.percentile(lag, 0.5, F.col("n")).alias("median_lat"),
+        F.percentile(lag, 0.9, F.col("n")).alias("p90_lat"),
+        count(~F.col("onset")).alias("n_episodes"),
+        count(~F.col("onset") & ~F.col("hit")).alias("false_ep"),
+    ).filter("n_onsets IS NOT NULL")
+    out = out.withColumn("false_ep", F.when(F.col("n_episodes").isNotNull(), F.coalesce("false_ep", F.lit(0))))
     good = F.col("n_episodes") - F.col("false_ep")
     return out.withColumns(
         {
