@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattframe import Series, catalog
-from wattframe.operators import events, features, score
+from wattframe.operators import events, features, match, score
 
 
 @pytest.fixture
@@ -80,3 +80,19 @@ def test_landings_follow_onsets(spark):
     stepped = features.with_spikes(df, axis, "v", row_number="rn")
     want = {(x.server, x.rn + 1) for x in events.hf_onsets(df, axis, "v", 40.0, 5).collect()}
     assert {tuple(x) for x in events.landings(stepped, axis, "d1", 40.0, 5).collect()} == want
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_nearest_value_looks_up_each_value_once(spark, monkeypatch, few):
+    monkeypatch.setattr(match, "FEW", few, raising=False)
+    r = random.Random(5)
+    values = [None, -3.0, 500.0, *[float(r.randrange(40)) for _ in range(3000)]]
+    entries = [1.0, 4.0, 10.0, 11.0, 30.0]
+    df = spark.createDataFrame(list(enumerate(values)), "id LONG, v DOUBLE")
+    table = spark.createDataFrame([(x, 2 * x) for x in entries], "w DOUBLE, y DOUBLE")
+    looked = []
+    asof = match.asof
+    monkeypatch.setattr(match, "asof", lambda left, *a, **k: looked.append(left.count()) or asof(left, *a, **k))
+    got = {x.id: x.near for x in match.nearest_value(df, table, "v", "w", "y", "near", 7.0).collect()}
+    assert len(got) == len(values) and max(looked) == len(set(values)) - 1
+    assert all(got[i] == (None if v is None else 2 * min(entries, key=lambda x: (abs(x - v), x))) for i, v in enumerate(values))

@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.plans.asof import asof
+from wattframe.plans.tables import cut
 from wattframe.series import MICROS, Series
 
+#: Distinct looked-up values that are broadcast at most.
+FEW = 500_000
+
 
 def _shift(series: Series, df: DataFrame, col: str, seconds: float):
     """Column moved by seconds, in its own type."""
@@ -123,18 +127,26 @@ def align_scores(base: DataFrame, scores: DataFrame, keys: Sequence[str]) -> Dat
 def nearest_value(
     df: DataFrame, table: DataFrame, value: str, at: str, take: str, name: str, width: float = 100.0
 ) -> DataFrame:
-    """Entry of a lookup table nearest to a value, the lower one on ties."""
+    """Entry of a lookup table nearest to a value, the lower one on ties.
+
+    Each distinct value is looked up once, so what a task holds does not grow
+    with the rows that share a value; ``width`` is the range of values of one
+    task.  Up to ``FEW`` distinct values are broadcast to the rows.
+    """
     axis = Series(("_wf_one",), "_wf_k", (), width)
-    left = df.withColumn("_wf_one", F.lit(1))
-    right = table.select(F.lit(1).alias("_wf_one"), F.col(at).alias("_wf_k"), F.col(take).alias("_wf_v"))
+    left = cut(df.select(F.col(value).alias("_wf_q")).filter("_wf_q IS NOT NULL").distinct()).withColumn("_wf_one", F.lit(1))
+    right = cut(table.select(F.lit(1).alias("_wf_one"), F.col(at).alias("_wf_k"), F.col(take).alias("_wf_v")))
     cols = {"_wf_k": "_wf_x0", "_wf_v": "_wf_y0"}
-    low = asof(left, right, axis, columns=cols, left_at=value)
-    both = asof(low, right, axis, columns={"_wf_k": "_wf_x1", "_wf_v": "_wf_y1"}, left_at=value, forward=True)
+    low = asof(left, right, axis, columns=cols, left_at="_wf_q")
+    both = asof(low, right, axis, columns={"_wf_k": "_wf_x1", "_wf_v": "_wf_y1"}, left_at="_wf_q", forward=True)
     closer_low = F.col("_wf_x1").isNull() | (
-        F.col(value) - F.col("_wf_x0") <= F.col("_wf_x1") - F.col(value)
+        F.col("_wf_q") - F.col("_wf_x0") <= F.col("_wf_x1") - F.col("_wf_q")
     )
     pick = F.when(F.col("_wf_x0").isNotNull() & closer_low, F.col("_wf_y0")).otherwise(F.col("_wf_y1"))
-    return both.withColumn(name, pick).drop("_wf_one", "_wf_x0", "_wf_y0", "_wf_x1", "_wf_y1")
+    found = both.select("_wf_q", pick.alias(name))
+    if left.count() <= FEW:
+        found = F.broadcast(found)
+    return df.join(found, F.col(value) == F.col("_wf_q"), "left").drop("_wf_q")
 
 
 def exact_value(df: DataFrame, table: DataFrame, value: str, at: str, take: str, name: str, default: float = -1.0) -> DataFrame:
