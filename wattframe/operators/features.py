@@ -745,6 +745,10 @@ def span_of(cols: Sequence[str]) -> Column:
     return F.greatest(*cols) - F.least(*cols)
 
 
+#: Columns that tell idle rows.
+IDLE_COLUMNS = ("usage_lag0", *[f"power_lag{k}" for k in LAGS])
+
+
 def idle_mask(usage_max: float = 5.0, power_span: float = 15.0) -> Column:
     """Idle rows from lag features only."""
     lags = [f"power_lag{k}" for k in LAGS]

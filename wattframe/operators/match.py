@@ -15,7 +15,7 @@ from wattframe.series import MICROS, Series
 FEW = 500_000
 
 
-def _shift(series: Series, df: DataFrame, col: str, seconds: float):
+def shifted(series: Series, df: DataFrame, col: str, seconds: float):
     """Column moved by seconds, in its own type."""
     if series.is_timestamp(df):
         return F.timestamp_micros(F.unix_micros(col) + F.lit(int(round(seconds * MICROS))))
@@ -38,7 +38,7 @@ def first_alert(
     none is.  Adds ``alert_ts`` and ``latency_s`` (null when unmatched).
     """
     t = series.ts
-    probe = events.withColumn("_wf_from", _shift(series, events, t, -lead_s))
+    probe = events.withColumn("_wf_from", shifted(series, events, t, -lead_s))
     hit = asof(probe, alerts, series, columns={t: "alert_ts"}, left_at="_wf_from", forward=True)
     latency = _gap(series, events, "alert_ts", t)
     inside = latency <= lag_s
@@ -52,7 +52,7 @@ def overlaps(
     """Whether an episode meets any event window (J2): the first event not
     before ``start - lag`` must not lie after ``end + lead``."""
     t = series.ts
-    probe = eps.withColumn("_wf_from", _shift(series, events, "start_ts", -lag_s))
+    probe = eps.withColumn("_wf_from", shifted(series, events, "start_ts", -lag_s))
     hit = asof(probe, events, series, columns={t: "_wf_ev"}, left_at="_wf_from", forward=True)
     near = _gap(series, events, "_wf_ev", "end_ts") <= lead_s
     return hit.withColumn(name, F.coalesce(near, F.lit(False))).drop("_wf_from", "_wf_ev")
@@ -72,7 +72,7 @@ def next_event(
 def warned_before(events: DataFrame, flags: DataFrame, series: Series, horizon_s: float) -> DataFrame:
     """Lead of the earliest flag in ``[event - horizon, event)``."""
     t = series.ts
-    probe = events.withColumn("_wf_from", _shift(series, events, t, -horizon_s))
+    probe = events.withColumn("_wf_from", shifted(series, events, t, -horizon_s))
     hit = asof(probe, flags, series, columns={t: "flag_ts"}, left_at="_wf_from", forward=True)
     lead = _gap(series, events, t, "flag_ts")
     out = hit.withColumn("lead_s", F.when(lead > 0, lead))

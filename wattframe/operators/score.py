@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from wattframe.operators.events import episodes, true_transitions, usage_edges
-from wattframe.operators.match import first_alert, overlaps
-from wattframe.plans.quantiles import ALL, descending_rank, order_statistics, quantiles
+from wattframe.operators.match import first_alert, overlaps, shifted
+from wattframe.plans.quantiles import ALL, descending_rank, median, order_statistics, quantiles
 from wattframe.plans.tables import cut
-from wattframe.plans.timeline import Timeline, by_rows, running_sum
+from wattframe.plans.timeline import BLOCK, POS, Timeline, by_rows, by_time, last_before, running_max, running_sum
 from wattframe.series import MICROS, Series
 
 
@@ -157,16 +157,76 @@ def event_score(
     )
 
 
-def event_latencies(
-    events: DataFrame, alerts: DataFrame, series: Series, lead_s: float, lag_s: float, bounds: DataFrame
-) -> DataFrame:
-    """``latency_s`` of every detected event inside its series' bounds, for medians over all series."""
-    series = Series(series.key, series.ts, (), series.width)
-    key, t = list(series.key), series.ts
-    inside = F.col(t).between(F.col("start_ts"), F.col("end_ts"))
-    b = bounds.select(*key, "start_ts", "end_ts")
-    ev, al = (df.select(*key, t).join(b, key).filter(inside).select(*key, t) for df in (events, alerts))
-    return first_alert(ev, al, series, lead_s, lag_s).select("latency_s").filter("latency_s IS NOT NULL")
+def pooled_event_scores(
+    events: DataFrame, alerts: DataFrame, series: Series, bounds: DataFrame, by: str, lead_s: float, lag_s: float,
+    gap_s: float, hit: str | None = None,
+) -> dict[str, dict]:
+    """Event scores of several detectors over all series (G31), by the detector's name in ``by``.
+
+    ``events`` and ``alerts`` are stacked over the detectors, and alerts lie
+    inside ``bounds``. Detectors are scored in one pass: events, the starts of
+    their windows and alerts are stacked, and each looks for its neighbours in
+    running frames of the time block. ``lead_time_median_s`` is the median time
+    from alerts with a true ``hit`` to the next event, at most ``lead_s`` away.
+    """
+    key, t = [by, *series.key], series.ts
+    axis = Series(tuple(key), t, (), series.width)
+    scale = series.scale(events)
+    lead, lag, gap = (F.lit(int(round(s * scale)) if scale > 1 else s) for s in (lead_s, lag_s, gap_s))
+    limits = bounds.select(*series.key, "start_ts", "end_ts")
+    near = events.select(*key, t).join(limits, list(series.key))
+    near = near.filter((F.col(t) >= F.col("start_ts")) & (F.col(t) <= shifted(series, events, "end_ts", lead_s)))
+    near = near.withColumn("_wf_in", F.col(t) <= F.col("end_ts"))
+    point = lambda df, kind, inside, good: df.select(*key, t, F.lit(kind).alias("_wf_kind"), inside.alias("_wf_in"), good.alias("_wf_hit"))
+    no = F.lit(False)
+    probes = near.filter("_wf_in").withColumn(t, shifted(series, events, t, -lead_s))
+    points = point(near, "event", F.col("_wf_in"), no).unionByName(point(probes, "probe", no, no))
+    points = points.unionByName(point(alerts, "alert", no, no if hit is None else F.col(hit)))
+    kind, pos = F.col("_wf_kind"), F.col(POS)
+
+    def look(w: WindowSpec) -> dict[str, Column]:
+        ahead = Window.partitionBy(*key, BLOCK).orderBy(pos.desc())
+        upto, before = (w.rangeBetween(Window.unboundedPreceding, x) for x in (0, -1))
+        since, after = (ahead.rangeBetween(Window.unboundedPreceding, x) for x in (0, -1))
+        step = w.rowsBetween(Window.unboundedPreceding, 0)
+        alert, event, inside = (F.when(c, pos) for c in (kind == "alert", kind == "event", F.col("_wf_in")))
+        out = {"_e0": F.max(inside).over(upto), "_e1": F.min(inside).over(since), "_next": F.min(event).over(after)}
+        out |= {"_a0": F.max(alert).over(before), "_a1": F.min(alert).over(since)}
+        return out | {"_first": F.count(alert).over(step) - F.count(alert).over(before) == 1}  # of alerts at one time
+
+    def judge(w: WindowSpec) -> dict[str, Column]:
+        late, soon = F.col("_a1") - pos - lead, F.col("_next") - pos
+        joined = F.coalesce(pos - F.col("_a0") <= gap, no)
+        touched = (pos - F.col("_e0") <= lag) | (F.col("_e1") - pos <= lead) | (joined & (F.col("_e0") >= F.col("_a0")))
+        value = F.when((kind == "probe") & (late <= lag), late).when((kind == "alert") & F.col("_wf_hit") & (soon <= lead), soon)
+        alone = (kind == "alert") & F.col("_first")
+        return {"_s": value / F.lit(float(scale)), "_alone": alone, "_new": alone & ~joined, "_touched": alone & F.coalesce(touched, no)}
+
+    reach_s = max(lead_s + lag_s, gap_s)
+    seen = by_time(points.withColumn("_wf_in", F.coalesce("_wf_in", no)), axis, look, judge, before=reach_s, after=reach_s)
+    seen = cut(seen.select(*key, t, "_wf_kind", "_s", "_alone", "_new", "_touched"))
+    counts = seen.groupBy(by).agg(
+        F.count_if(kind == "probe").alias("n_events"),
+        F.count(F.when(kind == "probe", F.col("_s"))).alias("n_events_detected"),
+        F.count_if("_new").alias("n_alert_episodes"),
+    )
+    medians = median(seen.filter("_wf_kind <> 'event'"), [by, "_wf_kind"], "_s").collect()
+    # An episode is met when one of its alerts is: the first such alert has none before it since the start.
+    at = series.position(seen)
+    eps = Timeline(seen.filter("_alone"), axis).scan(
+        _start=running_max(F.when(F.col("_new"), at)), _met=last_before(F.when(F.col("_touched"), at))
+    )
+    first = F.col("_touched") & (F.col("_met").isNull() | (F.col("_met") < F.col("_start")))
+    met = {r[by]: r["n"] for r in eps.done().groupBy(by).agg(F.count_if(first).alias("n")).collect()}
+    hours = F.greatest(_seconds(series, events, "end_ts", "start_ts") / 3600.0, F.lit(1e-9))
+    span = limits.agg(F.sum(hours)).first()[0]
+    out = {}
+    for r in counts.collect():
+        name, row = r[by], {c: r[c] for c in counts.columns if c != by}
+        mid = {m["_wf_kind"]: m["median"] for m in medians if m[by] == name}
+        row |= {"n_false_alert_episodes": row["n_alert_episodes"] - met.get(name, 0), "event_eval_hours": span}
+        out[name] = row | {"event_latency_median_s": mid.get("probe"), "lead_time_median_s": mid.get("alert")}
+    return out
 
 
 def span_bounds(df: DataFrame, series: Series) -> DataFrame:

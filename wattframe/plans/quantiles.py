@@ -28,6 +28,18 @@ def order_statistics(
     the narrow bracket (about ``8/accuracy`` of the rows) are ranked exactly,
     everything below it is only counted, map-side.
     """
+    by = list(keys) or [ALL]
+    found = _by_target(df, keys, value, targets, accuracy)
+    out = found.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_wf_t") == name, F.col("_wf_r"))).alias(name) for name in targets]
+    )
+    return out if keys else out.drop(ALL)
+
+
+def _by_target(
+    df: DataFrame, keys: Sequence[str], value: str, targets: dict[str, tuple[float, str]], accuracy: int = ACCURACY
+) -> DataFrame:
+    """The same as a row for each key and target (``_wf_t``, ``_wf_r``)."""
     keyed = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     by = list(keys) or [ALL]
     if not keys:
@@ -43,27 +55,25 @@ def order_statistics(
     )
     n = F.col("_wf_n")
     small = n <= accuracy  # few enough rows to rank all of them
-    plan = []
-    for i, (name, (q, how)) in enumerate(targets.items()):
-        if how == "linear":
-            at = (n - 1) * F.lit(float(q))
-        else:
-            at = F.least(F.floor(n * F.lit(float(q))), n - 1).cast("double")
-        lo, hi = cuts[i]
-        plan.append(
-            F.struct(
-                F.lit(name).alias("t"),
-                F.when(small | F.lit(lo <= 0.0), F.col("_wf_min"))
-                .otherwise(F.element_at("_wf_cut", 2 * i + 1))
-                .alias("lo"),
-                F.when(small | F.lit(hi >= 1.0), F.col("_wf_max"))
-                .otherwise(F.element_at("_wf_cut", 2 * i + 2))
-                .alias("hi"),
-                F.floor(at).alias("k"),
-                (at - F.floor(at)).alias("f"),
-            )
+    # One expression over a list of targets: a hundred written out do not fit into a generated method.
+    wanted = [
+        F.struct(F.lit(name).alias("t"), F.lit(float(q)).alias("q"), F.lit(how == "linear").alias("linear"), F.lit(2 * i + 1).alias("i"),
+                 F.lit(cuts[i][0] <= 0.0).alias("low"), F.lit(cuts[i][1] >= 1.0).alias("high"))
+        for i, (name, (q, how)) in enumerate(targets.items())
+    ]
+
+    def bracket_of(w: Column) -> Column:
+        at = F.when(w["linear"], (n - 1) * w["q"]).otherwise(F.least(F.floor(n * w["q"]), n - 1).cast("double"))
+        return F.struct(
+            w["t"].alias("t"),
+            F.when(small | w["low"], F.col("_wf_min")).otherwise(F.element_at("_wf_cut", w["i"])).alias("lo"),
+            F.when(small | w["high"], F.col("_wf_max")).otherwise(F.element_at("_wf_cut", w["i"] + 1)).alias("hi"),
+            F.floor(at).alias("k"),
+            (at - F.floor(at)).alias("f"),
         )
-    bracket = sketch.select(*by, F.array(*plan).alias("_wf_plan"))
+
+    plan = F.transform(F.array(*wanted), bracket_of)
+    bracket = sketch.select(*by, plan.alias("_wf_plan"))
     if not keys:
         bracket = F.broadcast(bracket)  # one row
     joined = keyed.join(bracket, by).select(*by, "_wf_x", F.explode("_wf_plan").alias("_wf_p"))
@@ -96,10 +106,7 @@ def order_statistics(
         .when(part == 0, at)
         .otherwise(at + (nxt - at) * part)
     )
-    out = picked.withColumn("_wf_r", value_at).groupBy(*by).agg(
-        *[F.max(F.when(F.col("_wf_t") == name, F.col("_wf_r"))).alias(name) for name in targets]
-    )
-    return out if keys else out.drop(ALL)
+    return picked.select(*by, "_wf_t", value_at.alias("_wf_r"))
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float]) -> DataFrame:
@@ -107,6 +114,12 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, floa
     return order_statistics(df, keys, value, {n: (q, "linear") for n, q in qs.items()})
 
 
+def quantile_values(df: DataFrame, value: str, qs: Sequence[float]) -> list[float]:
+    """Quantiles of all values on the driver, for a list of them too long to be columns; none without values."""
+    found = _by_target(df, [], value, {f"{i}": (q, "linear") for i, q in enumerate(qs)}).select("_wf_t", "_wf_r").collect()
+    return [r["_wf_r"] for r in sorted(found, key=lambda r: int(r["_wf_t"]))]
+
+
 def median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
     return quantiles(df, keys, value, {name: 0.5})
 
