@@ -156,12 +156,18 @@ def ewma_spread(col: Column, centre: Column, span: int, prefix: str) -> dict[str
     return {f"_wf_{prefix}_ss": Decay(step, -1.0 / np.log(1.0 - 2.0 / (span + 1.0)))}
 
 
+#: Deviation, as a part of the mean, that is rounding noise.
+FLAT = 1e-12
+
+
 def ewma_columns(df: DataFrame, col: str, centre: Column, prefix: str) -> DataFrame:
     """Mean, bias-corrected deviation and z-score from the decayed sums."""
     w, ww, wx, wxx = (F.col(f"_wf_{prefix}_{s}") for s in ("w", "ww", "wx", "wxx"))
     mean = F.try_divide(wx, w)
     ss = f"_wf_{prefix}_ss"
     var = F.try_divide(F.col(ss), w) if ss in df.columns else F.greatest(F.try_divide(wxx, w) - mean * mean, F.lit(0.0))
+    # equal values differ by rounding where they were worked out: no deviation, so no score
+    var = F.when(F.sqrt(var) <= FLAT * F.abs(mean + centre), 0.0).otherwise(var)
     # one value: weights cancel up to rounding
     unbias = F.when(w * w - ww > 1e-9 * w * w, w * w / (w * w - ww))
     out = df.withColumns({f"{prefix}_mean": mean + centre, f"{prefix}_std": F.sqrt(var * unbias)})
